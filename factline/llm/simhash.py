@@ -206,7 +206,7 @@ def _features(docs: DataFrame) -> DataFrame:
                 words = hashes[edges[k] : edges[k + 1]]
                 same.append(xxhash.xxh3_128_hexdigest(words.tobytes()))
                 distinct = np.unique(words)
-                prints.append([signed(majority(mix(distinct ^ np.uint64(seed * 0x9E3779B97F4A7C1)))) for seed in FEATURE_SEEDS] if len(words) else None)
+                prints.append([signed(majority(mix(distinct ^ np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64))))) for seed in FEATURE_SEEDS] if len(words) else None)
             yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(same, pa.string()), pa.array(prints, pa.list_(pa.int64()))], names=["doc_id", "same", "prints"])
 
     return docs.mapInArrow(run, "doc_id long, same string, prints array<long>")
