@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from factline.functions.masking import PERSONAL, capitalised, found, mask
 from factline.operators.ordered import placeholders, rare_words
 
-_LOOKALIKE = r"\[(?:Email|PaymentCard|IpAddress|Phone|Name)-[0-9]+\]"
+_NAME = r"(?:Email|PaymentCard|IpAddress|Phone|Name)-[0-9]+"
 
 
 def masked_documents(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -41,14 +41,14 @@ def rare_names(docs: DataFrame, batch: str, text: str, limit: int, stop_words: l
 def pseudonymised(docs: DataFrame, batch: str, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """Documents with values replaced, and the mapping ``batch, label, value, placeholder``.
 
-    Text that looks like a placeholder already is escaped by a second bracket, so what is restored is what was replaced.
+    Text that looks like a placeholder already gets an equals sign, one more if it has some, so it is never taken for one.
     Longer values are replaced first, so one that is part of another doesn't cut it.
     """
     values = personal_values(docs, batch, key, text)
     mapping = placeholders(values, batch, "label", "value", "position")
     used = values.select(batch, key, "label", "value").distinct().join(mapping, [batch, "label", "value"])
     per_doc = used.groupBy(key).agg(F.sort_array(F.collect_list(F.struct((-F.length("value")).alias("order"), "value", "placeholder"))).alias("_swaps"))
-    escaped = F.regexp_replace(F.col(text), f"({_LOOKALIKE})", "[$1]")
+    escaped = F.regexp_replace(F.col(text), rf"\[(=*)({_NAME})\]", "[=$1$2]")
     joined = docs.join(per_doc, key, "left")
     swapped = F.aggregate(F.coalesce("_swaps", F.array().cast("array<struct<order:int,value:string,placeholder:string>>")), escaped, lambda t, s: F.replace(t, s["value"], s["placeholder"]))
     return joined.withColumn(text, swapped).drop("_swaps"), mapping
@@ -56,7 +56,7 @@ def pseudonymised(docs: DataFrame, batch: str, key: str, text: str) -> tuple[Dat
 
 def restored(docs: DataFrame, mapping: DataFrame, batch: str, key: str, text: str) -> DataFrame:
     """Documents with placeholders of their batch put back, and ``unrestored``: look-alikes that were never issued."""
-    asked = docs.select(batch, key, F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(rf"(?<!\[){_LOOKALIKE}"), F.lit(0)))).alias("placeholder"))
+    asked = docs.select(batch, key, F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(rf"\[{_NAME}\]"), F.lit(0)))).alias("placeholder"))
     held = asked.join(mapping, [batch, "placeholder"], "left")
     per_doc = held.groupBy(key).agg(
         F.collect_list(F.when(F.col("value").isNotNull(), F.struct("placeholder", "value"))).alias("_swaps"), F.count_if(F.col("value").isNull()).alias("_unknown")
@@ -64,7 +64,7 @@ def restored(docs: DataFrame, mapping: DataFrame, batch: str, key: str, text: st
     joined = docs.join(per_doc, key, "left")
     empty = F.array().cast("array<struct<placeholder:string,value:string>>")
     back = F.aggregate(F.coalesce("_swaps", empty), F.col(text), lambda t, s: F.replace(t, s["placeholder"], s["value"]))
-    plain = F.regexp_replace(back, rf"\[({_LOOKALIKE})\]", "$1")
+    plain = F.regexp_replace(back, rf"\[=(=*)({_NAME})\]", "[$1$2]")
     return joined.withColumn(text, plain).withColumn("unrestored", F.coalesce("_unknown", F.lit(0))).drop("_swaps", "_unknown")
 
 
