@@ -36,7 +36,7 @@ DICTIONARY_BYTES = 64 << 10
 #: The dictionary is trained on at most about so many documents, drawn by a hash of the id, of at most so many characters.
 SAMPLE_DOCS = 2000
 SAMPLE_CHARS = 8000
-LEVEL = 3
+LEVEL = 1
 
 SCHEMA = (
     "shard int, block long, dictionary string, first_id long, last_id long, doc_ids array<long>, n_tokens array<long>, "
