@@ -25,16 +25,19 @@ from factline.llm.common import batch_chunks
 WORD_MARK = "▁"
 #: Score of a byte piece, below that of any other piece.
 BYTE_SCORE = -25.0
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
+_NO_END = object()
 SCHEMA = "doc_id long, n_words long, n_tokens long"
 
 
 class Unigram:
-    """Pieces with scores; ``counts`` fills the cache of words."""
+    """Pieces with scores; ``counts`` keeps the words met."""
 
     def __init__(self, scores: dict[str, float], cache_words: int = CACHE_WORDS) -> None:
         self.scores, self.cache_words = scores, cache_words
         self.longest = max(map(len, scores), default=1)
+        # Every end of a piece, with the score of those that are pieces: where an end is none, no longer piece ends there.
+        self.ends: dict[str, float | None] = {p[i:]: None for p in scores for i in range(len(p))} | scores
         self.known: dict[str, int] = {}
 
     def add(self, words: set[str]) -> None:
@@ -45,7 +48,7 @@ class Unigram:
             for c in WORD_MARK + word:
                 node = node.setdefault(c, {})
             node[""] = word  # terminal
-        get, longest = self.scores.get, self.longest
+        get, longest = self.ends.get, self.longest
         # One path's scores, counts and characters at a time; deeper entries are overwritten when the walk turns.
         best, count = [0.0], [0]
         path: list[str] = []
@@ -59,7 +62,9 @@ class Unigram:
                 score, n = best[depth - 1] + size * BYTE_SCORE, count[depth - 1] + size
                 tail = "".join(path[-longest:])
                 for k in range(1, len(tail) + 1):
-                    own = get(tail[-k:])
+                    own = get(tail[-k:], _NO_END)
+                    if own is _NO_END:
+                        break
                     if own is not None:
                         s = best[depth - k] + own
                         if s > score or s == score and count[depth - k] + 1 < n:
@@ -72,15 +77,17 @@ class Unigram:
                 else:
                     self.known[child] = count[depth]
 
-    def count(self, text: str) -> tuple[int, int]:
-        words = text.split()
-        try:
-            return len(words), sum([self.known[w] for w in words])
-        except KeyError:
-            if len(self.known) > self.cache_words:
-                self.known.clear()
-            self.add({w for w in words if w not in self.known})
-            return len(words), sum([self.known[w] for w in words])
+    def counts(self, texts: list[str]) -> list[tuple[int, int]]:
+        """Words and tokens of each text; the new words of all of them share one trie."""
+        if len(self.known) > self.cache_words:
+            self.known.clear()
+        lists = [t.split() for t in texts]
+        new: set[str] = set()
+        for words in lists:
+            new.update(words)
+        self.add(new.difference(self.known))
+        get = self.known.__getitem__
+        return [(len(words), sum(map(get, words))) for words in lists]
 
 
 @functools.lru_cache(maxsize=2)
@@ -103,7 +110,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unigram = model(vocabulary)
         for chunk in batch_chunks(batches, "text"):
-            found = [unigram.count(t or "") for t in chunk.column("text").to_pylist()]
+            found = unigram.counts([t or "" for t in chunk.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays(
                 [chunk.column("doc_id"), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())],
                 names=["doc_id", "n_words", "n_tokens"],

@@ -491,5 +491,5 @@ def test_shared_prefixes_change_no_count():
     scores = {"▁a": -1.0, "b": -1.0, "ab": -1.5, "▁ab": -1.9, "c": -2.0, "bc": -2.5}
     unigram = tokencount.Unigram(scores, cache_words=3)
     words = ["".join(x) for n in range(1, 5) for x in itertools.product("abcd", repeat=n)]
-    assert [unigram.count(w)[1] for w in words] == [brute_count(scores, tokencount.WORD_MARK + w) for w in words]
-    assert tokencount.Unigram(scores).count(" ".join(words))[1] == sum(brute_count(scores, tokencount.WORD_MARK + w) for w in words)
+    assert [n for w in words for _, n in unigram.counts([w])] == [brute_count(scores, tokencount.WORD_MARK + w) for w in words]
+    assert tokencount.Unigram(scores).counts([" ".join(words)])[0][1] == sum(brute_count(scores, tokencount.WORD_MARK + w) for w in words)
