@@ -16,7 +16,8 @@ WILSON_Z = 1.96
 
 def sample(rows: DataFrame, key: str, size: int, seed: int) -> DataFrame:
     """``size`` rows drawn by a hash of their key: the same rows for the same seed, however they are partitioned."""
-    return rows.withColumn("_draw", F.xxhash64(F.col(key), F.lit(seed))).orderBy("_draw", key).limit(size).drop("_draw")
+    draw = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")), 256)
+    return rows.withColumn("_draw", draw).orderBy("_draw", key).limit(size).drop("_draw")
 
 
 def judged(facts: DataFrame, verdicts: DataFrame) -> DataFrame:

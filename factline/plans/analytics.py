@@ -44,7 +44,7 @@ def quality_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"""
 with b as (select item_id as needle_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) as t from benchmark),
 d as (select doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) as t from documents)
-select needle_id, doc_id from b join d on contains(' ' || d.t || ' ', ' ' || b.t || ' ')
+select needle_id, doc_id from b join d on contains(d.t, b.t) where b.t <> ''
 """)
 def eval_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     needles = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("needle_id"), F.col("text").alias("needle"))
