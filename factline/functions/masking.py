@@ -1,7 +1,7 @@
 """Credentials masked for good, and personal data found: patterns that run inside the JVM.
 
 Java's matcher backtracks, so every pattern keeps its repeats apart by what may follow them, and none nests one unbounded
-repeat in another; ``tests/test_masking.py`` holds the time on long texts of near misses to a line.
+repeat in another; ``tests/test_functions.py`` holds the time on long texts of near misses to a line.
 """
 
 from __future__ import annotations

@@ -57,6 +57,14 @@ def evidence_text(source: Column, title: Column, published: Column, description:
     return F.concat_ws("\n\n", header, lead, text)
 
 
+def evidence_fields(payload: Column) -> Column:
+    """``struct(source, title, published, description, body)`` of what ``evidence_text`` wrote; a field without a line is null."""
+    blank = F.instr(payload, "\n\n")
+    header = F.when(blank > 0, F.substring(payload, F.lit(1), blank - 1)).otherwise(payload)
+    fields = [F.nullif(F.regexp_extract(header, rf"(?m)^{n}: (.*)$", 1), F.lit("")).alias(n.lower()) for n in ("Source", "Title", "Published", "Description")]
+    return F.struct(*fields, F.when(blank > 0, F.substring(payload, blank + 2, F.length(payload))).alias("body"))
+
+
 def split_context(text: Column) -> Column:
     """``struct(body, context)``: the text before and from the first context mark on."""
     place = F.instr(text, "\n\n[context")

@@ -1,0 +1,70 @@
+"""Queries about what texts must not show, and about evidence that is read back into its fields."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from factline.functions import credentials
+from factline.functions.text import evidence_fields, evidence_text
+from factline.plans.registry import Registry, table
+
+registry = Registry()
+query = registry.query
+
+# Documents with a credential appended to some, made of a digest of the id; another part gets one that only stands in.
+_PLANTED_SQL = """
+p as (select doc_id, coalesce(text, '') || case doc_id % 5
+  when 0 then ' AKIA' || upper(substr(sha256(cast(doc_id as varchar)), 1, 16))
+  when 1 then ' npm_' || substr(sha256(cast(doc_id as varchar)), 1, 36)
+  when 2 then ' Bearer ' || substr(sha256(cast(doc_id as varchar)), 1, 24)
+  when 3 then ' Bearer changeme-' || substr(sha256(cast(doc_id as varchar)), 1, 24) else '' end as text from documents)
+"""
+
+
+def _planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest, turn = F.sha2(F.col("doc_id").cast("string"), 256), F.col("doc_id") % 5
+    planted = (
+        F.when(turn == 0, F.concat(F.lit(" AKIA"), F.upper(F.substring(digest, 1, 16)))).when(turn == 1, F.concat(F.lit(" npm_"), F.substring(digest, 1, 36)))
+        .when(turn == 2, F.concat(F.lit(" Bearer "), F.substring(digest, 1, 24))).when(turn == 3, F.concat(F.lit(" Bearer changeme-"), F.substring(digest, 1, 24))).otherwise("")
+    )
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), planted).alias("text"))
+
+
+def _stands_in_sql(value: str) -> str:
+    says = " or ".join(f"contains(lower({value}), '{word}')" for word in credentials.STANDING_IN)
+    opened = f"({value}[1] in ('[', '<', '{{', '$', '%') and not regexp_matches({value}, '^%[0-9A-Fa-f]{{2}}'))"
+    return f"({opened} or replace({value}, {value}[1], '') = '' or {says} or regexp_matches({value}, '{credentials.CONSTANT}') or regexp_matches({value}, '{credentials.DIGEST}'))"
+
+
+def _shape_sql(shape: str, pattern: str, group: int) -> str:
+    wanted = "true" if shape == "private-key" else f"not {_stands_in_sql('v')}"
+    if shape in credentials.MIXED:
+        wanted += " and regexp_matches(v, '[A-Za-z]') and regexp_matches(v, '[0-9]')"
+    return f"select doc_id, '{shape}' as shape, len(list_filter(regexp_extract_all(text, '{pattern}', {group}), lambda v: {wanted})) as found from p"
+
+
+@query(f"with {_PLANTED_SQL} select doc_id, shape, cast(found as bigint) as found from ({' union all '.join(_shape_sql(*s) for s in credentials.SHAPES)}) where found > 0")
+def credential_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = _planted(spark, sf_dir).select("doc_id", F.explode(credentials.credentials(F.col("text"))).alias("c"))
+    return each.groupBy("doc_id", "c.shape").agg(F.count("*").alias("found"))
+
+
+@query(rf"""
+with {_PLANTED_SQL}
+select doc_id, sha256(case doc_id % 5
+  when 0 then regexp_replace(text, ' AKIA[0-9A-F]{{16}}$', ' [masked:aws-access-key]') when 1 then regexp_replace(text, ' npm_[0-9a-f]{{36}}$', ' [masked:npm-token]')
+  when 2 then regexp_replace(text, ' Bearer [0-9a-f]{{24}}$', ' Bearer [masked:bearer]') else text end) as hash from p
+""")
+def scrubbed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _planted(spark, sf_dir).select("doc_id", F.sha2(credentials.scrub(F.col("text")), 256).alias("hash"))
+
+
+@query("""
+select c_custkey, c_name as source, c_mktsegment as title, cast(null as varchar) as published, c_name || ' ' || c_mktsegment as description, c_name || ' buys' as body from customer
+""")
+def evidence_readback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer")
+    described = F.concat("c_name", F.lit("\n"), "c_mktsegment")
+    payload = evidence_text(F.col("c_name"), F.col("c_mktsegment"), F.lit(None).cast("string"), described, F.lit(None).cast("string"), F.concat("c_name", F.lit(" buys")))
+    return rows.select("c_custkey", evidence_fields(payload).alias("e")).select("c_custkey", "e.*")
