@@ -180,14 +180,19 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return texts.mapInArrow(run, SCHEMA)
 
 
-def accepted(docs: DataFrame, model: Model, min_score: float, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose language is known with at least ``min_score``."""
+def accepted(docs: DataFrame, model: Model, min_score: float, text_col: str = "text", min_words: int = 0) -> DataFrame:
+    """The rows of ``docs``, all columns, whose language is known with at least ``min_score``.
+
+    Texts with a letter but fewer than ``min_words`` words stay whatever their score, which so few words leave low.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = scorer(shared)
         for chunk in batch_chunks(batches, text_col):
-            found = [own.predict(t) for t in chunk.column(text_col).to_pylist()]
-            yield chunk.filter(pa.array([lang != "und" and score >= min_score for lang, score in found], pa.bool_()))
+            texts = chunk.column(text_col).to_pylist()
+            found = [own.predict(t) for t in texts]
+            good = [lang != "und" and (score >= min_score or len(words_of(t)) < min_words) for t, (lang, score) in zip(texts, found, strict=True)]
+            yield chunk.filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
