@@ -8,9 +8,10 @@ all close pairs. A key with very many nodes is split by the same rule again on t
 anything is gathered.
 
 ``fingerprints`` takes word shingles with repeats, as `op3` asks. ``near_groups`` serves deduplication by similarity of
-five-word shingle sets: it takes ``FEATURE_SEEDS`` fingerprints of the set of distinct words, which an edit of a word
-changes less than it changes shingles, finds candidate links as above under any of them, and keeps those whose
-shingle sets have a Jaccard similarity of ``SIMILARITY`` or more.
+five-word shingle sets. Fingerprints can't serve it: a replaced or added block that leaves a similarity of ``SIMILARITY``
+changes more bits than any choice of blocks allows. Its candidates are the documents that share one of ``BANDS`` bands of
+``BAND_ROWS`` min-hashes of the shingle sets, whatever the place of the edits: two sets at exactly 0.8 share none with a
+probability of 5e-8. Candidates are verified by their shingle sets.
 
 Defined cases: null and empty texts, and texts of white space only, have no words and fingerprint zero; fewer words than
 a shingle are one shingle; rows that repeat an id have the component of that id's texts; null ids never link but get a row;
@@ -37,10 +38,13 @@ DISTANCE = 4
 BLOCKS = ((53, 11), (42, 11), (31, 11), (20, 11), (10, 10), (0, 10))
 #: Nodes under one key beyond which the key is split again.
 HEAVY = 4000
-FEATURE_SEEDS = (11, 23, 47)
 SIMILARITY = 0.8
 SIMILARITY_SHINGLE = 5
+#: Sets of similarity s share one band at least with a probability of 1 - (1 - s ** BAND_ROWS) ** BANDS.
+BANDS = 32
+BAND_ROWS = 4
 
+_XOR, _TIMES = np.random.default_rng(11).integers(1, 1 << 63, size=(2, BANDS * BAND_ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BIT = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
 
@@ -193,23 +197,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 # --- by similarity of shingle sets
 
 
+def band_hashes(shingles: np.ndarray) -> np.ndarray:
+    """Of a set of shingle hashes one hash for each band: of its ``BAND_ROWS`` min-hashes."""
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for a in range(0, len(shingles), 1 << 12):
+        part = shingles[a : a + (1 << 12)]
+        np.minimum(least, ((part[None, :] ^ _XOR[:, None]) * _TIMES[:, None]).min(axis=1), out=least)
+    total = np.arange(BANDS, dtype=np.uint64)
+    for column in least.reshape(BANDS, BAND_ROWS).T:
+        total = mix(total * np.uint64(0x9E3779B97F4A7C15) + column)
+    return total
+
+
 def _features(docs: DataFrame) -> DataFrame:
-    """Per document: a hash of its words in order, and fingerprints of the set of its words."""
+    """Per document: a hash of its words in order, and the band hashes of its five-word shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in batch_chunks(batches, "text"):
             texts = text_bytes(chunk.column("text"))
             owner, _, _, hashes = hashed_words(texts)
             edges = np.searchsorted(owner, np.arange(len(texts) + 1))
-            same, prints = [], []
+            same, bands = [], []
             for k in range(len(texts)):
                 words = hashes[edges[k] : edges[k + 1]]
                 same.append(xxhash.xxh3_128_hexdigest(words.tobytes()))
-                distinct = np.unique(words)
-                prints.append([signed(majority(mix(distinct ^ np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64))))) for seed in FEATURE_SEEDS] if len(words) else None)
-            yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(same, pa.string()), pa.array(prints, pa.list_(pa.int64()))], names=["doc_id", "same", "prints"])
+                bands.append(band_hashes(shingle_hashes(words)).view(np.int64) if len(words) else None)
+            yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(same, pa.string()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "same", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, same string, prints array<long>")
+    return docs.mapInArrow(run, "doc_id long, same string, bands array<long>")
 
 
 def _shingle_sets(docs: DataFrame) -> DataFrame:
@@ -238,33 +253,79 @@ def shingle_hashes(words: np.ndarray, size: int = SIMILARITY_SHINGLE) -> np.ndar
     return mix(total)
 
 
-def near_groups(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, component_id)`` for documents with a near copy: of equal words, or linked by similar shingle sets."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
-    features = save(_features(texts), "features")
-    nodes = save(features.groupBy("same").agg(F.min("doc_id").alias("id"), F.first("prints").alias("prints")), "nodes")
-    copies = features.select("same", "doc_id").join(nodes.select("same", "id"), "same").filter("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
-    distinct = nodes.filter("prints is not null").select("id", "prints")
-    found = None
-    for k in range(len(FEATURE_SEEDS)):
-        own = close_links(distinct.select("id", F.element_at("prints", k + 1).alias("fp")))
-        found = own if found is None else found.unionAll(own)
-    pairs = save(found.distinct(), "pairs")
+def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets have that Jaccard similarity."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x) or len(x) < similarity * len(y):
+        return False
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return both >= similarity * (len(x) + len(y) - both)
+
+
+def _by_key(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by ``key``, cut anew so that none of its values is in two of them."""
+    held: list[pa.RecordBatch] = []  # of the last key, which the next batch may continue
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(key).to_numpy()
+        last = int(np.searchsorted(keys, keys[-1]))
+        if held and held[-1].column(key)[-1].as_py() == keys[0] and last == 0:
+            held.append(batch)
+            continue
+        yield from _whole([*held, batch.slice(0, last)])
+        held = [batch.slice(last)]
+    yield from _whole(held)
+
+
+def _whole(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    if any(p.num_rows for p in parts):
+        yield from pa.Table.from_batches(parts).combine_chunks().to_batches()
+
+
+def _key_rows(nodes: DataFrame) -> DataFrame:
+    """``(key, id, first)``: nodes under every band hash that another has too, and the least id of those."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _by_key(batches, "key"):
+            keys, ids = batch.column("key").to_numpy(), batch.column("id").to_numpy()
+            starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            sizes = np.diff(np.append(starts, len(keys)))
+            keep, first = np.repeat(sizes > 1, sizes), np.repeat(ids[starts], sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (keys, ids, first)], names=["key", "id", "first"])
+
+    keyed = nodes.select("id", F.explode("bands").alias("key")).select("key", "id").repartition("key")
+    return keyed.sortWithinPartitions("key", "id").mapInArrow(run, "key long, id long, first long")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs ``(a, b)`` whose shingle sets are similar."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     sets = save(_shingle_sets(texts.join(ends, "doc_id").dropDuplicates(["doc_id"])), "shingles")
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("of_a")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("of_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column("of_a").to_pylist(), batch.column("of_b").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(both >= similarity * (len(x) + len(y) - both))
+            sides = zip(batch.column("of_a").to_pylist(), batch.column("of_b").to_pylist(), strict=True)
+            good = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), similarity) for x, y in sides]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    similar = pairs.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
-    return components(copies.unionAll(similar)).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+    return save(pairs.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long"), "similar")
+
+
+def near_groups(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, component_id)`` for documents with a near copy: of equal words, or linked by similar shingle sets."""
+    if similarity < SIMILARITY:
+        raise ValueError(f"the bands are cut for similarities of {SIMILARITY} and more")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
+    features = save(_features(texts), "features")
+    nodes = save(features.groupBy("same").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "nodes")
+    copies = features.select("same", "doc_id").join(nodes.select("same", "id"), "same").filter("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
+    rows = save(_key_rows(nodes.filter("bands is not null")), "keys")
+    pairs = save(rows.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    found = _verified(pairs, texts, similarity)
+    return components(copies.unionAll(found)).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -209,6 +209,14 @@ def test_one_of_each_near_copy(spark):
     assert simhash.one_of_each(docs).columns == docs.columns
 
 
+def test_near_copies_with_a_block_added_or_replaced_are_found(spark):
+    texts = [words_text(200, 5000 + s, 10**6) for s in range(60)]
+    added = [t + " " + words_text(45, 6000 + s, 10**6) for s, t in enumerate(texts[:30])]
+    replaced = [" ".join([*t.split()[:90], *words_text(15, 7000 + s, 10**6).split(), *t.split()[105:]]) for s, t in enumerate(texts[30:])]
+    assert all(0.8 <= jaccard(a, b) < 0.83 for a, b in zip(texts, added + replaced, strict=True))
+    assert sorted(r.doc_id for r in simhash.one_of_each(docs_of(spark, [*texts, *added, *replaced])).collect()) == list(range(60))
+
+
 # --- 4
 
 
