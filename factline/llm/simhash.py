@@ -11,7 +11,8 @@ anything is gathered.
 five-word shingle sets. Fingerprints can't serve it: a replaced or added block that leaves a similarity of ``SIMILARITY``
 changes more bits than any choice of blocks allows. Its candidates are the documents that share one of ``BANDS`` bands of
 ``BAND_ROWS`` min-hashes of the shingle sets, whatever the place of the edits: two sets at exactly 0.8 share none with a
-probability of 5e-8. Candidates are verified by their shingle sets.
+probability of 5e-8. Under a band each node is first verified by its shingle set against the least node; where that leaves
+several components, every pair of nodes of different ones is verified, so no link is lost by a node between them.
 
 Defined cases: null and empty texts, and texts of white space only, have no words and fingerprint zero; fewer words than
 a shingle are one shingle; rows that repeat an id have the component of that id's texts; null ids never link but get a row;
@@ -36,7 +37,7 @@ SHINGLE = 4
 DISTANCE = 4
 #: Blocks: first bit and width of each, high bits first.
 BLOCKS = ((53, 11), (42, 11), (31, 11), (20, 11), (10, 10), (0, 10))
-#: Nodes under one key beyond which the key is split again.
+#: Nodes under one key beyond which the key is split again, or dealt in pairs of blocks.
 HEAVY = 4000
 SIMILARITY = 0.8
 SIMILARITY_SHINGLE = 5
@@ -314,6 +315,82 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return save(pairs.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long"), "similar")
 
 
+def _blocks(rows: DataFrame, size: int) -> DataFrame:
+    """``(group, id, label)``: keys' rows ``(key, id, label)``, a key of over ``size`` nodes as all pairs of blocks of half that size.
+
+    Groups of the same nodes under several keys are one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _by_key(batches, "key"):
+            keys, ids, labels = (batch.column(c).to_numpy() for c in ("key", "id", "label"))
+            edges = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+            held: list[tuple[int, np.ndarray, np.ndarray]] = []
+            rows = 0
+            for a, b in zip(edges, edges[1:], strict=False):
+                cuts = [slice(k, min(k + size // 2, b)) for k in range(a, b, size // 2)]
+                groups = [(slice(a, b),)] if b - a <= size else combinations(cuts, 2)
+                for parts in groups:
+                    own, marks = (np.concatenate([c[x] for x in parts]) for c in (ids, labels))
+                    if (marks == marks[0]).all():
+                        continue
+                    held.append((signed(xxhash.xxh3_64_intdigest(own.tobytes())), own, marks))
+                    rows += len(own)
+                    if rows > 1 << 16:
+                        yield packed(held)
+                        held, rows = [], 0
+            if held:
+                yield packed(held)
+
+    def packed(held: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        groups = np.repeat(np.array([h[0] for h in held]), [len(h[1]) for h in held])
+        return pa.RecordBatch.from_arrays([pa.array(groups), *[pa.array(np.concatenate([h[i] for h in held])) for i in (1, 2)]], names=["group", "id", "label"])
+
+    dealt = rows.select("key", "id", "label").repartition("key").sortWithinPartitions("key", "id")
+    return dealt.mapInArrow(run, "group long, id long, label long").distinct()
+
+
+def linked(ids: list[int], labels: list[int], sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Similar pairs, so that with them the components, ``labels`` as yet, are those of all similar pairs.
+
+    A node is compared with the members of every other component until one is similar.
+    """
+    members: dict[int, list[int]] = {}
+    now = {label: label for label in labels}
+    found = []
+    for i, label in enumerate(labels):
+        own = now[label]
+        for other in [c for c in members if c != own]:
+            hit = next((j for j in members[other] if similar(sets[i], sets[j], similarity)), None)
+            if hit is not None:
+                found.append((ids[hit], ids[i]))
+                now = {k: own if c == other else c for k, c in now.items()}
+                members.setdefault(own, []).extend(members.pop(other))
+        members.setdefault(own, []).append(i)
+    return found
+
+
+def group_links(rows: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, size: int = HEAVY) -> DataFrame:
+    """Links between nodes of one key that are similar and not of one label yet; all pairs are looked at, linked ones apart."""
+    blocks = save(_blocks(rows, size), "blocks")
+    ends = blocks.select(F.col("id").alias("doc_id")).distinct()
+    sets = save(_shingle_sets(texts.join(ends, "doc_id").dropDuplicates(["doc_id"])), "shingles").withColumnRenamed("doc_id", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _by_key(batches, "group"):
+            groups = batch.column("group").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(groups)) + 1).tolist(), len(groups)]
+            found = []
+            for a, b in zip(edges, edges[1:], strict=False):
+                part = batch.slice(a, b - a)
+                held = [np.frombuffer(x, np.uint64) for x in part.column("shingles").to_pylist()]
+                found += linked(part.column("id").to_pylist(), part.column("label").to_pylist(), held, similarity)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    dealt = blocks.join(sets, "id").select("group", "id", "label", "shingles").repartition("group").sortWithinPartitions("group", "id")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
 def near_groups(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, component_id)`` for documents with a near copy: of equal words, or linked by similar shingle sets."""
     if similarity < SIMILARITY:
@@ -325,7 +402,12 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "
     rows = save(_key_rows(nodes.filter("bands is not null")), "keys")
     pairs = save(rows.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     found = _verified(pairs, texts, similarity)
-    return components(copies.unionAll(found)).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+    labels = save(components(found), "labels")
+    labelled = rows.join(labels, rows.id == labels.node, "left").select("key", "id", F.coalesce("component", "id").alias("label"))
+    # Of two nodes all is known, and of nodes of one component; other keys have pairs that nobody looked at.
+    mixed = labelled.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("most")).filter("n > 2 and least <> most").select("key")
+    more = save(group_links(labelled.join(mixed, "key", "left_semi"), texts, similarity), "links")
+    return components(copies.unionAll(found).unionAll(more)).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

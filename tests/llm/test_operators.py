@@ -217,6 +217,37 @@ def test_near_copies_with_a_block_added_or_replaced_are_found(spark):
     assert sorted(r.doc_id for r in simhash.one_of_each(docs_of(spark, [*texts, *added, *replaced])).collect()) == list(range(60))
 
 
+def reordered(text, piece, moved, seed):
+    pieces = [text.split()[i : i + piece] for i in range(0, len(text.split()), piece)]
+    places = random.Random(seed).sample(range(len(pieces)), moved)
+    for a, b in zip(places[::2], places[1::2], strict=True):
+        pieces[a], pieces[b] = pieces[b], pieces[a]
+    return " ".join(w for p in pieces for w in p)
+
+
+def test_near_copies_are_found_beside_a_looser_variant_of_smaller_id(spark):
+    texts = [words_text(240, 8000 + s, 10**6) for s in range(20)]
+    looser, copies = [reordered(t, 10, 20, 100 + s) for s, t in enumerate(texts)], [reordered(t, 20, 2, s) for s, t in enumerate(texts)]
+    assert all(jaccard(t, c) >= 0.8 > max(jaccard(t, x), jaccard(c, x)) for t, x, c in zip(texts, looser, copies, strict=True))
+    assert sorted(r.doc_id for r in simhash.one_of_each(docs_of(spark, [*looser, *texts, *copies])).collect()) == list(range(40))
+
+
+@pytest.mark.parametrize("size", [4, 4000])
+def test_all_pairs_of_a_key_are_compared(spark, size):
+    r = random.Random(3)
+    texts = [words_text(120, 8100, 10**6)]
+    for s in range(24):
+        texts.append(near_copy(r.choice(texts), 3, s))
+    pairs = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if jaccard(texts[a], texts[b]) >= 0.8]
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    rows = spark.createDataFrame([(7, i, i) for i in range(len(texts))], "key long, id long, label long")
+    links = [(x.a, x.b) for x in simhash.group_links(rows, docs_of(spark, texts).select("doc_id", "text"), size=size).collect()]
+    assert {tuple(sorted(x)) for x in links} <= set(pairs)
+    ours = simhash.components(spark.createDataFrame(links, "a long, b long")).collect()
+    theirs = simhash.components(edges).collect()
+    assert sorted(map(tuple, ours)) == sorted(map(tuple, theirs)) and len({c for _, c in map(tuple, theirs)}) > 1
+
+
 # --- 4
 
 
