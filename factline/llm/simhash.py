@@ -308,11 +308,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sides = zip(batch.column("of_a").to_pylist(), batch.column("of_b").to_pylist(), strict=True)
-            good = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), similarity) for x, y in sides]
+            sides = zip(batch.column("of_a"), batch.column("of_b"), strict=True)
+            good = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), similarity) for x, y in sides]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return save(pairs.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long"), "similar")
+    # Sets of too different sizes can't be similar; they aren't shipped.
+    sizes = F.least(F.length("of_a"), F.length("of_b")) >= similarity * F.greatest(F.length("of_a"), F.length("of_b"))
+    both = pairs.join(left, "a").withColumnRenamed("b", "_b").join(right, (F.col("_b") == F.col("b")) & sizes)
+    return save(both.select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long"), "similar")
 
 
 def _blocks(rows: DataFrame, size: int) -> DataFrame:
@@ -383,7 +386,7 @@ def group_links(rows: DataFrame, texts: DataFrame, similarity: float = SIMILARIT
             found = []
             for a, b in zip(edges, edges[1:], strict=False):
                 part = batch.slice(a, b - a)
-                held = [np.frombuffer(x, np.uint64) for x in part.column("shingles").to_pylist()]
+                held = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column("shingles")]
                 found += linked(part.column("id").to_pylist(), part.column("label").to_pylist(), held, similarity)
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
