@@ -22,7 +22,7 @@ an empty table gives no row; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +39,8 @@ DISTANCE = 4
 BLOCKS = ((53, 11), (42, 11), (31, 11), (20, 11), (10, 10), (0, 10))
 #: Nodes under one key beyond which the key is split again, or dealt in pairs of blocks.
 HEAVY = 4000
+#: Words of all texts of one key beyond which it is dealt in pairs of blocks.
+HEAVY_WORDS = 2_000_000
 SIMILARITY = 0.8
 SIMILARITY_SHINGLE = 5
 #: Sets of similarity s share one band at least with a probability of 1 - (1 - s ** BAND_ROWS) ** BANDS.
@@ -218,28 +220,30 @@ def _features(docs: DataFrame) -> DataFrame:
             texts = text_bytes(chunk.column("text"))
             owner, _, _, hashes = hashed_words(texts)
             edges = np.searchsorted(owner, np.arange(len(texts) + 1))
-            same, bands = [], []
+            same, bands, sizes = [], [], []
             for k in range(len(texts)):
                 words = hashes[edges[k] : edges[k + 1]]
                 same.append(xxhash.xxh3_128_hexdigest(words.tobytes()))
+                sizes.append(len(words))
                 bands.append(band_hashes(shingle_hashes(words)).view(np.int64) if len(words) else None)
-            yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(same, pa.string()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "same", "bands"])
+            arrays = [chunk.column("doc_id"), pa.array(same, pa.string()), pa.array(sizes, pa.int32()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "same", "size", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, same string, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, same string, size int, bands array<long>")
 
 
 def _shingle_sets(docs: DataFrame) -> DataFrame:
-    """Per document: sorted distinct 64-bit hashes of its five-word shingles, packed."""
+    """Per document: sorted distinct 64-bit hashes of its five-word shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in batch_chunks(batches, "text"):
             texts = text_bytes(chunk.column("text"))
             owner, _, _, hashes = hashed_words(texts)
             edges = np.searchsorted(owner, np.arange(len(texts) + 1))
-            sets = [np.unique(shingle_hashes(hashes[edges[k] : edges[k + 1]])).tobytes() for k in range(len(texts))]
-            yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
+            sets = [np.unique(shingle_hashes(hashes[edges[k] : edges[k + 1]]).view(np.int64)) for k in range(len(texts))]
+            yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
 
-    return docs.mapInArrow(run, "doc_id long, shingles binary")
+    return docs.mapInArrow(run, "doc_id long, shingles array<long>")
 
 
 def shingle_hashes(words: np.ndarray, size: int = SIMILARITY_SHINGLE) -> np.ndarray:
@@ -286,18 +290,18 @@ def _whole(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _key_rows(nodes: DataFrame) -> DataFrame:
-    """``(key, id, first)``: nodes under every band hash that another has too, and the least id of those."""
+    """``(key, id, size, first)``: nodes under every band hash that another has too, and the least id of those."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _by_key(batches, "key"):
-            keys, ids = batch.column("key").to_numpy(), batch.column("id").to_numpy()
+            keys, ids, sizes_of = (batch.column(c).to_numpy() for c in ("key", "id", "size"))
             starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
             sizes = np.diff(np.append(starts, len(keys)))
             keep, first = np.repeat(sizes > 1, sizes), np.repeat(ids[starts], sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (keys, ids, first)], names=["key", "id", "first"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (keys, ids, sizes_of, first)], names=["key", "id", "size", "first"])
 
-    keyed = nodes.select("id", F.explode("bands").alias("key")).select("key", "id").repartition("key")
-    return keyed.sortWithinPartitions("key", "id").mapInArrow(run, "key long, id long, first long")
+    keyed = nodes.select("id", "size", F.explode("bands").alias("key")).select("key", "id", "size").repartition("key")
+    return keyed.sortWithinPartitions("key", "id").mapInArrow(run, "key long, id long, size int, first long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -305,35 +309,29 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     sets = save(_shingle_sets(texts.join(ends, "doc_id").dropDuplicates(["doc_id"])), "shingles")
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("of_a")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("of_b"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sides = zip(batch.column("of_a"), batch.column("of_b"), strict=True)
-            good = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), similarity) for x, y in sides]
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
     # Sets of too different sizes can't be similar; they aren't shipped.
-    sizes = F.least(F.length("of_a"), F.length("of_b")) >= similarity * F.greatest(F.length("of_a"), F.length("of_b"))
-    both = pairs.join(left, "a").withColumnRenamed("b", "_b").join(right, (F.col("_b") == F.col("b")) & sizes)
-    return save(both.select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long"), "similar")
+    fits = F.least(F.size("of_a"), F.size("of_b")) >= similarity * F.greatest(F.size("of_a"), F.size("of_b"))
+    pairs_of_sets = pairs.join(left, "a").withColumnRenamed("b", "_b").join(right, (F.col("_b") == F.col("b")) & fits)
+    counted = pairs_of_sets.select("a", "b", F.size(F.array_intersect("of_a", "of_b")).alias("both"), (F.size("of_a") + F.size("of_b")).alias("all"))
+    return save(counted.filter(F.col("both") >= similarity * (F.col("all") - F.col("both"))).select("a", "b"), "similar")
 
 
 def _blocks(rows: DataFrame, size: int) -> DataFrame:
-    """``(group, id, label)``: keys' rows ``(key, id, label)``, a key of over ``size`` nodes as all pairs of blocks of half that size.
+    """``(group, id, label)``: keys' rows ``(key, id, size, label)``, a large key as all pairs of blocks of its nodes.
 
+    A key is large with over ``size`` nodes or ``HEAVY_WORDS`` words; a block has half of that, or is one longer text.
     Groups of the same nodes under several keys are one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _by_key(batches, "key"):
-            keys, ids, labels = (batch.column(c).to_numpy() for c in ("key", "id", "label"))
+            keys, ids, labels, words = (batch.column(c).to_numpy() for c in ("key", "id", "label", "size"))
             edges = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
             held: list[tuple[int, np.ndarray, np.ndarray]] = []
             rows = 0
             for a, b in zip(edges, edges[1:], strict=False):
-                cuts = [slice(k, min(k + size // 2, b)) for k in range(a, b, size // 2)]
-                groups = [(slice(a, b),)] if b - a <= size else combinations(cuts, 2)
-                for parts in groups:
+                whole = b - a <= size and int(words[a:b].sum()) <= HEAVY_WORDS
+                for parts in [(slice(a, b),)] if whole else combinations(pieces(words, a, b), 2):
                     own, marks = (np.concatenate([c[x] for x in parts]) for c in (ids, labels))
                     if (marks == marks[0]).all():
                         continue
@@ -345,11 +343,20 @@ def _blocks(rows: DataFrame, size: int) -> DataFrame:
             if held:
                 yield packed(held)
 
+    def pieces(words: np.ndarray, a: int, b: int) -> list[slice]:
+        cuts, first, total = [], a, 0
+        for k in range(a, b):
+            if k > first and (k - first >= size // 2 or total + words[k] > HEAVY_WORDS // 2):
+                cuts.append(slice(first, k))
+                first, total = k, 0
+            total += int(words[k])
+        return [*cuts, slice(first, b)]
+
     def packed(held: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         groups = np.repeat(np.array([h[0] for h in held]), [len(h[1]) for h in held])
         return pa.RecordBatch.from_arrays([pa.array(groups), *[pa.array(np.concatenate([h[i] for h in held])) for i in (1, 2)]], names=["group", "id", "label"])
 
-    dealt = rows.select("key", "id", "label").repartition("key").sortWithinPartitions("key", "id")
+    dealt = rows.select("key", "id", "size", "label").repartition("key").sortWithinPartitions("key", "id")
     return dealt.mapInArrow(run, "group long, id long, label long").distinct()
 
 
@@ -386,7 +393,9 @@ def group_links(rows: DataFrame, texts: DataFrame, similarity: float = SIMILARIT
             found = []
             for a, b in zip(edges, edges[1:], strict=False):
                 part = batch.slice(a, b - a)
-                held = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column("shingles")]
+                lists = part.column("shingles")
+                ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+                held = [flat[x:y] for x, y in pairwise(ends.tolist())]
                 found += linked(part.column("id").to_pylist(), part.column("label").to_pylist(), held, similarity)
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
@@ -400,13 +409,13 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "
         raise ValueError(f"the bands are cut for similarities of {SIMILARITY} and more")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
     features = save(_features(texts), "features")
-    nodes = save(features.groupBy("same").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "nodes")
+    nodes = save(features.groupBy("same").agg(F.min("doc_id").alias("id"), F.first("size").alias("size"), F.first("bands").alias("bands")), "nodes")
     copies = features.select("same", "doc_id").join(nodes.select("same", "id"), "same").filter("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
     rows = save(_key_rows(nodes.filter("bands is not null")), "keys")
     pairs = save(rows.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     found = _verified(pairs, texts, similarity)
     labels = save(components(found), "labels")
-    labelled = rows.join(labels, rows.id == labels.node, "left").select("key", "id", F.coalesce("component", "id").alias("label"))
+    labelled = rows.join(labels, rows.id == labels.node, "left").select("key", "id", "size", F.coalesce("component", "id").alias("label"))
     # Of two nodes all is known, and of nodes of one component; other keys have pairs that nobody looked at.
     mixed = labelled.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("most")).filter("n > 2 and least <> most").select("key")
     more = save(group_links(labelled.join(mixed, "key", "left_semi"), texts, similarity), "links")

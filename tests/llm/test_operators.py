@@ -240,7 +240,7 @@ def test_all_pairs_of_a_key_are_compared(spark, size):
         texts.append(near_copy(r.choice(texts), 3, s))
     pairs = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if jaccard(texts[a], texts[b]) >= 0.8]
     edges = spark.createDataFrame(pairs, "a long, b long")
-    rows = spark.createDataFrame([(7, i, i) for i in range(len(texts))], "key long, id long, label long")
+    rows = spark.createDataFrame([(7, i, 120, i) for i in range(len(texts))], "key long, id long, size int, label long")
     links = [(x.a, x.b) for x in simhash.group_links(rows, docs_of(spark, texts).select("doc_id", "text"), size=size).collect()]
     assert {tuple(sorted(x)) for x in links} <= set(pairs)
     ours = simhash.components(spark.createDataFrame(links, "a long, b long")).collect()
