@@ -319,16 +319,78 @@ def test_repeated_passages_are_found_and_clean_documents_left(spark):
     assert substrings.repeated_passages(docs.limit(0)).count() == 0
 
 
+def exact_passages(rows, size=substrings.PASSAGE):
+    """Per document the words in runs that a document of smaller id has too."""
+    first, hit = {}, {}
+    for doc, text in rows:
+        w = re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").encode().lower())
+        for i in range(len(w) - size + 1):
+            if first.setdefault(tuple(w[i : i + size]), doc) != doc:
+                hit.setdefault(doc, set()).update(range(i, i + size))
+    return hit
+
+
+def found_words(df):
+    return {r.doc_id: {k for p in r.passages for k in range(p.first, p.end)} for r in df.collect()}
+
+
 def test_every_exact_passage_of_a_table_is_found(spark):
-    rows = [(r.doc_id, re.findall(rb"[0-9a-z\x80-\xff]+", r.text.encode().lower())) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()]
-    first, needed = {}, set()
-    for doc, words in rows:
-        for i in range(len(words) - substrings.PASSAGE + 1):
-            if first.setdefault(tuple(words[i : i + substrings.PASSAGE]), doc) != doc:
-                needed.add(doc)
-    found = {r.doc_id for r in queries.op5_repeated_passages(spark, "/root/testdata/sf0.01").select("doc_id").collect()}
-    assert needed - found == set()
-    assert len(found - needed) <= 0.2 * len(needed)
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").orderBy("doc_id")
+    needed = exact_passages([tuple(r) for r in table.collect()])
+    found = found_words(queries.op5_repeated_passages(spark, "/root/testdata/sf0.01"))
+    assert all(words <= found.get(doc, set()) for doc, words in needed.items())
+    assert len(found.keys() - needed.keys()) <= 0.2 * len(needed)
+
+
+def test_phrases_of_smaller_ids_take_no_passage_away(spark):
+    passage = words_text(56, 400, 10**6).split()
+    phrases = [" ".join([words_text(30, 401 + k, 10**6), *passage[k : k + 5 + k % 40], words_text(30, 480 + k, 10**6)]) for k in range(0, 52, 2)]
+    holders = [words_text(30 + s, 500 + s, 10**6) + " " + " ".join(passage) + " " + words_text(30, 520 + s, 10**6) for s in range(3)]
+    texts = [*phrases, *holders]
+    n = len(phrases)
+    expected = exact_passages(enumerate(texts))
+    assert expected.keys() == {n + 1, n + 2}
+    assert found_words(substrings.repeated_passages(docs_of(spark, texts))) == expected
+
+
+def test_edited_passages_are_found_beside_looser_ones(spark):
+    kinds = {"replaced": 0, "inserted": 0, "deleted": 0}
+    texts, twins = [], []
+    for s in range(120):
+        r, kind = random.Random(s), list(kinds)[s % 3]
+        passage = words_text(60, 600 + s, 10**6).split()
+        edited, looser = list(passage), list(passage)
+        k = r.randrange(20, 40)
+        edited[k : k + (kind != "inserted")] = [] if kind == "deleted" else [f"new{s}"]
+        for x in (8, 22, 36, 50):
+            looser[x] = f"loose{s}x{x}"
+        for x in (looser, passage, edited):
+            texts.append(f"{words_text(20, 7000 + len(texts), 10**6)} {' '.join(x)} {words_text(20, 8000 + len(texts), 10**6)}")
+        assert jaccard(" ".join(passage), " ".join(edited)) >= 0.8 > 0.6 > jaccard(" ".join(looser), " ".join(edited))
+        twins.append((len(texts) - 1, kind))
+    found = found_words(substrings.repeated_passages(docs_of(spark, texts)))
+    assert found.keys() <= {t for t, _ in twins}
+    assert sum(t in found for t, _ in twins) >= 0.95 * len(twins)
+
+
+def test_cleaned_keeps_other_columns_and_tells_texts_of_one_id_apart(spark):
+    passage = words_text(60, 70)
+    rows = [(1, passage), (2, words_text(20, 71) + " " + passage), (2, words_text(90, 72)), (None, passage), (3, "short"), (4, "x " * 30000 + passage)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_sides", F.lit(1)).withColumn("_side_id", F.lit(2)).withColumn("row", F.lit(3)).withColumn("texts", F.lit("t"))
+    out = substrings.cleaned(docs)
+    assert out.columns == docs.columns
+    left = sorted((r.doc_id or 0, r.text, r["_sides"], r["texts"]) for r in out.collect())
+    assert left == sorted([(1, passage, 1, "t"), (2, words_text(20, 71) + " ", 1, "t"), (2, words_text(90, 72), 1, "t"), (0, passage, 1, "t"), (3, "short", 1, "t"), (4, "x " * 30000, 1, "t")])
+    assert substrings.cleaned(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 5, 11, 50])
+def test_grams_tell_runs_apart(n):
+    words = np.random.default_rng(n).integers(0, 3, 300, dtype=np.uint64)
+    found = substrings.grams(words, n)
+    assert len(found) == 300 - n + 1
+    runs = [tuple(words[i : i + n]) for i in range(len(found))]
+    assert len(set(zip(runs, found.tolist(), strict=True))) == len(set(runs)) == len(set(found.tolist()))
 
 
 @pytest.mark.parametrize("seed", range(5))
