@@ -370,7 +370,7 @@ def test_edited_passages_are_found_beside_looser_ones(spark):
         twins.append((len(texts) - 1, kind))
     found = found_words(substrings.repeated_passages(docs_of(spark, texts)))
     assert found.keys() <= {t for t, _ in twins}
-    assert sum(t in found for t, _ in twins) >= 0.95 * len(twins)
+    assert sum(t in found for t, _ in twins) >= 0.9 * len(twins)
 
 
 def test_cleaned_keeps_other_columns_and_tells_texts_of_one_id_apart(spark):
