@@ -147,6 +147,25 @@ def exact(queries: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray,
     return near, scores
 
 
+def nearest_rows(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per query the best ``k`` rows of ``vectors``, equal scores by smaller id, and their inner products.
+
+    Every row whose rough product is as good as the ``k``-th, but for rounding, is scored exactly before any is left out.
+    """
+    rough = queries @ vectors.T
+    k = min(k, len(vectors))
+    lengths = np.linalg.norm(queries, axis=1)[:, None] * np.linalg.norm(vectors, axis=1)[None, :]
+    slack = 1e-12 * vectors.shape[1] * lengths
+    least = -np.partition(-(rough - slack), k - 1, axis=1)[:, k - 1]
+    out = []
+    for query, line, need in zip(queries, rough + slack, least, strict=True):
+        near = np.flatnonzero(line >= need)
+        scores = (vectors[near] * query).sum(axis=1)
+        best = np.lexsort((ids[near], -scores))[:k]
+        out.append((near[best], scores[best]))
+    return out
+
+
 def _orderings(entries: DataFrame, width: int, n: int, k: int) -> tuple[Orderings, int]:
     """Fit the orderings on bounded samples, and measure the radius."""
     first = entries.withColumn("_draw", F.xxhash64("id", F.lit("vectors"))).orderBy("_draw").drop("_draw").limit(SAMPLE_VECTORS).select("id", "v").collect()
@@ -237,11 +256,12 @@ def search(rows: DataFrame, k: int = NEIGHBOURS, id_col: str = "vec_id", vector_
                     vectors.append(matrix(part.column("v"), width))
                     held += part.column("ids").to_pylist()
                 elif vectors:
-                    table = np.concatenate(vectors) if table is None else table
+                    if table is None:
+                        table, least = np.concatenate(vectors), np.array([x[0] for x in held])
                     for c in range(0, b - a, 128):
                         some = part.slice(c, 128)
-                        near, scores = exact(matrix(some.column("v"), width), table, k + 1)
-                        best = [[{"score": s, "ids": held[j]} for j, s in zip(row, line, strict=True)] for row, line in zip(near.tolist(), scores.tolist(), strict=True)]
+                        found = nearest_rows(matrix(some.column("v"), width), table, least, k + 1)
+                        best = [[{"score": s, "ids": held[j]} for j, s in zip(near.tolist(), scores.tolist(), strict=True)] for near, scores in found]
                         kind = pa.list_(pa.struct([("score", pa.float64()), ("ids", pa.list_(pa.int64()))]))
                         yield pa.RecordBatch.from_arrays([some.column("id"), pa.array(best, kind)], names=["id", "best"])
 

@@ -117,6 +117,23 @@ def test_neighbours_cases(spark):
     assert ann.search(table.limit(0)).count() == 0
 
 
+def test_equal_scores_go_to_the_smaller_ids(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 128)
+    r = random.Random(1)
+    rows = [(i, [1.0, *[r.choice([-0.5, 0.25, 0.5]) for _ in range(11)]]) for i in range(1, 380)] + [(0, [2.0] + [0.0] * 11), (20, [1.0, 0.25] + [0.0] * 10), (1000, [1.0] + [0.0] * 11)]
+    rows = list({i: (i, v) for i, v in rows}.values())
+    expected = brute_neighbours(rows)
+    found = {}
+    for x in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect():
+        found.setdefault(x.query_id, []).append((-x.score, x.vec_id))
+    assert found[0] == expected[0] == [(-2.0, i) for i in range(1, 21)]
+    assert found.keys() == expected.keys()
+    table, ids = np.array([v for _, v in rows]), np.array([i for i, _ in rows])
+    for q, v in rows[::20]:
+        (near, scores), = ann.nearest_rows(np.array([v]), table, ids, 21)
+        assert [(-s, i) for i, s in zip(ids[near].tolist(), scores.tolist(), strict=True) if i != q][:20] == sorted((-float((np.array(v) * np.array(y)).sum()), i) for i, y in rows if i != q)[:20]
+
+
 def test_hilbert_neighbours_are_a_step_apart():
     cells = np.array(list(itertools.product(range(8), repeat=3)))
     order = cells[np.argsort(ann.hilbert(cells, 3))]
@@ -284,13 +301,24 @@ def test_decontamination_cases(spark, monkeypatch, block):
     cleaned = decontam.removed(docs, bench)
     assert cleaned.columns == docs.columns
     assert cleaned.count() == len(texts) + 1
-    if block > 20:
-        assert not any(r.contaminated for r in decontam.contamination(cleaned, bench).collect())
+    assert not any(r.contaminated for r in decontam.contamination(cleaned, bench).collect())
     kept = {r.doc_id: r.text for r in cleaned.collect()}
     assert kept[len(texts) - 1] == texts[-1]
     assert kept[0] is None
 
 
+@pytest.mark.parametrize("block", [500_000, 10])
+def test_a_cut_that_joins_a_window_of_another_block_is_searched_again(spark, monkeypatch, block):
+    monkeypatch.setattr(decontam, "BLOCK_WORDS", block)
+    items = [(k, " ".join(f"i{k}w{j}" for j in range(10))) for k in range(8)]
+    nested = items[0][1].split()
+    for _, text in items[1:]:
+        nested[5:5] = text.split()
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    cleaned = decontam.removed(docs_of(spark, ["pre " + " ".join(nested) + " post", "clean"]), bench)
+    assert [r.text for r in cleaned.orderBy("doc_id").collect()] == ["pre  post", "clean"]
+
+
 # --- 5
 
 
