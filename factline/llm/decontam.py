@@ -6,8 +6,9 @@ are searched together: each step takes one word more, from the last to the first
 suffixes by ranks of a wavelet matrix over the Burrows-Wheeler transform. Suffixes found are walked back to a sampled
 position. Positions of a window's words are the hit spans; overlapping spans are merged.
 
-The benchmark goes to the tasks in blocks of at most ``BLOCK_WORDS`` words, each block's results being merged by
-document, so what is broadcast has that bound however large the benchmark is.
+The benchmark goes to the tasks in blocks of about ``BLOCK_WORDS`` words, each block's results being merged by document, so
+what is broadcast, and what the driver holds at a time, has that bound however large the benchmark or an item is. A cut can
+bring words together that are a window of a block searched before, so ``removed`` goes over all blocks until none is hit.
 
 Defined cases: null and empty texts have no words; an item without words has no window and never occurs; an item with
 fewer words than the window is one window; rows of one item_id count as one item; repeated documents each get a row; an
@@ -19,15 +20,16 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factline.llm.common import WORD_TABLE, batch_chunks, cut, spans_of, text_bytes
+from factline.llm.common import WORD_TABLE, batch_chunks, cut, save, spans_of, text_bytes
 
 WINDOW = 10
 BLOCK_WORDS = 500_000
@@ -189,13 +191,19 @@ def hits(texts: list[bytes], phrases: Phrases) -> list[tuple[int, np.ndarray, se
     return out
 
 
-def blocks(benchmark: DataFrame, window: int, item_col: str, text_col: str) -> list[Phrases]:
-    """The benchmark in blocks of about BLOCK_WORDS words; a block holds whole items."""
+def blocks(benchmark: DataFrame, window: int, item_col: str, text_col: str) -> Iterator[Phrases]:
+    """The benchmark in blocks of about BLOCK_WORDS words, one at a time; long items come in pieces that share no window."""
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).filter("item is not null and text is not null")
-    words = items.select(F.sum(F.size(F.split("text", " ")))).first()[0] or 0
-    n = -(-words // BLOCK_WORDS)
-    part = F.pmod(F.xxhash64("item"), F.lit(max(1, n)))
-    return [Phrases([(r.item, r.text.encode()) for r in items.filter(part == k).toLocalIterator()], window) for k in range(n)]
+    words = items.select("item", F.filter(F.split("text", r"[^0-9A-Za-z\x{80}-\x{10FFFF}]+"), lambda w: w != "").alias("words")).filter(F.size("words") > 0)
+    step = max(1, BLOCK_WORDS // 4)
+    number = F.floor(F.greatest(F.size("words") - window, F.lit(0)) / step)
+    pieces = F.transform(F.sequence(F.lit(0).cast("long"), number), lambda k: F.concat_ws(" ", F.slice("words", (k * step + 1).cast("int"), step + window - 1)))
+    parts = words.select("item", F.posexplode(pieces).alias("piece", "text"))
+    total = words.select(F.sum(F.size("words"))).first()[0] or 0
+    n = max(1, -(-total // BLOCK_WORDS))
+    part = F.pmod(F.xxhash64("item", "piece"), F.lit(n))
+    for k in range(n):
+        yield Phrases([(r.item, r.text.encode()) for r in parts.filter(part == k).toLocalIterator()], window)
 
 
 def digest(items: set[str] | list[str]) -> str:
@@ -208,11 +216,11 @@ def contamination(
 ) -> DataFrame:
     """Per document: words, words hit by any window of the benchmark, items that occur and a digest of their ids."""
     spark = docs.sparkSession
-    found = blocks(benchmark, window, item_col, item_text_col) or [Phrases([], window)]
+    found = [spark.sparkContext.broadcast(p) for p in blocks(benchmark, window, item_col, item_text_col)]
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     if len(found) > 1:
         return _merged(texts, found)
-    shared = spark.sparkContext.broadcast(found[0])
+    shared = found[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in batch_chunks(batches, "text", SHARD_BYTES):
@@ -228,15 +236,12 @@ def _rows(ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([ids, *columns], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
 
-def _merged(texts: DataFrame, found: list[Phrases]) -> DataFrame:
+def _merged(texts: DataFrame, found: list[Broadcast]) -> DataFrame:
     """Results of several blocks: a row's hit words (as packed bits) and items, brought together by row."""
     # A row has no key but its content: rows of one id and text have the same result, so they share it.
     keyed = texts.withColumn("key", F.sha2(F.concat_ws("|", F.coalesce("doc_id", F.lit("")), F.coalesce("text", F.lit(""))), 256))
-    spark = texts.sparkSession
-
-    def one(phrases: Phrases) -> DataFrame:
-        shared = spark.sparkContext.broadcast(phrases)
 
+    def one(shared: Broadcast) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for chunk in batch_chunks(batches, "text", SHARD_BYTES):
                 got = hits(text_bytes(chunk.column("text")), shared.value)
@@ -272,11 +277,10 @@ def _merged(texts: DataFrame, found: list[Phrases]) -> DataFrame:
 def removed(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``docs`` with every hit span cut from its text, again until the text left has no window; all columns and rows stay."""
     spark = docs.sparkSession
-    out = docs
-    for phrases in blocks(benchmark, window, item_col, item_text_col):
-        shared = spark.sparkContext.broadcast(phrases)
+    found = [spark.sparkContext.broadcast(p) for p in blocks(benchmark, window, item_col, item_text_col)]
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    def without(shared: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for chunk in batch_chunks(batches, text_col, SHARD_BYTES):
                 place = chunk.schema.get_field_index(text_col)
                 column = chunk.column(place)
@@ -298,5 +302,22 @@ def removed(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_co
                     chunk = chunk.set_column(place, chunk.schema.field(place), pa.array(whole, column.type))
                 yield chunk
 
-        out = out.mapInArrow(run, docs.schema)
-    return out
+        return run
+
+    def hit_by(shared: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for chunk in batch_chunks(batches, "text", SHARD_BYTES):
+                yield pa.RecordBatch.from_arrays([pa.array([bool(h.any()) for _, h, _ in hits(text_bytes(chunk.column("text")), shared.value)], pa.bool_())], names=["hit"])
+
+        return run
+
+    out = docs
+    while True:
+        for shared in found:
+            out = out.mapInArrow(without(shared), docs.schema)
+        if len(found) == 1:
+            return out
+        out = save(out, "decontaminated")
+        texts = out.select(F.col(text_col).alias("text"))
+        if all(texts.mapInArrow(hit_by(shared), "hit boolean").filter("hit").isEmpty() for shared in found):
+            return out
