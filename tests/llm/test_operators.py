@@ -117,8 +117,7 @@ def test_neighbours_cases(spark):
     assert ann.search(table.limit(0)).count() == 0
 
 
-def test_equal_scores_go_to_the_smaller_ids(spark, monkeypatch):
-    monkeypatch.setattr(ann, "BLOCK_ROWS", 128)
+def test_equal_scores_go_to_the_smaller_ids(spark):
     r = random.Random(1)
     rows = [(i, [1.0, *[r.choice([-0.5, 0.25, 0.5]) for _ in range(11)]]) for i in range(1, 380)] + [(0, [2.0] + [0.0] * 11), (20, [1.0, 0.25] + [0.0] * 10), (1000, [1.0] + [0.0] * 11)]
     rows = list({i: (i, v) for i, v in rows}.values())
