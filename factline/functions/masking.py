@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 # what stays in front of the mask and group 2 what stays behind it.
 _NAMES = "(?:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|authorization)"
 CREDENTIALS: tuple[tuple[str, str], ...] = (
-    ("private-key", r"()-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*-----END [A-Z ]*PRIVATE KEY-----()"),
-    ("private-key", r"()-----BEGIN [A-Z ]*PRIVATE KEY-----(?:\s+[A-Za-z0-9+/=]{16,})*()"),
+    ("private-key", r"()-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----(?:(?!-----)[\s\S])*+-----END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----()"),
+    # Without an end line: header lines, and lines of the body, whether a line ends as such or as an escape.
+    ("private-key", r"()-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----(?:(?:\s|\\[nrt])++(?:[A-Za-z0-9-]{1,40}:[^\n\\]{1,200}|[A-Za-z0-9+/=]{16,}))*+()"),
     ("aws-access-key", r"()\b(?:AKIA|ASIA)[0-9A-Z]{16}\b()"),
     ("gitlab-token", r"()\bglpat-[A-Za-z0-9_\-]{20,}()"),
     ("github-token", r"()\b(?:gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{40,})()"),

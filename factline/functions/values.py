@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STRING, INTEGER, DECIMAL, BOOLEAN, TIMESTAMP = "String", "Integer", "Decimal", "Boolean", "Timestamp"
@@ -30,8 +30,11 @@ def at(record: Column, path: str) -> Column:
 
 def kind_at(record: Column, path: str) -> Column:
     """The JSON kind at a path: OBJECT, ARRAY, STRING, BOOLEAN, a number type, VOID, or null where absent."""
-    schema = F.schema_of_variant(F.try_variant_get(F.try_parse_json(record), json_path(path), "variant"))
-    return F.regexp_extract(schema, r"^(\w+)", 1)
+    return _kind(F.try_parse_json(record), path)
+
+
+def _kind(parsed: Column, path: str) -> Column:
+    return F.regexp_extract(F.schema_of_variant(F.try_variant_get(parsed, json_path(path), "variant")), r"^(\w+)", 1)
 
 
 def scalar_at(record: Column, path: str) -> Column:
@@ -40,6 +43,19 @@ def scalar_at(record: Column, path: str) -> Column:
     return F.when(~kind.isin("OBJECT", "ARRAY", "VOID"), blank_to_null(at(record, path)))
 
 
+def with_scalars(records: DataFrame, record: str, paths: dict[str, str]) -> DataFrame:
+    """``records`` beside a column for each path, given by the column's name: the scalar there, as ``scalar_at`` gives it.
+
+    A record is parsed once for all kinds, and read once for each path; expressions over the columns read nothing again.
+    """
+    parsed = records.withColumn("_parsed", F.try_parse_json(F.col(record)))
+    read = parsed.select(
+        *records.columns,
+        *[F.struct(_kind(F.col("_parsed"), path).alias("kind"), at(F.col(record), path).alias("text")).alias(name) for name, path in paths.items()],
+    )
+    return read.select(*records.columns, *[F.when(~F.col(name)["kind"].isin("OBJECT", "ARRAY", "VOID"), blank_to_null(F.col(name)["text"])).alias(name) for name in paths])
+
+
 def scalars_at(record: Column, path: str) -> Column:
     """Every scalar at a path as an array of text: the elements of an array, or the one value."""
     kind = kind_at(record, path)

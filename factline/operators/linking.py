@@ -88,23 +88,25 @@ def known_names(store: DataFrame, run: DataFrame, cap: int = KNOWN_NAMES) -> Dat
     return store.select("type", "name", F.lit("store").alias("origin")).unionByName(kept.select("type", "name", F.lit("run").alias("origin")))
 
 
-def alias_closure(things: DataFrame, rounds: int = 50) -> DataFrame:
+def alias_closure(things: DataFrame) -> DataFrame:
     """``(type, thing, component)``: things of one type that share an alias, over any number of steps, are one.
 
-    Things (type, thing, alias) take the least thing of any of their aliases, again and again until none changes. Each
-    round writes its labels to the checkpoint folder.
+    Things (type, thing, alias) take the least thing of any of their aliases, and then the label that this one has, so
+    that labels move twice as far in each round; it ends when no label changes, after about as many rounds as the
+    logarithm of the longest chain. Each round writes its labels to the checkpoint folder.
     """
     labels = things.select("type", "thing").distinct().withColumn("component", F.col("thing"))
-    for _ in range(rounds):
+    while True:
         by_alias = things.join(labels, ["type", "thing"]).groupBy("type", "alias").agg(F.min("component").alias("component"))
         least = things.join(by_alias, ["type", "alias"]).groupBy("type", "thing").agg(F.min("component").alias("least"))
-        moved = labels.join(least, ["type", "thing"]).select("type", "thing", "component", F.least("component", "least").alias("next"))
-        moved = _saved(moved)
-        changed = not moved.filter("next <> component").isEmpty()
-        labels = moved.select("type", "thing", F.col("next").alias("component"))
-        if not changed:
-            break
-    return labels
+        moved = _saved(labels.join(least, ["type", "thing"]).select("type", "thing", "component", F.least("component", "least").alias("next")))
+        if moved.filter("next <> component").isEmpty():
+            return labels
+        # What joined a component brings its old label's things along, and every label moves on to its own label.
+        hooked = moved.groupBy("type", "component").agg(F.min("next").alias("_hooked"))
+        pulled = _saved(moved.join(hooked, ["type", "component"]).select("type", "thing", F.least("next", "_hooked").alias("component")))
+        onward = pulled.select("type", F.col("thing").alias("component"), F.col("component").alias("_onward"))
+        labels = _saved(pulled.join(onward, ["type", "component"]).select("type", "thing", F.least("component", "_onward").alias("component")))
 
 
 def _saved(df: DataFrame) -> DataFrame:
@@ -113,18 +115,19 @@ def _saved(df: DataFrame) -> DataFrame:
     return save(df, "labels")
 
 
-def ancestors(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """``(child, ancestor, depth)`` over (child, parent): every ancestor once, at its least depth; cycles end."""
+def ancestors(edges: DataFrame) -> DataFrame:
+    """``(child, ancestor, depth)`` over (child, parent): every ancestor once, at its least depth, however deep; cycles end."""
     step = edges.select("child", F.col("parent").alias("ancestor")).distinct()
     found = step.withColumn("depth", F.lit(1))
     now = found
-    for depth in range(2, rounds):
+    depth = 1
+    while True:
+        depth += 1
         reached = now.select("child", F.col("ancestor").alias("_via")).join(step.select(F.col("child").alias("_via"), "ancestor"), "_via")
         now = _saved(reached.select("child", "ancestor").distinct().join(found, ["child", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)))
         if now.isEmpty():
-            break
+            return found
         found = found.unionByName(now)
-    return found
 
 
 def admitted_facts(facts: DataFrame, issued: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factline.functions.text import aliases, identity, text_hash
-from factline.functions.values import KINDS, STRING, convert, render_strict, scalar_at, scalars_at
+from factline.functions.values import KINDS, STRING, convert, render_strict, scalars_at, with_scalars
 
 
 @dataclass(frozen=True)
@@ -61,16 +61,18 @@ def mapped_records(records: DataFrame, mapping: Mapping, record: str = "record",
     The record travels on, so facts are read from the same row; ``unconverted`` names the properties that don't convert.
     """
     json = F.col(record)
-    key, name = scalar_at(json, mapping.id), scalar_at(json, mapping.name)
-    mapped = [scalar_at(json, p) for p in mapping.aliases]
-    rendered = [render_strict(t, {f: scalar_at(json, f) for f in mapping.fields}) for t in mapping.alias_templates]
-    converted = {p: convert(p.kind, scalar_at(json, p.path)) for p in mapping.properties}
+    paths = dict.fromkeys([mapping.id, mapping.name, *mapping.aliases, *(mapping.fields if mapping.alias_templates else ()), *(p.path for p in mapping.properties)])
+    held = {path: f"_at{k}" for k, path in enumerate(paths)}
+    mapped = [F.col(held[p]) for p in mapping.aliases]
+    rendered = [render_strict(t, {f: F.col(held[f]) for f in mapping.fields}) for t in mapping.alias_templates]
+    converted = {p: convert(p.kind, F.col(held[p.path])) for p in mapping.properties}
+    key, name = held[mapping.id], held[mapping.name]
     values = F.array(*[F.struct(F.lit(p.name).alias("name"), F.lit(p.kind).alias("kind"), c["value"].alias("value"), c["ok"].alias("ok")) for p, c in converted.items()]) if converted else F.array().cast("array<struct<name:string,kind:string,value:string,ok:boolean>>")
-    rows = records.withColumn("_key", key).withColumn("_name", name).filter("_key is not null and _name is not null")
-    first = rows.groupBy("_key").agg(F.min_by(F.struct(*rows.columns), F.col(order)).alias("r")).select("r.*")
-    own = identity(F.lit(mapping.prefix), F.col("_key"))
+    rows = with_scalars(records.select(record, order), record, {column: path for path, column in held.items()}).filter(F.col(key).isNotNull() & F.col(name).isNotNull())
+    first = rows.groupBy(F.col(key).alias("_key")).agg(F.min_by(F.struct(*rows.columns), F.col(order)).alias("r")).select("r.*")
+    own = identity(F.lit(mapping.prefix), F.col(key))
     out = first.select(
-        own.alias("identity"), F.col("_name").alias("name"), aliases(F.col("_name"), own, F.array(*mapped, *rendered) if mapped or rendered else F.array().cast("array<string>")).alias("aliases"),
+        own.alias("identity"), F.col(name).alias("name"), aliases(F.col(name), own, F.array(*mapped, *rendered) if mapped or rendered else F.array().cast("array<string>")).alias("aliases"),
         text_hash(json).alias("hash"), values.alias("properties"), json.alias("record"), F.col(order).alias("ord"),
     )
     return out.withColumn("unconverted", F.transform(F.filter("properties", lambda p: ~p["ok"]), lambda p: p["name"]))

@@ -28,6 +28,7 @@ class Report:
     facts: int = 0
     superseded: int = 0
     retracted: int = 0
+    unconverted: int = 0
     failed_checks: list[str] = field(default_factory=list)
 
 
@@ -61,15 +62,17 @@ class Engine:
     def run(self, records: DataFrame, spec: mapping.Mapping, now_ms: int, refresh_days: int = 0, complete: bool = True, checks: list[tuple[str, str | None, str | None]] | None = None) -> Report:
         """Import a listing: apply what is new or changed, end what it no longer lists, and publish if the checks pass.
 
-        A listing that isn't complete, or has no record, ends nothing. A run whose checks fail is never published, so no
-        reader sees it.
+        A record with a property that doesn't convert gives no facts and is reported; it is seen, and what else it lists
+        stays. A listing that isn't complete, or has no record, ends nothing. A run whose checks fail is never published, so
+        no reader sees it.
         """
         revision = self.store.next_revision()
-        mapped = save(mapping.kept(mapping.mapped_records(records, spec)), "mapped")
+        mapped = save(mapping.mapped_records(records, spec), "mapped")
         classified = save(self._classified(mapped, now_ms, refresh_days), "classified")
         classes = {r["class"]: r.documents for r in changes.class_counts(classified).collect()}
         taken = classified.filter(F.col("class").isin(changes.NEW, changes.CHANGED)).select(F.col("key").alias("identity"))
-        fresh = mapped.join(taken, "identity", "left_semi")
+        read = mapped.join(taken, "identity", "left_semi")
+        fresh = mapping.kept(read)
         facts = mapping.property_facts(fresh).select("subject", F.lit("Property").alias("predicate_kind"), "predicate", F.col("value").alias("object"), "evidence")
         if spec.relations:
             facts = facts.unionByName(mapping.relation_facts(fresh, spec).select("subject", F.lit("Relation").alias("predicate_kind"), "predicate", F.col("target").alias("object"), "evidence"))
@@ -78,9 +81,9 @@ class Engine:
         added = facts.join(known, ["subject", "predicate", "object"], "left_anti").distinct()
         added = added.select(F.sha2(F.concat_ws("\x1f", "subject", "predicate", "object", F.lit(str(now_ms))), 256).alias("id"), "subject", "predicate_kind", "predicate", "object", F.lit(now_ms).cast("bigint").alias("valid_from"), F.array("evidence").alias("evidence"))
         self.store.stage("assertions", added, revision)
-        self.store.stage("seen", mapped.join(taken, "identity", "left_semi").select(F.col("identity").alias("key"), "hash", F.lit(None).cast("string").alias("unlinked_hash"), F.lit(now_ms).cast("bigint").alias("applied_at")), revision)
+        self.store.stage("seen", read.select(F.col("identity").alias("key"), "hash", F.lit(None).cast("string").alias("unlinked_hash"), F.lit(now_ms).cast("bigint").alias("applied_at")), revision)
         staged = self.store.read("assertions", ASSERTIONS, staged=revision).filter(F.col("revision") == revision)
-        report = Report("ran", revision, classes, staged.count())
+        report = Report("ran", revision, classes, staged.count(), unconverted=read.filter(F.size("unconverted") > 0).count())
         if complete and sum(classes.values()):
             operations = save(self._ended(before, staged, mapped, classified, spec), "ended")
             counts = {r.op: r.n for r in operations.groupBy("op").agg(F.count("*").alias("n")).collect()}

@@ -203,10 +203,10 @@ def stop_older(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 select event_type as adapter, user_id as profile, count(distinct case when event_id % 3 <> 0 then event_id % 4 end) as live,
   case when count(distinct case when event_id % 3 <> 0 then event_id % 4 end) = 1 then min(case when event_id % 3 <> 0 then event_id % 4 end) end as connection
-from events where event_id < 900 group by 1, 2
+from events group by 1, 2
 """)
 def picked_connections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").filter("event_id < 900")
+    e = table(spark, sf_dir, "events")
     return page_source.picked_connection(e.select(F.col("event_type").alias("adapter"), F.col("user_id").alias("profile"), (F.col("event_id") % 4).alias("connection"), (F.col("event_id") % 3 == 0).alias("revoked")))
 
 

@@ -140,3 +140,29 @@ def test_a_stream_of_documents_is_applied_once(spark, tmp_path):
     assert drain() == [("a", "1", "new"), ("b", "1", "new"), ("b", "2", "changed")]
     ingest.apply_batch(store, spark.createDataFrame([("b", "2", "Url", 0)], schema), 9, 2000, 0)
     assert len(drain()) == 3
+
+
+def test_a_value_that_does_not_convert_ends_nothing_else(spark, tmp_path):
+    engine = Engine(spark, f"file://{tmp_path}/home")
+    engine.run(listing(spark, ADA, GRACE), PEOPLE, now_ms=1000)
+    report = engine.run(listing(spark, {**ADA, "age": "old"}, GRACE), PEOPLE, now_ms=2000)
+    assert (report.facts, report.unconverted, report.superseded, report.retracted) == (0, 1, 0, 1)
+    active = {(r.subject[-1], r.predicate, r.object) for r in engine.assertions().filter("lifecycle = 'Active'").collect()}
+    assert active == {("1", "role", "lead"), ("1", "email", "ada@example.com"), ("2", "role", "dev"), ("2", "REPORTS_TO", "Ada")}
+    assert engine.count(listing(spark, {**ADA, "age": "old"}, GRACE), PEOPLE, 3000) == {"unchanged": 2}
+
+
+def test_records_are_parsed_once(spark):
+    plan = mapping.mapped_records(listing(spark, ADA), PEOPLE)._jdf.queryExecution().optimizedPlan().toString()
+    paths = 6  # id, name, handle, role, contact.email, age
+    assert plan.count("get_json_object") + plan.count("GetJsonObject") <= 2 * paths
+    assert plan.lower().count("parse_json") <= 1
+
+
+@pytest.mark.parametrize("n", [3, 130])
+def test_chains_of_aliases_are_one_however_long(spark, n):
+    things = [("T", f"t{(i * 37) % 1000:04}", f"a{i + k}") for i in range(n) for k in (0, 1)] + [("U", "t0000", "a1"), ("T", "z", "other")]
+    found = {(r.type, r.thing): r.component for r in linking.alias_closure(spark.createDataFrame(things, "type string, thing string, alias string")).collect()}
+    assert len(found) == n + 2
+    assert {c for (t, x), c in found.items() if t == "T" and x != "z"} == {"t0000"}
+    assert (found["U", "t0000"], found["T", "z"]) == ("t0000", "z")
