@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 CHUNK_BYTES = 1 << 20
 
 _OWN_DIR: list[str] = []
+_SCRATCH: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,13 +30,30 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN_DIR[0]
 
 
-def save(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: lineage is cut and lost executors cost nothing."""
+def save(df: DataFrame, tag: str, lasting: bool = False) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back: lineage is cut and lost executors cost nothing.
+
+    Inside ``scratch`` the table goes at its end, unless it is to last.
+    """
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    if _SCRATCH and not lasting:
+        _SCRATCH[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables saved inside are deleted at the end; what is needed beyond has to be saved as lasting."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for name in _SCRATCH.pop():
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def byte_chunks(lengths: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges whose lengths sum to about ``limit``; every range has a row at least."""
     start, total = 0, 0
@@ -57,6 +77,16 @@ def batch_chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CH
         lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         for a, b in byte_chunks(lengths, limit):
             yield batch.slice(a, b - a)
+    give_back()
+
+
+def give_back() -> None:
+    """Freed memory back to the system at a task's end: workers are reused, and each would hold the most it ever had."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library, which has its own rules
+        pass
 
 
 # Lower-cases A-Z; maps every byte that is no ASCII letter or digit and below 0x80 to a space.

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factline.llm.common import batch_chunks, hashed_words, mix, save, text_bytes
+from factline.llm.common import batch_chunks, hashed_words, mix, save, scratch, text_bytes
 from factline.llm.components import components
 
 SHINGLE = 4
@@ -424,5 +424,7 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the documents whose group has one of smaller id; all columns stay."""
-    gone = near_groups(docs, similarity, id_col, text_col).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    with scratch(docs.sparkSession):
+        found = near_groups(docs, similarity, id_col, text_col).filter("doc_id <> component_id")
+        gone = save(found.select(F.col("doc_id").alias("_gone")).distinct(), "gone", lasting=True)
     return docs.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")
