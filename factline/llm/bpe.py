@@ -14,7 +14,7 @@ from array import array
 import numpy as np
 
 END_ID = 1
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 300_000
 
 _PLAIN = re.compile(r"[\t\n\r -~¡-įı-ňŊ-ž]*")
 _LETTERS = "a-zªµºÀ-ÖØ-öø-ſ"
