@@ -53,20 +53,33 @@ def eval_cases(cases: DataFrame, answers: DataFrame) -> DataFrame:
     return joined.select("case", F.size("facts").alias("facts"), facts.alias("facts_found"), F.size("nodes").alias("nodes"), nodes.alias("nodes_found"), passed.alias("passed"))
 
 
+#: Needles without an inner word that are broadcast at a time.
+NEEDLE_BLOCK = 10_000
+
+
 def containments(needles: DataFrame, haystack: DataFrame, words: int = 8) -> DataFrame:
     """``(needle_id, doc_id)`` where the document's normalised text has the needle's in it, exactly.
 
-    Both meet by the needle's first ``words`` words (all of them, if it has fewer), which the document must have as whole
-    words; only then the text is compared.
+    Both meet by the needle's inner words, up to ``words`` of them: the first and last may stand inside longer words of the
+    document, those between are whole words there. Only ids and keys are shuffled for that; the texts are compared for what
+    met. Needles of fewer than three words have no inner one and go to all documents in blocks of ``NEEDLE_BLOCK``.
     """
-    ws = F.split(F.col("_text"), " ")
-    asked = needles.withColumn("_text", normal(F.col("needle"))).filter("_text <> ''")
-    asked = asked.withColumn("_size", F.least(F.size(ws), F.lit(words))).withColumn("_key", F.array_join(F.slice(ws, 1, F.col("_size")), " "))
-    docs = haystack.withColumn("_doc", normal(F.col("text"))).withColumn("_words", F.split("_doc", " "))
-    sizes = F.broadcast(asked.select("_size").distinct())  # at most ``words`` rows
-    keys = F.transform(F.sequence(F.lit(1), F.size("_words") - F.col("_size") + 1), lambda i: F.array_join(F.slice("_words", i, F.col("_size")), " "))
-    grams = docs.withColumn("_size", F.explode(F.sequence(F.lit(1), F.least(F.size("_words"), F.lit(words))))).join(sizes, "_size").select("doc_id", "_doc", F.explode(F.array_distinct(keys)).alias("_key"))
-    return asked.join(grams, "_key").filter(F.col("_doc").contains(F.col("_text"))).select("needle_id", "doc_id").distinct()
+    asked = needles.withColumn("_text", normal(F.col("needle"))).filter("_text <> ''").select("needle_id", "_text", F.split("_text", " ").alias("_own"))
+    inner = F.slice("_own", 2, F.least(F.size("_own") - 2, F.lit(words)))
+    keyed = asked.filter(F.size("_own") > 2).withColumn("_size", F.size(inner)).withColumn("_key", F.array_join(inner, " "))
+    docs = haystack.select("doc_id", normal(F.col("text")).alias("_doc"))
+    sizes = F.broadcast(keyed.select("_size").distinct())  # at most ``words`` rows
+    runs = F.transform(F.sequence(F.lit(1), F.size("_words") - F.col("_size") + 1), lambda i: F.array_join(F.slice("_words", i, F.col("_size")), " "))
+    split = docs.select("doc_id", F.split("_doc", " ").alias("_words"))
+    grams = split.join(sizes, F.size("_words") >= F.col("_size")).select("doc_id", F.explode(F.array_distinct(runs)).alias("_key"))
+    met = keyed.select("needle_id", "_text", "_key").join(grams, "_key").select("needle_id", "_text", "doc_id").distinct()
+    found = met.join(docs, "doc_id").filter(F.col("_doc").contains(F.col("_text"))).select("needle_id", "doc_id")
+    short = asked.filter(F.size("_own") <= 2)
+    blocks = -(-short.count() // NEEDLE_BLOCK)
+    for k in range(blocks):
+        block = short.filter(F.pmod(F.xxhash64("needle_id"), F.lit(blocks)) == k).select("needle_id", "_text")
+        found = found.unionAll(docs.join(F.broadcast(block), F.col("_doc").contains(F.col("_text"))).select("needle_id", "doc_id"))
+    return found.distinct()
 
 
 def daily_spend(answers: DataFrame) -> DataFrame:

@@ -85,3 +85,13 @@ def test_personal_data(spark):
     sample = "jane.doe@example.com, +44 20 7946 0958, 4111 1111 1111 1111, 4111 1111 1111 1112, 10.0.0.255 and 10.0.0.256"
     found = {k: one(spark, masking.found(F.col("t"), k), t=sample) for k in masking.PERSONAL}
     assert found == {"Email": ["jane.doe@example.com"], "PaymentCard": ["4111 1111 1111 1111"], "IpAddress": ["10.0.0.255"], "Phone": ["+44 20 7946 0958"]}
+
+
+def test_containment_is_of_substrings(spark):
+    from factline.operators.analytics import containments
+
+    needles = ["the quick brown fox", "quick brown", "fox", "one two three four five six seven eight nine ten", "ck brown fo", "absent words here", "", None]
+    docs = ['He said ("The quick  brown fox), and went', "Done: one two three four five six seven eight nine tenfold", "clean", None]
+    asked = spark.createDataFrame(list(enumerate(needles)), "needle_id long, needle string")
+    held = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    assert sorted(map(tuple, containments(asked, held).collect())) == [(0, 0), (1, 0), (2, 0), (3, 1), (4, 0)]
