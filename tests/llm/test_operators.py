@@ -536,6 +536,28 @@ def test_license_scan(spark):
     assert {i: r.family for i, r in found.items()} == {**{n + k: f for k, f in enumerate(statements)}, n + len(statements): "gpl"}
     assert all(r.probability >= scanner.needed and r.likeness >= licenses.CONFIRM for r in found.values())
     assert licenses.scan(docs.limit(0), scanner).count() == 0
+    # As they stand in files: wrapped, in comments, as headings and tags.
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\n"
+    gpl = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\n"
+    bsd = " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions are met:\n *\n * 1. Redistributions of source code"
+    apache = '// Licensed under the Apache License, Version 2.0 (the "License");\n// you may not use this file except in compliance with the License.\n'
+    wanted = [("mit", mit), ("gpl", gpl), ("bsd", bsd), ("apache-2.0", apache), ("mit", "MIT License\n\nCopyright (c) 2020 Someone"), ("mit", "// SPDX-License-Identifier: MIT\n"), ("gpl", "SPDX-License-Identifier: GPL-3.0-or-later")]
+    files = docs_of(spark, [text for _, text in wanted] + [words_text(20000, 3, 400), *clean[:20]])
+    got = {}
+    for r in licenses.scan(files, scanner).collect():
+        got.setdefault(r.doc_id, set()).add(r.family)
+    first = min(r.doc_id for r in files.select("doc_id").collect())
+    assert all(f in got.get(first + i, set()) for i, (f, _) in enumerate(wanted)), got
+    assert set(got) <= {first + i for i in range(len(wanted))}
+    # Probabilities are those of the plain sums over the model's weights.
+    rows = licenses._hashed(licenses.paragraphs(docs, "doc_id", "text"))
+    scored = licenses._probabilities(scanner.model, licenses.paragraphs(docs, "doc_id", "text")).collect()
+    weights, base = scanner.model.coefficientMatrix.toArray(), scanner.model.interceptVector.toArray()
+    vectors = {(r.doc_id, r.paragraph): r.features.indices for r in rows.collect()}
+    for r in scored:
+        z = base + weights[:, vectors[r.doc_id, r.paragraph]].sum(axis=1)
+        e = np.exp(z - z.max())
+        assert np.allclose(e / e.sum(), r.probabilities)
 
 
 # --- 9
