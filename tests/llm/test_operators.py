@@ -549,6 +549,17 @@ def test_license_scan(spark):
     first = min(r.doc_id for r in files.select("doc_id").collect())
     assert all(f in got.get(first + i, set()) for i, (f, _) in enumerate(wanted)), got
     assert set(got) <= {first + i for i in range(len(wanted))}
+    # What isn't scored could not have been confirmed: every template, less any run of words that leaves its share.
+    telling = set(licenses.telling_words())
+    for texts_of in licenses.TEMPLATES.values():
+        for template in texts_of:
+            ws = re.findall(r"[a-z0-9]+", template.lower())
+            own = list(zip(ws, ws[1:]))
+            silent = {p for p in own if not telling & set(p)}
+            assert len(silent) < licenses.CONFIRM * len(set(own)), template
+    cases = ["UNDER_LICENSE", "relicensed", "the\tMozilla", "nothing", "(Licensed)", None]
+    said = spark.createDataFrame([(c,) for c in cases], "t string").select(licenses.may_state(F.col("t")).alias("said")).collect()
+    assert [r.said for r in said] == [True, False, True, False, True, None]
     # Probabilities are those of the plain sums over the model's weights.
     rows = licenses._hashed(licenses.paragraphs(docs, "doc_id", "text"))
     scored = licenses._probabilities(scanner.model, licenses.paragraphs(docs, "doc_id", "text")).collect()
