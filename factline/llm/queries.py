@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factline.llm import ann, chat, decontam, langid, licenses, packing, simhash, substrings, tokenbin, tokencount
+from factline.llm import ann, chat, decontam, langid, licenses, packing, simhash, substrings, tokenbin, tokencount, turns
 
 WORD_BPE = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
@@ -66,10 +66,28 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.digests(turns.repair(*damaged(_table(spark, sf_dir, "conversations"))))
+
+
+def damaged(rows: DataFrame) -> tuple[DataFrame, Column]:
+    """Rows with faults put in by a hash of their place, and which of them are still there."""
+    place = F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), F.lit(":"), F.coalesce(F.col("turn").cast("string"), F.lit(" ")))
+    text = F.coalesce("text", F.lit(" "))
+    rows = rows.select("conv_id", "turn", F.coalesce("role", F.lit(" ")).alias("role"), text.alias("text"), (F.crc32(place.cast("binary")) % 20).alias("damage"))
+    broken = rows.select(
+        "conv_id", "turn", F.when(F.col("damage") == 4, "user").otherwise(F.col("role")).alias("role"), "damage",
+        F.when(F.col("damage") == 1, "").when(F.col("damage") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text")).alias("text"),
+        F.explode(F.array_repeat(F.lit(0), F.when(F.col("damage") == 3, 2).otherwise(1))).alias("copy"),
+    )
+    return broken, F.col("damage") != 0
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_language_id, op2_nearest_neighbours, op3_simhash, op4_decontamination, op5_repeated_passages,
         op6_token_ids, op7_chat_format, op8_license_scan, op9_packing, op10_token_counts,
+        op11_conversation_repair,
     )
     return {f.__name__: f for f in found}
 
@@ -113,5 +131,55 @@ from x group by conv_id
 """
 
 
+OP11_SQL = r"""
+with recursive
+-- crc32 bit by bit: DuckDB has none
+placed as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') as place from conversations),
+hashed as (
+  select *, xor(list_reduce(list_transform(range(1, length(place) + 1), lambda i: cast(ascii(place[i]) as bigint)),
+    lambda c, b: list_reduce(range(8), lambda x, j: xor(x >> 1, (x & 1) * 3988292384), xor(c, b)), 4294967295), 4294967295) % 20 as damage from placed),
+broken as (
+  select conv_id, turn, case when damage = 4 then 'user' else role end as role,
+    case damage when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+    unnest(case when damage = 3 then [0, 1] else [0] end) as again from hashed where damage <> 0),
+numbered as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text, again) as i,
+    row_number() over (partition by conv_id, role, text order by turn nulls first, again) as nth from broken),
+faulty as (
+  select *, role[1] as initial, case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 'b' when nth > 1 then 'd'
+    when not regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') then 't' else '' end as fault,
+    lag(role[1]) over (partition by conv_id order by i) as before from numbered),
+figures as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'b') as blank,
+    count(*) filter (fault = 'd') as duplicate, count(*) filter (fault = 't') as truncated, count(*) as n,
+    count(*) filter (i > 1 and (before || initial) not in ('su', 'ua', 'au')) as illegal from faulty group by conv_id),
+-- states: 0 nothing yet, 1 after system, 2 after user, 3 after assistant
+inserts(s, t, edit, lines) as (values (0, 0, '', []::varchar[]), (1, 1, '', []), (2, 2, '', []), (3, 3, '', []), (0, 2, 'I', ['user:']), (1, 2, 'I', ['user:']),
+  (3, 2, 'I', ['user:']), (2, 3, 'I', ['assistant:']), (0, 3, 'II', ['user:', 'assistant:']), (1, 3, 'II', ['user:', 'assistant:'])),
+edits(s, t, edit, initial, cost) as (values (0, 1, 'K', 's', 0), (0, 2, 'K', 'u', 0), (1, 2, 'K', 'u', 0), (3, 2, 'K', 'u', 0), (2, 3, 'K', 'a', 0),
+  (0, 2, 'R', '', 2), (1, 2, 'R', '', 2), (3, 2, 'R', '', 2), (2, 3, 'R', '', 2), (0, 0, 'D', '', 3), (1, 1, 'D', '', 3), (2, 2, 'D', '', 3), (3, 3, 'D', '', 3)),
+reached as (
+  select f.conv_id, cast(0 as bigint) as i, x.t as state, cast(2 * len(x.edit) as bigint) as cost, x.edit as audit, x.lines from figures f join inserts x on x.s = 0
+  union all
+  select conv_id, i, state, way.cost, way.audit, way.lines from (
+    select w.conv_id, w.i + 1 as i, x.t as state, min({'cost': w.cost + e.cost + 2 * len(x.edit) + case when f.fault = 't' and e.edit <> 'D' then 1 else 0 end,
+      'audit': w.audit || e.edit || x.edit, 'lines': list_concat(w.lines, case e.edit when 'K' then [f.role || ':' || f.text]
+        when 'R' then [case e.t when 2 then 'user:' else 'assistant:' end || f.text] else [] end, x.lines)}) as way
+    from reached w join faulty f on f.conv_id is not distinct from w.conv_id and f.i = w.i + 1
+    join edits e on e.s = w.state and (e.edit = 'D' or f.fault not in ('b', 'd')) and (e.edit <> 'K' or e.initial = f.initial)
+    join inserts x on x.s = e.t group by w.conv_id, w.i + 1, x.t)),
+best as (
+  select r.conv_id, min({'cost': r.cost, 'audit': r.audit, 'lines': r.lines}) as way
+  from reached r join figures f on f.conv_id is not distinct from r.conv_id and f.n = r.i where r.state in (0, 3) group by r.conv_id)
+select c.conv_id, cast(coalesce(f.gaps, 0) as bigint) as gaps, coalesce(f.blank, 0) as blank, coalesce(f.duplicate, 0) as duplicate,
+  coalesce(f.truncated, 0) as truncated, coalesce(f.illegal, 0) as illegal, coalesce(b.way.cost, 0) as cost, coalesce(b.way.audit, '') as audit,
+  sha256(coalesce(array_to_string(b.way.lines, chr(10)), '')) as repaired_sha256
+from (select distinct conv_id from conversations) c left join figures f on f.conv_id is not distinct from c.conv_id
+left join best b on b.conv_id is not distinct from c.conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": OP4_SQL, "op7_chat_format": OP7_SQL}
+    return {"op11_conversation_repair": OP11_SQL, "op4_decontamination": OP4_SQL, "op7_chat_format": OP7_SQL}
