@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factline.llm import ann, chat, decontam, langid, licenses, packing, simhash, substrings, tokenbin, tokencount, turns
+from factline.llm import ann, centroids, chat, decontam, langid, licenses, packing, simhash, substrings, tokenbin, tokencount, turns
 
 WORD_BPE = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
@@ -83,11 +84,21 @@ def damaged(rows: DataFrame) -> tuple[DataFrame, Column]:
     return broken, F.col("damage") != 0
 
 
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, final = centroids.clustered(_table(spark, sf_dir, "embeddings"))
+    names = [(i, hashlib.sha256(",".join(map(str, c)).encode()).hexdigest()) for i, c in enumerate(final.tolist())]
+    named = spark.createDataFrame(names, "cluster int, centroid_sha256 string")
+    sums = found.groupBy("cluster").agg(F.sum("distance").alias("cluster_inertia"))
+    total = sums.agg(F.sum("cluster_inertia").alias("inertia"))
+    about = named.join(sums, "cluster").crossJoin(total)  # a row per centroid with the one total
+    return found.join(F.broadcast(about), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_language_id, op2_nearest_neighbours, op3_simhash, op4_decontamination, op5_repeated_passages,
         op6_token_ids, op7_chat_format, op8_license_scan, op9_packing, op10_token_counts,
-        op11_conversation_repair,
+        op11_conversation_repair, op12_centroid_clusters,
     )
     return {f.__name__: f for f in found}
 
@@ -181,5 +192,34 @@ left join best b on b.conv_id is not distinct from c.conv_id
 """
 
 
+def _op12_sql(k: int = 40, rounds: int = 5) -> str:
+    """Rounds written out one after another; sums are of exact integers."""
+    steps = [
+        """v as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as x from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64)""",
+        f"""c0 as (
+  select cast(row_number() over (order by h, x) - 1 as integer) as c, x from (
+    select sha256('2:' || coalesce(cast(vec_id as varchar), '')) as h, x from v order by h, x limit {k}))""",
+    ]
+    for n in range(rounds + 1):
+        steps.append(
+            f"""a{n} as (
+  select vec_id, p.x, min({{'d': list_sum(list_transform(list_zip(p.x, q.x), lambda t: (t[1] - t[2]) * (t[1] - t[2]))), 'c': c}}) as best
+  from (select *, row_number() over () as place from v) p cross join c{n} q group by place, vec_id, p.x)"""
+        )
+        if n < rounds:
+            steps.append(
+                f"""s{n} as (
+  select c, list(cast((s - ((s % n) + n) % n) // n as bigint) order by i) as x from (
+    select best.c as c, i, sum(x[i]) as s, count(*) as n from a{n} cross join (select unnest(range(1, 65)) as i) group by best.c, i) group by c),
+c{n + 1} as (select q.c, coalesce(s.x, q.x) as x from c{n} q left join s{n} s on s.c = q.c)"""
+            )
+    return f"""with {", ".join(steps)}
+select vec_id, best.c as cluster, cast(best.d as bigint) as distance, cast(sum(best.d) over (partition by best.c) as bigint) as cluster_inertia,
+  cast(sum(best.d) over () as bigint) as inertia, sha256(array_to_string(q.x, ',')) as centroid_sha256
+from a{rounds} join c{rounds} q on q.c = best.c"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op11_conversation_repair": OP11_SQL, "op4_decontamination": OP4_SQL, "op7_chat_format": OP7_SQL}
+    return {"op12_centroid_clusters": _op12_sql(), "op11_conversation_repair": OP11_SQL, "op4_decontamination": OP4_SQL, "op7_chat_format": OP7_SQL}
