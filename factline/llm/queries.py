@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factline.llm import ann, centroids, chat, decontam, langid, licenses, packing, simhash, substrings, tokenbin, tokencount, turns
+from factline.llm import ann, capfilters, centroids, chat, decontam, langid, licenses, packing, simhash, substrings, tokenbin, tokencount, turns
 
 WORD_BPE = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
@@ -94,11 +94,15 @@ def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(F.broadcast(about), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
 
 
+def op13_embedding_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capfilters.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_language_id, op2_nearest_neighbours, op3_simhash, op4_decontamination, op5_repeated_passages,
         op6_token_ids, op7_chat_format, op8_license_scan, op9_packing, op10_token_counts,
-        op11_conversation_repair, op12_centroid_clusters,
+        op11_conversation_repair, op12_centroid_clusters, op13_embedding_near_copies,
     )
     return {f.__name__: f for f in found}
 
@@ -221,5 +225,18 @@ select vec_id, best.c as cluster, cast(best.d as bigint) as distance, cast(sum(b
 from a{rounds} join c{rounds} q on q.c = best.c"""
 
 
+OP13_SQL = """
+with recursive v as (
+  select vec_id, case when len(embedding) > 0 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding)
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0 then list_transform(embedding, lambda x: cast(x as double)) end as x from embeddings),
+links as (
+  select p.vec_id as a, q.vec_id as b from v p join v q on p.vec_id <> q.vec_id and len(p.x) = len(q.x) where list_cosine_similarity(p.x, q.x) >= 0.95),
+reached(a, b) as (select vec_id, vec_id from v union select r.a, l.b from reached r join links l on l.a = r.b),
+least as (select a, min(b) as component_id from reached group by a)
+select v.vec_id, coalesce(n.n, 0) as n_links, least.component_id, v.vec_id = least.component_id as kept
+from v join least on least.a = v.vec_id left join (select a, count(*) as n from links group by a) n on n.a = v.vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op12_centroid_clusters": _op12_sql(), "op11_conversation_repair": OP11_SQL, "op4_decontamination": OP4_SQL, "op7_chat_format": OP7_SQL}
+    return {"op13_embedding_near_copies": OP13_SQL, "op12_centroid_clusters": _op12_sql(), "op11_conversation_repair": OP11_SQL, "op4_decontamination": OP4_SQL, "op7_chat_format": OP7_SQL}
