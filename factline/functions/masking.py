@@ -11,22 +11,37 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Shapes of credentials as their issuers document them, in the order in which they are masked. Group 1 is
-# what stays in front of the mask and group 2 what stays behind it.
-_NAMES = "(?:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|authorization)"
+from factline.functions.credentials import JOINT, name_pattern
+
+# Names of shapes, which masks show, and the openings, alphabets and least lengths of tokens as issuers give them out;
+# evidence that is stored holds these masks, so they can't be others. Group 1 is what stays in front of the mask and group 2 what
+# stays behind it.
+_NAMES = ("password", "passwd", "passphrase", "pwd", "secret", "token", "api_key", "access_key", "private_key", "credential", "credentials", "authorization", "secret_key")
+_KEY = "[A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
+_NAME = name_pattern(_NAMES)
+_UNMASKED = r"(?!\[masked:)"
 CREDENTIALS: tuple[tuple[str, str], ...] = (
-    ("private-key", r"()-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----(?:(?!-----)[\s\S])*+-----END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----()"),
-    # Without an end line: header lines, and lines of the body, whether a line ends as such or as an escape.
-    ("private-key", r"()-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----(?:(?:\s|\\[nrt])++(?:[A-Za-z0-9-]{1,40}:[^\n\\]{1,200}|[A-Za-z0-9+/=]{16,}))*+()"),
-    ("aws-access-key", r"()\b(?:AKIA|ASIA)[0-9A-Z]{16}\b()"),
-    ("gitlab-token", r"()\bglpat-[A-Za-z0-9_\-]{20,}()"),
-    ("github-token", r"()\b(?:gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{40,})()"),
-    ("slack-token", r"()\bxox[abprs]-[A-Za-z0-9\-]{10,}()"),
-    ("api-key", r"()\bsk-[A-Za-z0-9_\-]{20,}()"),
-    ("jwt", r"()\beyJ[A-Za-z0-9_\-]{8,}\.eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}()"),
-    ("url-password", r"(?i)(\b[a-z][a-z0-9+.\-]{0,30}://[^\s/?#@:]{0,200}:)(?!\[masked:)[^\s/?#@]{1,200}(@)"),
-    ("secret-assignment", rf"(?i)(\b(?:[a-z0-9]{{1,40}}[_-]){{0,4}}{_NAMES}[\"']?[ \t]*(?:=>|=|:[ \t])[ \t]*[\"'`]?)(?!\[masked:)[^\s\"'`]{{6,}}()"),
-)
+    ("private-key", rf"()-----BEGIN {_KEY}(?:(?!-----(?:END|BEGIN) )[\s\S])*+-----END {_KEY}()"),
+    # Without an end line: header lines and lines of the body, ended as such or as an escape, and what a cut left of the last one.
+    ("private-key", rf"()-----BEGIN {_KEY}(?:(?:\s|\\[nrt])++(?:[A-Za-z0-9-]{{1,40}}:[^\n\\]*+|[A-Za-z0-9+/=]{{16,}}+|[A-Za-z0-9+/=]++(?=\s*+\z)))*+()"),
+    ("aws-access-key", r"()\b(?:AKIA|ASIA)[0-9A-Z]{16,}+\b()"),
+    ("gitlab-token", r"()\bglpat-[A-Za-z0-9_\-]{20,}+()"),
+    ("github-token", r"()\b(?:gh[pousr]_[A-Za-z0-9]{36,}+|github_pat_[A-Za-z0-9_]{40,}+)()"),
+    ("slack-token", r"()\bxox[abprs]-[A-Za-z0-9\-]{10,}+()"),
+    ("tavily-key", r"()\btvly-[A-Za-z0-9_\-]{16,}+()"),
+    ("api-key", r"()\bsk-[A-Za-z0-9_\-]{20,}+()"),
+    ("jwt", r"()\beyJ[A-Za-z0-9_\-]{8,}+\.eyJ[A-Za-z0-9_\-]{8,}+\.[A-Za-z0-9_\-]{8,}+()"),
+    # A password ends at the last @ before the path, so it may hold one.
+    ("url-password", rf"(?i)(\b[a-z][a-z0-9+.\-]{{0,30}}://[^\s/?#@:]*+:){_UNMASKED}[^\s/?#\"<>`{{}}|\\^]+(@)"),
+    ("secret-assignment", rf"(?i)((?<![\w-])--?[a-z0-9_-]{{0,40}}?(?:{_NAME})(?:[ \t]{{1,8}}|=)([\"'])){_UNMASKED}[^\"'\r\n]{{6,}}+(\2)"),
+    ("secret-assignment", rf"(?i)((?:{_NAME}){JOINT}){_UNMASKED}[^\s\"'`<>\\]{{6,}}+()"),
+    ("secret-assignment", rf"(\b[A-Z0-9_]{{0,40}}_PASS\\?[\"']?(?:[ \t]{{0,8}}=[ \t]{{0,8}}|:[ \t]{{1,8}})\\?[\"']?){_UNMASKED}[^\s\"'`<>\\]{{6,}}+()"),
+    ("secret-assignment", rf"(?i)(<(?:[a-z0-9_.-]{{0,40}}:)?[a-z0-9_-]{{0,40}}?(?:{_NAME})(?:\s[^<>]{{0,200}})?>\s*+){_UNMASKED}[^\s<>][^<>]{{4,}}+(</)"),
+    # Behind a flag stands a secret if it is no variable, no word of prose and no name of a value in capitals.
+    ("secret-assignment", rf"(?i)((?<![\w-])--?[a-z0-9_-]{{0,40}}?(?:{_NAME})[ \t]{{1,8}}){_UNMASKED}(?![$<(\[{{]|\p{{L}}++(?:[\s.,;:!?)\]}}]|\z)|(?-i:[A-Z_-]++)(?:\s|\z))[^\s\"']{{6,}}+()"),
+)
+#: A text that none of these stand in has nothing to mask.
+_HINT = "(?i)PRIVATE KEY|AKIA|ASIA|glpat-|gh[pousr]_|github_pat_|xox[abprs]-|tvly-|sk-|eyJ|://|_PASS|" + "|".join(n.replace("_", "[_-]?") for n in _NAMES)
 
 # Candidates of personal data, by class.
 PERSONAL: dict[str, str] = {
@@ -39,7 +54,17 @@ PERSONAL: dict[str, str] = {
 
 def mask(text: Column) -> Column:
     """Every credential shape as ``[masked:<shape>]``; what is masked already stays as it is."""
-    return reduce(lambda out, rule: F.regexp_replace(out, rule[1], f"$1[masked:{rule[0]}]$2"), CREDENTIALS, text)
+
+    def replaced(out: Column, rule: tuple[str, str]) -> Column:
+        behind = 3 if r"(\2)" in rule[1] else 2
+        return F.regexp_replace(out, rule[1], f"$1[masked:{rule[0]}]${behind}")
+
+    return F.when(text.rlike(_HINT), reduce(replaced, CREDENTIALS, text)).otherwise(text)
+
+
+def mask_key(key: Column) -> Column:
+    """A document key masked as a text is, except that a value ends at ``&``, ``#`` and their escapes, so that the rest of a link stays."""
+    return F.array_join(F.transform(F.split(key, r"(?=[&#]|%(?:25){0,3}2[36])"), mask), "")
 
 
 def masked_count(before: Column, after: Column) -> Column:

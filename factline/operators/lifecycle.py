@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from decimal import ROUND_HALF_UP, Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factline.operators.tables import saved
+
 SUPERSEDE, RETRACT = "Supersede", "Retract"
 OPERATIONS_PER_TRANSACTION = 1_000
 STORE_MEASURES = ("facts", "nodes", "edges")
@@ -24,48 +26,78 @@ def owned(assertions: DataFrame, evidence: DataFrame) -> DataFrame:
     return active.join(records.filter("all_own").drop("all_own"), "id")
 
 
+def prefixes(record: Column) -> Column:
+    """Every part of an identity that ends before a colon, the longest first; parts escape their own colons, so these are its ancestors."""
+    parts = F.split(record, ":")
+    return F.reverse(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(parts) - 1)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), ":")))
+
+
 def with_kept(mine: DataFrame, claims: DataFrame, unsettled: DataFrame, held: DataFrame | None = None, relation_names: DataFrame | None = None) -> DataFrame:
     """``mine`` with ``kept``: whether any of its records still claims it, isn't settled yet, or is held back.
 
     Claims are ``record, predicate, value``; for relations the value is an alias of the target, and ``relation_names``
-    gives the target node's names (object, name). Unsettled is ``record``. Held is ``prefix, relation`` (null: any): a set of
-    failed calls, small by nature, whose prefixes are compared only after equality of the part up to the last slash.
+    gives the target node's names (object, name). Unsettled is ``record``. Held is ``prefix, relation`` (null: any): calls that failed;
+    a record is held if any of its ancestors is. What has no names, or is neither property nor relation, is kept.
+
+    Reasons are columns of one pass over (assertion, record): each join adds one, and one aggregate settles them. ``mine`` is saved, since
+    it is read for that pass and for the result.
     """
+    mine = saved(mine, "owned")
     one = mine.select("id", "predicate_kind", "predicate", "object", F.explode("records").alias("record"))
-    properties = one.filter(F.col("predicate_kind") == "Property")
-    claimed = properties.join(claims.select("record", "predicate", F.col("value").alias("object")), ["record", "predicate", "object"], "left_semi").select("id")
-    reasons = claimed.unionAll(one.join(unsettled.select("record"), "record", "left_semi").select("id"))
-    relations = one.filter(F.col("predicate_kind") == "Relation")
-    if relation_names is not None:
-        named = relations.join(relation_names.select("object", F.col("name").alias("value")), "object")
-        reasons = reasons.unionAll(named.join(claims.select("record", "predicate", "value"), ["record", "predicate", "value"], "left_semi").select("id"))
-        unknown = relations.join(relation_names.select("object"), "object", "left_anti")
-    else:
-        unknown = relations
-    reasons = reasons.unionAll(unknown.select("id")).unionAll(one.filter(~F.col("predicate_kind").isin("Property", "Relation")).select("id"))
+    if relation_names is None:
+        relation_names = one.sparkSession.createDataFrame([], "object string, name string")
+    relation = F.col("predicate_kind") == "Relation"
+    names = relation_names.select(F.lit("Relation").alias("predicate_kind"), "object", "name").distinct()
+    named = one.join(names, ["predicate_kind", "object"], "left").withColumn("value", F.when(relation, F.col("name")).otherwise(F.col("object")))
+    claimed = claims.select("record", "predicate", "value").distinct().withColumn("_claimed", F.lit(True))
+    reasons = named.join(claimed, ["record", "predicate", "value"], "left").join(unsettled.select("record").distinct().withColumn("_unsettled", F.lit(True)), "record", "left")
+    other = (relation & F.col("name").isNull()) | ~F.col("predicate_kind").isin("Property", "Relation")
+    kept = F.col("_claimed").isNotNull() | F.col("_unsettled").isNotNull() | other
+    flags = reasons.select("id", kept.alias("kept"))
     if held is not None:
-        scope = held.select("prefix", "relation")
-        under = one.withColumn("prefix", F.regexp_extract("record", r"^(.*):[^:]*$", 1))
-        reached = under.join(scope, "prefix").filter(F.col("relation").isNull() | (F.col("relation") == F.col("predicate")))
-        reasons = reasons.unionAll(reached.select("id"))
-    return mine.join(reasons.distinct().withColumn("kept", F.lit(True)), "id", "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
+        scope = held.select(F.regexp_replace("prefix", ":$", "").alias("prefix"), "relation").distinct()
+        under = one.select("id", relation.alias("_relation"), "predicate", F.explode(prefixes(F.col("record"))).alias("prefix"))
+        reached = under.join(scope, "prefix").filter(F.col("relation").isNull() | (F.col("_relation") & (F.col("relation") == F.col("predicate"))))
+        flags = flags.unionByName(reached.select("id", F.lit(True).alias("kept")))
+    settled = flags.groupBy("id").agg(F.bool_or("kept").alias("kept"))
+    return mine.join(settled, "id", "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
 
 
 def ended(marked: DataFrame) -> DataFrame:
     """An operation for every assertion that isn't kept: ``id, op, replaced_by, effective_from, reason``.
 
     A property is superseded by the latest kept assertion of its records, subject and predicate that begins within its own
-    validity (open ends are null), the larger id on a tie; whatever has none is retracted.
+    validity (open ends are null), the larger id on a tie; whatever has none is retracted. Both are sorted together by time, what isn't
+    kept at the end of its validity: the last kept one up to there is the only that can be, so nothing is paired.
     """
-    key = ["records", "subject", "predicate"]
-    kept_ = marked.filter(F.col("kept") & (F.col("predicate_kind") == "Property")).select(*key, F.col("id").alias("_by"), F.col("valid_from").alias("_from"))
-    gone = marked.filter(~F.col("kept"))
-    pairs = gone.filter(F.col("predicate_kind") == "Property").join(kept_, key)
-    within = (F.col("valid_from").isNull() | (F.col("_from") >= F.col("valid_from"))) & (F.col("valid_to").isNull() | (F.col("_from") <= F.col("valid_to")))
-    best = pairs.filter(within).groupBy("id").agg(F.max(F.struct("_from", "_by")).alias("r"))
-    joined = gone.join(best, "id", "left")
+    property_, forever = F.col("predicate_kind") == "Property", F.lit((1 << 63) - 1)
+    at = F.when(F.col("kept"), F.col("valid_from")).otherwise(F.coalesce("valid_to", forever))
+    by = F.when(F.col("kept") & property_ & F.col("valid_from").isNotNull(), F.struct(F.col("valid_from").alias("from"), F.col("id").alias("by")))
+    w = Window.partitionBy("records", "subject", "predicate", property_).orderBy("_at", "_gone", "id").rowsBetween(Window.unboundedPreceding, 0)
+    sorted_ = marked.withColumn("_at", at).withColumn("_gone", ~F.col("kept")).withColumn("_by", by).withColumn("_last", F.last("_by", ignorenulls=True).over(w))
+    begins = F.col("valid_from").isNull() | (F.col("_last.from") >= F.col("valid_from"))
+    gone = sorted_.filter("_gone").withColumn("r", F.when(property_ & begins, F.col("_last")))
     reason = F.when(F.col("r").isNull(), F.concat(F.array_join("records", ", "), F.lit(" no longer lists this value")))
-    return joined.select("id", F.when(F.col("r").isNotNull(), SUPERSEDE).otherwise(RETRACT).alias("op"), F.col("r._by").alias("replaced_by"), F.col("r._from").alias("effective_from"), reason.alias("reason"))
+    return gone.select("id", F.when(F.col("r").isNotNull(), SUPERSEDE).otherwise(RETRACT).alias("op"), F.col("r.by").alias("replaced_by"), F.col("r.from").alias("effective_from"), reason.alias("reason"))
+
+
+def renamed(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``(old, new)``: which record of today an identity under an earlier prefix names, one for each that names any.
+
+    Both have ``key, child, parent, id`` (child and parent null for a source's own records): the same child of a parent named alike,
+    and an id named alike, which is the same text, or in ``old`` the digest that an identity holds where masking would alter it. So each
+    record of today has four names, and the two meet by equality; the same text wins over a digest, then the least key.
+    """
+
+    def alike(part: str) -> Column:
+        return F.array(F.struct(F.lit(0).alias("digest"), F.col(part).alias("text")), F.struct(F.lit(1).alias("digest"), F.substring(F.sha2(part, 256), 1, 16).alias("text")))
+
+    names = new.select(F.col("key").alias("new"), "child", F.explode(alike("parent")).alias("p"), alike("id").alias("i")).select("new", "child", "p", F.explode("i").alias("i"))
+    names = names.filter(F.col("child").isNotNull() | (F.col("p.digest") == 0))
+    today = names.select("new", F.coalesce("child", F.lit("")).alias("child"), F.coalesce("p.text", F.lit("")).alias("parent"), F.col("i.text").alias("id"), (F.col("p.digest") + F.col("i.digest")).alias("rank"))
+    earlier = old.select(F.col("key").alias("old"), F.coalesce("child", F.lit("")).alias("child"), F.coalesce("parent", F.lit("")).alias("parent"), "id")
+    met = earlier.join(today, ["child", "parent", "id"])
+    return met.groupBy("old").agg(F.min_by("new", F.struct("rank", "new")).alias("new"))
 
 
 def deleted_edges(edges: DataFrame, relations: DataFrame, operations: DataFrame) -> DataFrame:

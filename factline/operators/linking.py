@@ -110,7 +110,7 @@ def alias_closure(things: DataFrame) -> DataFrame:
 
 
 def _saved(df: DataFrame) -> DataFrame:
-    from factline.plans.store import save
+    from factline.operators.tables import saved as save
 
     return save(df, "labels")
 

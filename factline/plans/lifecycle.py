@@ -9,6 +9,7 @@ from factline.functions.masking import found, mask, masked_count
 from factline.functions.text import citation_ids, failure_class, percent_encoded
 from factline.operators import lifecycle, redaction
 from factline.operators.ordered import greedy_batches
+from factline.operators.tables import saved
 from factline.plans.registry import Registry, table
 from factline.sources import markdown, pages
 from factline.sources.files import record_documents
@@ -53,7 +54,7 @@ def _operations(spark: SparkSession, sf_dir: str, held: DataFrame | None = None)
     names = listing.select(F.col("customer").alias("object"), F.concat(F.lit("customer "), F.col("customer")).alias("name")).distinct()
     unsettled = listing.filter("k % 97 = 0").select("record")
     marked = lifecycle.with_kept(lifecycle.owned(assertions, evidence), claims, unsettled, held, names)
-    return assertions, lifecycle.ended(marked)
+    return assertions, saved(lifecycle.ended(marked), "operations")
 
 
 _OPS_SQL = f"""
@@ -78,6 +79,55 @@ def retracted_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.deleted_edges(edges, relations, operations).select("id")
 
 
+# Notes of comments of orders, three levels deep; calls failed for some orders, some comments, and for one kind of relation of others.
+_NOTES = """
+with n as (select 'shop:orders:' || l_orderkey || ':c' || l_linenumber || ':n' || (l_partkey % 2) as record, case when l_suppkey % 3 = 0 then 'Relation' else 'Property' end as kind,
+  case when l_suppkey % 2 = 0 then 'BY' else 'text' end as pred, 'a' || l_orderkey || '.' || l_linenumber || '.' || l_partkey || '.' || l_suppkey as id from lineitem),
+h as (select distinct 'shop:orders:' || l_orderkey || ':' as prefix, null as relation from lineitem where l_orderkey % 5 = 0
+  union select distinct 'shop:orders:' || l_orderkey || ':c' || l_linenumber || ':', null from lineitem where l_orderkey % 7 = 1
+  union select distinct 'shop:orders:' || l_orderkey || ':', 'BY' from lineitem where l_orderkey % 11 = 2)
+"""
+
+
+@query(_NOTES + "select distinct id, exists (select 1 from h where starts_with(record, prefix) and (relation is null or kind = 'Relation' and relation = pred)) as kept from n")
+def held_at_any_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem")
+    order = F.concat(F.lit("shop:orders:"), F.col("l_orderkey"))
+    comment = F.concat(order, F.lit(":c"), F.col("l_linenumber"))
+    mine = lines.select(
+        F.concat(F.lit("a"), F.concat_ws(".", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")).alias("id"), F.when(F.col("l_suppkey") % 3 == 0, "Relation").otherwise("Property").alias("predicate_kind"),
+        F.when(F.col("l_suppkey") % 2 == 0, "BY").otherwise("text").alias("predicate"), F.lit("x").alias("object"), F.array(F.concat(comment, F.lit(":n"), F.col("l_partkey") % 2)).alias("records"),
+    )
+    none = F.lit(None).cast("string")
+    held = lines.filter("l_orderkey % 5 = 0").select(F.concat(order, F.lit(":")).alias("prefix"), none.alias("relation"))
+    held = held.unionByName(lines.filter("l_orderkey % 7 = 1").select(F.concat(comment, F.lit(":")).alias("prefix"), none.alias("relation")))
+    held = held.unionByName(lines.filter("l_orderkey % 11 = 2").select(F.concat(order, F.lit(":")).alias("prefix"), F.lit("BY").alias("relation"))).distinct()
+    claims, unsettled = spark.createDataFrame([], "record string, predicate string, value string"), spark.createDataFrame([], "record string")
+    names = spark.createDataFrame([("x", "nobody")], "object string, name string")
+    return lifecycle.with_kept(mine, claims, unsettled, held, names).select("id", "kept").distinct()
+
+
+# Customers' earlier identities: by their key, by its digest, under another parent, or of nobody today.
+@query("""
+with c as (select c_custkey as k, c_nationkey as n, substr(sha256('p' || c_nationkey), 1, 16) as pd, substr(sha256('id' || c_custkey), 1, 16) as d from customer)
+select 'old:' || k as old, 'new:' || k as new from c where k % 5 < 3 union all select 'old2:' || k, 'new:' || k from c where k % 5 = 1 and k % 2 = 0
+""")
+def earlier_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.concat(F.lit("p"), F.col("c_nationkey")).alias("p"), F.concat(F.lit("id"), F.col("c_custkey")).alias("id"))
+    child = F.when(F.col("k") % 2 == 0, "notes")
+    parent = F.when(F.col("k") % 2 == 0, F.col("p"))
+    new = c.select(F.concat(F.lit("new:"), F.col("k")).alias("key"), child.alias("child"), parent.alias("parent"), "id")
+
+    def digest(column: str) -> F.Column:
+        return F.substring(F.sha2(column, 256), 1, 16)
+
+    turn = F.col("k") % 5
+    id_ = F.when(turn == 0, F.col("id")).when(turn.isin(1, 2), digest("id")).otherwise(F.concat(F.lit("gone"), F.col("id")))
+    old = c.select(F.concat(F.lit("old:"), F.col("k")).alias("key"), child.alias("child"), F.when((turn == 2) & parent.isNotNull(), digest("p")).otherwise(parent).alias("parent"), id_.alias("id"))
+    more = c.filter("k % 5 = 1 and k % 2 = 0").select(F.concat(F.lit("old2:"), F.col("k")).alias("key"), child.alias("child"), parent.alias("parent"), "id")
+    return lifecycle.renamed(old.unionByName(more), new)
+
+
 @query(_OPS_SQL + "select id, op from ops where pred <> 'PLACED_BY'")
 def held_prefix_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = spark.createDataFrame([("shop:orders", "PLACED_BY")], "prefix string, relation string")

@@ -69,7 +69,7 @@ where shape is not null
 """)
 def credential_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = _planted(spark, sf_dir).select("doc_id", F.explode(credentials.credentials(F.col("text"))).alias("c"))
-    return each.groupBy("doc_id", "c.shape").agg(F.count("*").alias("found"))
+    return each.groupBy("doc_id", F.col("c.label").alias("shape")).agg(F.count("*").alias("found"))
 
 
 @query(f"select doc_id, sha256(coalesce(text, '') || {_planted_sql(True)}) as hash from documents")

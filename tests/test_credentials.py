@@ -28,7 +28,7 @@ SECRETS = {
 def found(spark, texts):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = rows.select("i", credentials.credentials(F.col("t")).alias("c"), credentials.scrub(F.col("t")).alias("s")).orderBy("i").collect()
-    return [([(c.shape, c.value) for c in r.c], r.s) for r in got]
+    return [([(c.label, c.value) for c in r.c], r.s) for r in got]
 
 
 def test_each_shape_is_found_and_masked(spark):
@@ -57,3 +57,57 @@ def test_masked_at_every_place_and_again_the_same(spark):
     assert len(held) == 2
     assert scrubbed == "[masked:aws-access-key] and [masked:aws-access-key]"
     assert found(spark, [scrubbed]) == [([], scrubbed)]
+
+
+LONG = {
+    "AKIA": "A1B2C3D4E5F6G7H8", "AIza": LETTERS, "ya29.": LETTERS, "dop_v1_": "0a1b2c3d" * 8, "glpat-": LETTERS, "ghp_": LETTERS * 2, "github_pat_": LETTERS * 2, "ATBB": LETTERS,
+    "npm_": LETTERS * 2, "pypi-AgEIcHlwaS5vcmc": LETTERS * 2, "xoxb-": LETTERS, "xapp-1-": LETTERS, "https://hooks.slack.com/services/": LETTERS, "rk_live_": LETTERS, "sk-": LETTERS,
+    "hf_": LETTERS * 2, "https://discord.com/api/webhooks/12/": LETTERS, "123456789:AA": LETTERS + "aZ", "SG." + LETTERS[:22] + ".": LETTERS * 2,
+    "eyJ" + LETTERS + ".eyJ" + LETTERS * 300 + ".": LETTERS, "Bearer ": LETTERS, "Authorization: Basic ": LETTERS, "AccountKey=": LETTERS * 2, "https://u:": LETTERS + "@", "password=": LETTERS,
+}
+
+
+def test_no_tail_of_a_long_token_is_left(spark):
+    texts = [f"before {opening}{rest.rstrip('@') * 10}{'@' if rest.endswith('@') else ''} after" for opening, rest in LONG.items()]
+    for text, (held, scrubbed) in zip(texts, found(spark, texts), strict=True):
+        assert len(held) == 1, text[:60]
+        assert LETTERS[-6:] not in scrubbed and "C3D4" not in scrubbed and "1b2c" not in scrubbed, scrubbed
+        assert scrubbed.startswith("before ") and scrubbed.endswith(" after")
+
+
+def test_names_flags_elements_and_links(spark):
+    v = "Zr4p0p0p0p0"
+    cases = {
+        f"DB_PASSWORD={v}": "DB_PASSWORD=#", f'{{"api_key": "{v}"}}': '{"api_key": "#"}', f"export SMTP_PASS={v} x": "export SMTP_PASS=# x", f"PGPASSWORD={v}": "PGPASSWORD=#",
+        f"<wsse:Password Type='t'>{v}</wsse:Password>": "<wsse:Password Type='t'>#</wsse:Password>", f"run --db-password {v} now": "run --db-password # now",
+        f'run --token "two words {v}"': 'run --token "#"', f"**secret:** {v}": "**secret:** #", f"https://h/a?access_key%3D{v}": "https://h/a?access_key%3D#",
+        "--password PASSWORD and --token string": None, "password = $DB_PASSWORD": None, "the password policy: changed today": None, "render_pass=abcdef123": None,
+    }
+    for (text, wanted), (_, scrubbed) in zip(cases.items(), found(spark, list(cases)), strict=True):
+        assert scrubbed == (wanted.replace("#", "[masked:secret-assignment]") if wanted else text)
+    key = spark.range(1).select(credentials.scrub_key(F.lit(f"https://h/d?token={v}&page=2#top")).alias("k")).first().k
+    assert key == "https://h/d?token=[masked:secret-assignment]&page=2#top"
+
+
+def test_only_the_place_of_a_secret_changes(spark):
+    (held, scrubbed), = found(spark, ["hunter2x is a name; password=hunter2x"])
+    assert scrubbed == "hunter2x is a name; password=[masked:secret-assignment]"
+    (held, scrubbed), = found(spark, ["x://u:Zr4p0p0p0@h and password=x://u:Zr4p0p0p0@h"])
+    assert [h[0] for h in held] == ["url-password", "url-password"]
+
+
+def test_time_grows_with_the_text(spark):
+    import time
+
+    units = ["-----BEGIN PRIVATE KEY-----\n", "a-a_", "password", "eyJaaaaaaaa.", "a://b:", "--token ", "<secret>", "bearer ", "AKIA0"]
+
+    def seconds(n):
+        rows = spark.createDataFrame([(u * (n // len(u)),) for u in units], "t string").repartition(len(units)).cache()
+        rows.count()
+        start = time.time()
+        rows.select(F.length(credentials.scrub(F.col("t")))).collect()
+        return time.time() - start
+
+    seconds(1000)
+    small, large = seconds(16_000), seconds(64_000)
+    assert large < 8 * max(small, 0.5)
