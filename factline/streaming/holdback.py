@@ -25,7 +25,8 @@ from factline.functions.spans import found_at, replaced_at
 
 #: Bytes of a tail at most; a longer one begins no placeholder.
 HELD_BYTES = 128
-SHOWN = "answer string, seq long, shown string, last boolean"
+#: ``part`` is 1 for what was held after a piece and went out for want of another.
+SHOWN = "answer string, seq long, part int, shown string, last boolean"
 
 _LABELS = r"[A-Za-z_][A-Za-z0-9_ -]{0,63}"
 _PLACEHOLDER = rf"\[{_LABELS}-[0-9]{{1,18}}\]"
@@ -83,7 +84,7 @@ class HoldBack(StatefulProcessor):
             self.ahead.removeKey((following,))
             text = held + piece
             held = "" if done else held_tail(text)
-            out.append((key[0], following, text[: len(text) - len(held)], done))
+            out.append((key[0], following, 0, text[: len(text) - len(held)], done))
             following += 1
         if done:
             self.ahead.clear()
@@ -93,13 +94,13 @@ class HoldBack(StatefulProcessor):
         if held:
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait_ms)
         if out:
-            yield pd.DataFrame(out, columns=["answer", "seq", "shown", "last"])
+            yield pd.DataFrame(out, columns=["answer", "seq", "part", "shown", "last"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
         held, following, done = self.tail.get()
         self.tail.update(("", following, done))
         if held:
-            yield pd.DataFrame([(key[0], following - 1, held, False)], columns=["answer", "seq", "shown", "last"])
+            yield pd.DataFrame([(key[0], following - 1, 1, held, False)], columns=["answer", "seq", "part", "shown", "last"])
 
     def close(self) -> None:
         pass
@@ -113,7 +114,10 @@ def held_tail(text: str) -> str:
 
 
 def held_back_stream(pieces: DataFrame, wait_ms: int = 30_000) -> DataFrame:
-    """``(answer, seq, shown, last)`` as a stream; its state store has to be RocksDB's."""
+    """``(answer, seq, part, shown, last)`` as a stream; its state store has to be RocksDB's.
+
+    Timers are of processing time, so a query runs until it is stopped: with ``availableNow`` it would wait for them for ever.
+    """
     rows = pieces.select("answer", F.col("seq").cast("long").alias("seq"), "piece", F.coalesce("last", F.lit(False)).alias("last"))
     return rows.groupBy("answer").transformWithStateInPandas(HoldBack(wait_ms), SHOWN, "Append", "ProcessingTime")
 
