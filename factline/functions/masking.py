@@ -6,12 +6,14 @@ repeat in another; ``tests/test_functions.py`` holds the time on long texts of n
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from factline.functions.credentials import JOINT, name_pattern
+from factline.functions.spans import let
 
 # Names of shapes, which masks show, and the openings, alphabets and least lengths of tokens as issuers give them out;
 # evidence that is stored holds these masks, so they can't be others. Group 1 is what stays in front of the mask and group 2 what
@@ -67,6 +69,30 @@ def mask_key(key: Column) -> Column:
     return F.array_join(F.transform(F.split(key, r"(?=[&#]|%(?:25){0,3}2[36])"), mask), "")
 
 
+#: A text literal of JSON; what follows a key is a colon.
+_LITERAL = r'"(?:[^"\\]|\\.)*+"'
+
+
+def clean_json(record: Column, mask_text: Callable[[Column], Column] = mask) -> Column:
+    """A record's JSON with every text value masked, at any depth; keys, numbers and all that stands between stay as written.
+
+    The literals and what stands between them make up the record in turns, so each literal is read, masked and written by itself. A text that
+    isn't JSON is masked as a whole, and null stays null.
+    """
+    literals = F.regexp_extract_all(record, F.lit(_LITERAL), F.lit(0))
+    gaps = F.split(record, _LITERAL, -1)
+
+    def clean(literal: Column, after: Column) -> Column:
+        value = F.from_json(F.concat(F.lit('{"v":'), literal, F.lit("}")), "v string")["v"]
+        masked = let(value, mask_text)
+        written = let(F.to_json(F.struct(masked.alias("v"))), lambda j: F.substring(j, F.lit(6), F.length(j) - 6))
+        return F.when(after.rlike(r"^\s*:"), literal).when(mask_text(value) == value, literal).otherwise(written)
+
+    cleaned = F.zip_with(literals, F.slice(gaps, F.lit(2), F.size(literals)), lambda v, after: F.concat(clean(v, after), after))
+    whole = F.concat(gaps[0], F.array_join(cleaned, ""))
+    return F.when(F.try_parse_json(record).isNull(), mask_text(record)).otherwise(whole)
+
+
 def masked_count(before: Column, after: Column) -> Column:
     """How many masks a text got."""
     pattern = F.lit(r"\[masked:[a-z-]+\]")

@@ -8,8 +8,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factline.functions.masking import clean_json, mask, masked_count
+from factline.functions.spans import let
 from factline.functions.text import aliases, identity, text_hash
-from factline.functions.values import KINDS, STRING, convert, render_strict, scalars_at, with_scalars
+from factline.functions.values import KINDS, STRING, convert, render_strict, scalar_at, scalars_at, with_scalars
 
 
 @dataclass(frozen=True)
@@ -78,6 +80,51 @@ def mapped_records(records: DataFrame, mapping: Mapping, record: str = "record",
     return out.withColumn("unconverted", F.transform(F.filter("properties", lambda p: ~p["ok"]), lambda p: p["name"]))
 
 
+#: The member of a record's text that holds its links.
+LINKS = "factline.links"
+
+
+def prepared(records: DataFrame, mapping: Mapping, time: str | None = None, record: str = "record") -> DataFrame:
+    """``records`` with ``identity``, made of the raw id, the text cleaned, ``masked``, how many masks that took, and ``published``.
+
+    A time is read from the cleaned text, so that none is stored that masking hides; without a path it is null.
+    """
+    raw = scalar_at(F.col(record), mapping.id)
+    text = clean_json(F.col(record))
+    read = records.withColumn("identity", identity(F.lit(mapping.prefix), F.coalesce(raw, F.lit("")), mask(F.coalesce(raw, F.lit(""))))).withColumn("_text", text)
+    read = read.withColumn("masked", masked_count(F.col(record), F.col("_text"))).withColumn(record, F.col("_text")).drop("_text")
+    return read.withColumn("published", scalar_at(F.col(record), time) if time else F.lit(None).cast("string"))
+
+
+def linked(changes: DataFrame, links: DataFrame) -> DataFrame:
+    """Changes (key, text) with their links (key, relation, tag, ord) written into the text, and ``unlinked``, the text without any.
+
+    Both are written canonically, members in the order of their names and links each once in that of ``ord``, so that equal contents have
+    equal hashes. What the text held as links before is replaced. A text that is no JSON object stays, and ``unlinked`` is null.
+    """
+    first = links.groupBy("key", "relation", "tag").agg(F.min("ord").alias("ord"))
+    own = first.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "relation", "tag"))), lambda x: F.struct(x["relation"].alias("relation"), x["tag"].alias("tag"))).alias("_links"))
+    joined = changes.join(own, "key", "left")
+    members = F.from_json("text", "map<string,variant>")
+    bare = F.map_from_entries(F.array_sort(F.transform(F.map_entries(F.map_filter(members, lambda k, v: k != LINKS)), lambda e: F.struct(e["key"].alias("key"), F.coalesce(F.to_json(e["value"]), F.lit("null")).alias("value")))))
+
+    def written(entries: Column) -> Column:
+        quoted = F.transform(entries, lambda e: F.concat(let(F.to_json(F.struct(e["key"].alias("k"))), lambda j: F.substring(j, F.lit(6), F.length(j) - 6)), F.lit(":"), e["value"]))
+        return F.concat(F.lit("{"), F.array_join(quoted, ","), F.lit("}"))
+
+    entries = F.map_entries(bare)
+    link = F.when(F.col("_links").isNotNull(), F.array(F.struct(F.lit(LINKS).alias("key"), F.to_json("_links").alias("value")))).otherwise(F.array().cast("array<struct<key:string,value:string>>"))
+    is_object = F.coalesce(F.regexp_extract(F.schema_of_variant(F.try_parse_json("text")), r"^(\w+)", 1) == "OBJECT", F.lit(False))
+    out = joined.withColumn("unlinked", F.when(is_object, written(entries))).withColumn("_with", F.when(is_object, written(F.concat(entries, link))))
+    return out.withColumn("text", F.coalesce("_with", "text")).drop("_with", "_links")
+
+
+def links_of(text: Column) -> Column:
+    """The links that a text holds, as an array of ``relation`` and ``tag``; members of another shape are left out."""
+    held = F.from_json(F.get_json_object(text, f"$['{LINKS}']"), "array<struct<relation:string,tag:string>>")
+    return F.filter(F.coalesce(held, F.array().cast("array<struct<relation:string,tag:string>>")), lambda e: e["relation"].isNotNull() & e["tag"].isNotNull())
+
+
 def kept(mapped: DataFrame) -> DataFrame:
     """Records all of whose properties convert; the others are left out and marked seen."""
     return mapped.filter(F.size("unconverted") == 0)

@@ -6,6 +6,8 @@ watermark: the state is the seen table, and a micro-batch that Spark repeats fin
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -29,17 +31,20 @@ def apply_batch(store: Store, batch: DataFrame, batch_id: int, now_ms: int, refr
     docs = first_of_each(batch, ["key"], ["ord"]).withColumn("hash", text_hash(F.col("text"))).withColumn("unlinked_hash", F.lit(None).cast("string"))
     classified = classify(docs, seen_state(store), now_ms, refresh_days)
     taken = classified.filter(F.col("class").isin(NEW, CHANGED))
-    revision = store.next_revision()
+    revision = store.begin("stream")
     store.stage("documents", taken.select("key", "text", "hash", "class", F.lit(batch_id).cast("bigint").alias("batch_id")), revision)
     staged = store.read("documents", "key string, text string, hash string, class string, batch_id long", staged=revision).filter(F.col("revision") == revision)
     store.stage("seen", staged.select("key", "hash", F.lit(None).cast("string").alias("unlinked_hash"), F.lit(now_ms).cast("bigint").alias("applied_at")), revision)
     store.publish(revision)
 
 
-def start(spark: SparkSession, source: DataFrame, store: Store, checkpoint: str, now_ms: int, refresh_days: int) -> StreamingQuery:
-    """Run a streaming source of documents into the store until it is stopped; all that is there, then end."""
+def start(spark: SparkSession, source: DataFrame, store: Store, checkpoint: str, now_ms: int | None, refresh_days: int) -> StreamingQuery:
+    """Run a streaming source of documents into the store until it is stopped; all that is there, then end.
+
+    Without ``now_ms`` each micro-batch is of the time when it is read, so that a change that was held back comes due while a stream runs.
+    """
     return (
-        source.writeStream.foreachBatch(lambda batch, n: apply_batch(store, batch, n, now_ms, refresh_days))
+        source.writeStream.foreachBatch(lambda batch, n: apply_batch(store, batch, n, int(time.time() * 1000) if now_ms is None else now_ms, refresh_days))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
