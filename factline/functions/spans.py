@@ -63,12 +63,12 @@ def settled(found: list[Found]) -> Column:
     return F.array_sort(F.aggregate(F.concat(*[f.spans for f in found]), F.array().cast(SPAN), claim))
 
 
-def replaced_at(text: Column, spans: Column, by: Callable[[Column], Column]) -> Column:
-    """The text with each span (in order, none overlapping) replaced."""
+def replaced_at(text: Column, spans: Column, by: Callable[[Column], Column], keep: Callable[[Column], Column] = lambda t: t) -> Column:
+    """The text with each span (in order, none overlapping) replaced, and what stands between as ``keep`` makes it."""
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(state: Column, span: Column) -> Column:
-        between = F.substring(text, state["at"] + 1, span["start"] - state["at"])
+        between = keep(F.substring(text, state["at"] + 1, span["start"] - state["at"]))
         return F.struct(span["end"].alias("at"), F.concat(state["out"], between, by(span)).alias("out"))
 
-    return F.aggregate(spans, start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    return F.aggregate(spans, start, step, lambda s: F.concat(s["out"], keep(F.substring(text, s["at"] + 1, F.length(text)))))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from factline.functions.spans import let
+
 DAY_MS = 86_400_000
 OVERLAP_MS = 300_000
 
@@ -20,28 +22,36 @@ def _date_ms(date: Column) -> Column:
 
 
 def rfc3339_ms(text: Column) -> Column:
-    """Epoch milliseconds of an RFC 3339 time with an offset: fractions are cut, a 60th second is let pass; null if it isn't one."""
+    """Epoch milliseconds of an RFC 3339 time with an offset: fractions are cut, a 60th second is let pass; null if it isn't one.
+
+    What fits the pattern has its parts at fixed places from either end, so it is matched once.
+    """
+
+    def number(part: Column) -> Column:
+        return part.try_cast("bigint")
 
-    def part(i: int) -> Column:
-        return F.regexp_extract(text, _RFC3339, i)
+    def of(t: Column) -> Column:
+        hour, minute, second = (number(F.substring(t, i, 2)) for i in (12, 15, 18))
+        fraction = number(F.rpad(F.regexp_extract(F.substring(t, 20, 4), r"^\.(\d+)", 1), 3, "0"))
+        utc = F.lower(F.right(t, F.lit(1))) == "z"
+        zone = F.right(t, F.lit(6))
+        off_hour, off_minute = number(F.substring(zone, 2, 2)), number(F.substring(zone, 5, 2))
+        offset = F.when(utc, F.lit(0).cast("bigint")).otherwise(F.when(zone.startswith("-"), -1).otherwise(1) * (off_hour * 60 + off_minute))
+        fits = (hour <= 23) & (minute <= 59) & (second <= 60) & (utc | ((off_hour <= 23) & (off_minute <= 59)))
+        return F.when(fits, _date_ms(F.substring(t, 1, 10)) + ((hour * 60 + minute - offset) * 60 + second) * 1000 + fraction)
 
-    hour, minute, second = (part(i).try_cast("bigint") for i in (2, 3, 4))
-    fraction = F.rpad(F.substring(part(5), 1, 3), 3, "0").try_cast("bigint")
-    zone = part(6)
-    sign = F.when(zone.startswith("-"), -1).otherwise(1)
-    off_hour, off_minute = F.substring(zone, 2, 2).try_cast("bigint"), F.substring(zone, 5, 2).try_cast("bigint")
-    offset = F.when(F.lower(zone) == "z", F.lit(0).cast("bigint")).otherwise(sign * (off_hour * 60 + off_minute))
-    fits = text.rlike(_RFC3339) & (hour <= 23) & (minute <= 59) & (second <= 60) & (F.coalesce(off_hour, F.lit(0)) <= 23) & (F.coalesce(off_minute, F.lit(0)) <= 59)
-    return F.when(fits, _date_ms(part(1)) + ((hour * 60 + minute - offset) * 60 + second) * 1000 + F.coalesce(fraction, F.lit(0)))
+    return let(text, lambda t: F.when(t.rlike(_RFC3339), of(t)))
 
 
 def document_time_ms(text: Column) -> Column:
     """Time of a document: a bare date is its midnight, else RFC 3339, else 9 to 11 digits of epoch seconds; never negative."""
-    trimmed = F.trim(text)
-    date = F.when(trimmed.rlike(r"^\d{4}-\d{2}-\d{2}$"), _date_ms(trimmed))
-    epoch = F.when(trimmed.rlike(r"^\d{9,11}(\.\d+)?$"), F.floor(trimmed.try_cast("decimal(38,9)") * 1000).cast("bigint"))
-    found = F.coalesce(date, rfc3339_ms(trimmed), epoch)
-    return F.when(found >= 0, found)
+
+    def of(t: Column) -> Column:
+        date = F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), _date_ms(t))
+        epoch = F.when(t.rlike(r"^\d{9,11}(\.\d+)?$"), F.floor(t.try_cast("decimal(38,9)") * 1000).cast("bigint"))
+        return F.coalesce(date, rfc3339_ms(t), epoch)
+
+    return let(let(F.trim(text), of), lambda found: F.when(found >= 0, found))
 
 
 def rfc3339(ms: Column) -> Column:

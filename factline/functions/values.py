@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factline.functions.spans import let
+
 STRING, INTEGER, DECIMAL, BOOLEAN, TIMESTAMP = "String", "Integer", "Decimal", "Boolean", "Timestamp"
 KINDS = (STRING, INTEGER, DECIMAL, BOOLEAN, TIMESTAMP)
 
@@ -114,7 +116,7 @@ def convert(kind: str, text: Column, json_kind: Column | None = None) -> Column:
         value = rfc3339_ms(held).cast("string")
     else:
         raise ValueError(f"there is no kind {kind!r}")
-    return F.struct(value.alias("value"), (held.isNull() | value.isNotNull()).alias("ok"))
+    return let(value, lambda v: F.struct(v.alias("value"), (held.isNull() | v.isNotNull()).alias("ok")))
 
 
 def resolve_kinds(named: dict[str, str | None], declared: dict[str, str]) -> dict[str, str]:

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from factline.functions.sums import micros
 from factline.functions.text import normal
+from factline.operators.running import numbered
 
 OUTCOMES = ("ran", "fetch-failed", "extraction-failed", "apply-refused")
 BARS, ENTRIES, NODES, EDGES = 50, 200, 100, 300
@@ -57,12 +64,33 @@ def eval_cases(cases: DataFrame, answers: DataFrame) -> DataFrame:
 NEEDLE_BLOCK = 10_000
 
 
+def _holding(docs: DataFrame, needles: list[tuple], needle_id: T.StructField) -> DataFrame:
+    """``(needle_id, doc_id)`` of documents (doc_id, _doc) that have a needle anywhere in them."""
+    shared = docs.sparkSession.sparkContext.broadcast(needles)
+    schema = T.StructType([T.StructField("needle_id", needle_id.dataType), docs.schema["doc_id"]])
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = ahocorasick.Automaton()
+        for number, (_, text) in enumerate(shared.value):
+            automaton.add_word(text, [*automaton.get(text, []), number])
+        automaton.make_automaton()
+        kind = to_arrow_schema(schema)
+        for batch in batches:
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("_doc").to_pylist(), strict=True):
+                hits = {n for _, some in automaton.iter(text) for n in some} if text and len(automaton) else ()
+                if hits:
+                    ids = [shared.value[n][0] for n in hits]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, kind.field(0).type), pa.array([doc_id] * len(ids), kind.field(1).type)], schema=kind)
+
+    return docs.select("doc_id", "_doc").mapInArrow(find, schema)
+
+
 def containments(needles: DataFrame, haystack: DataFrame, words: int = 8) -> DataFrame:
     """``(needle_id, doc_id)`` where the document's normalised text has the needle's in it, exactly.
 
     Both meet by the needle's inner words, up to ``words`` of them: the first and last may stand inside longer words of the
     document, those between are whole words there. Only ids and keys are shuffled for that; the texts are compared for what
-    met. Needles of fewer than three words have no inner one and go to all documents in blocks of ``NEEDLE_BLOCK``.
+    met. Needles of fewer than three words have no inner one; an automaton of ``NEEDLE_BLOCK`` of them at a time reads each document once.
     """
     asked = needles.withColumn("_text", normal(F.col("needle"))).filter("_text <> ''").select("needle_id", "_text", F.split("_text", " ").alias("_own"))
     inner = F.slice("_own", 2, F.least(F.size("_own") - 2, F.lit(words)))
@@ -77,8 +105,8 @@ def containments(needles: DataFrame, haystack: DataFrame, words: int = 8) -> Dat
     short = asked.filter(F.size("_own") <= 2)
     blocks = -(-short.count() // NEEDLE_BLOCK)
     for k in range(blocks):
-        block = short.filter(F.pmod(F.xxhash64("needle_id"), F.lit(blocks)) == k).select("needle_id", "_text")
-        found = found.unionAll(docs.join(F.broadcast(block), F.col("_doc").contains(F.col("_text"))).select("needle_id", "doc_id"))
+        block = short.filter(F.pmod(F.xxhash64("needle_id"), F.lit(blocks)) == k).select("needle_id", "_text").collect()
+        found = found.unionAll(_holding(docs, [(r.needle_id, r._text) for r in block], needles.schema["needle_id"]))
     return found.distinct()
 
 
@@ -91,9 +119,8 @@ def daily_spend(answers: DataFrame) -> DataFrame:
 
 def daily_ceiling(answers: DataFrame, cap_micros: int) -> DataFrame:
     """Answers with what their day had left before each, and whether it was allowed: anything left at all."""
-    w = Window.partitionBy("day").orderBy("at_ms", "id").rowsBetween(Window.unboundedPreceding, -1)
-    spent = F.coalesce(F.sum("micros").over(w), F.lit(0))
-    return answers.withColumn("remaining", F.lit(cap_micros) - spent).withColumn("allowed", F.col("remaining") > 0)
+    spent = numbered(answers, ["day"], ["at_ms", "id"], {"_spent": F.col("micros")})
+    return spent.withColumn("remaining", F.lit(cap_micros) - F.col("_spent")).withColumn("allowed", F.col("remaining") > 0).drop("_spent", "_number", "_of")
 
 
 def outcome_counts(runs: DataFrame, sources: DataFrame, outcomes: tuple[str, ...] = OUTCOMES) -> DataFrame:

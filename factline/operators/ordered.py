@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factline.operators.running import numbered
+
 BATCH_CHARS = 60_000
 LEAST_BATCH_CHARS = 4_000
 RATE_WINDOW_MS = 60_000
@@ -81,15 +83,12 @@ def admitted(rows: DataFrame, limit: int, identity: str, order: str, at_ms: str)
 
 def chunks(rows: DataFrame, size: int, group: list[str], order: list[str]) -> DataFrame:
     """``chunk``: rows of a group numbered in order, ``size`` at a time."""
-    number = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
-    return rows.withColumn("chunk", F.floor((number - 1) / size).cast("bigint"))
+    return numbered(rows, group, order).withColumn("chunk", F.floor((F.col("_number") - 1) / size).cast("bigint")).drop("_number", "_of")
 
 
 def halves(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     """``half`` 0 for the front half of each group, which gets the smaller part, and 1 for the rest."""
-    w = Window.partitionBy(*group)
-    number, n = F.row_number().over(w.orderBy(*order)), F.count("*").over(w)
-    return rows.withColumn("half", F.when(number <= F.floor(n / 2), 0).otherwise(1))
+    return numbered(rows, group, order).withColumn("half", F.when(F.col("_number") <= F.floor(F.col("_of") / 2), 0).otherwise(1)).drop("_number", "_of")
 
 
 def thread_context(rows: DataFrame, budget: int, thread: str, order: str, text: str) -> DataFrame:

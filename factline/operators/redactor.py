@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factline.functions import credentials
-from factline.functions.spans import SPAN, Found, found_at
+from factline.functions.spans import SPAN, Found, found_at, replaced_at
 from factline.operators.names import with_places
+from factline.operators.ordered import placeholders
 
 CLAIM = "array<struct<step:int,label:string,start:int,end:int,value:string,replacement:string>>"
 
@@ -298,6 +299,28 @@ def scrubbed(claimed: DataFrame, text: str = "text") -> DataFrame:
     return claimed.withColumn("_done", done).withColumn(text, F.col("_done.text")).withColumn("hits", F.coalesce("_done.hits", F.array().cast("array<struct<label:string,offset:int>>"))).drop("_done", "claims")
 
 
+def hidden(claimed: DataFrame, batch: str, key: str, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """``claimed`` with each claim replaced where it stands, and the mapping ``batch, label, value, placeholder`` of those that can be undone.
+
+    A value has one placeholder in its batch, numbered by label in the order of its first appearance. Text between claims that looks
+    like a placeholder of one of the labels gets an equals sign, one more if it has some.
+    """
+    each = claimed.select(batch, key, F.explode("claims").alias("c")).filter("c.replacement is null")
+    values = each.select(batch, key, F.col("c.label").alias("label"), F.col("c.value").alias("value"), F.struct(F.col(key), F.col("c.start").alias("start")).alias("position"))
+    mapping = placeholders(values, batch, "label", "value", "position")
+    used = values.select(batch, key, "label", "value").distinct().join(mapping, [batch, "label", "value"])
+    own = used.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(F.struct("label", "value"), "placeholder"))).alias("_shown"))
+    joined = claimed.join(own, key, "left")
+
+    def shown(c: Column) -> Column:
+        return F.coalesce(c["replacement"], F.try_element_at("_shown", F.struct(c["label"].alias("label"), c["value"].alias("value"))), c["value"])
+
+    def escaped(t: Column) -> Column:
+        return F.regexp_replace(t, r"\[(=*[A-Za-z_][A-Za-z0-9_ -]{0,63}-[0-9]{1,18}\])", "[=$1")
+
+    return joined.withColumn(text, replaced_at(F.col(text), F.col("claims"), shown, escaped)).drop("_shown", "claims"), mapping
+
+
 def claim_counts(claimed: DataFrame) -> DataFrame:
     """``(label, found)`` over all documents."""
     return claimed.select(F.explode("claims").alias("c")).filter(F.col("c.replacement").isNull() | (F.col("c.replacement") != F.col("c.value"))).groupBy("c.label").agg(F.count("*").alias("found"))

@@ -129,3 +129,18 @@ def numbers_to_call(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     docs = _planted(spark, sf_dir, planted)
     return redactor.called_numbers(docs.select("doc_id", F.substring(F.col("text"), F.col("base"), F.length("text")).alias("text")), "doc_id")
+
+
+@query("""
+with d as (select doc_id, doc_id // 50 as batch, 'ZZ-' || (doc_id * 7 % 40) as a, 'ZZ-' || (doc_id % 3) as b, coalesce(text, '') as base from documents),
+v as (select batch, a as value, doc_id, 0 as place from d union all select batch, b, doc_id, 1 from d),
+f as (select batch, value, min((doc_id, place)) as first from v group by batch, value),
+m as (select batch, value, '[Code-' || row_number() over (partition by batch order by first) || ']' as shown from f)
+select doc_id, sha256(base || chr(10) || x.shown || ' and ' || y.shown || ' [team] [=Code-1] [==Late-2]') as hash
+from d join m x on x.batch = d.batch and x.value = d.a join m y on y.batch = d.batch and y.value = d.b
+""")
+def hidden_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first, second = F.concat(F.lit("ZZ-"), F.col("doc_id") * 7 % 40), F.concat(F.lit("ZZ-"), F.col("doc_id") % 3)
+    docs = _planted(spark, sf_dir, F.concat(first, F.lit(" and "), second, F.lit(" Widget 007 [Code-1] [=Late-2]"))).withColumn("batch", F.floor(F.col("doc_id") / 50))
+    policy = Policy(rules=(Rule("Team", "Widget [0-9]{3}", "[team]"), Rule("Code", "ZZ-[0-9]{1,2}")))
+    return redactor.hidden(redactor.with_claims(docs, policy), "batch", "doc_id")[0].select("doc_id", F.sha2("text", 256).alias("hash"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from factline.functions.masking import mask
 from factline.operators import names, redactor
 from factline.operators.redactor import Policy, Rule
+from factline.streaming.holdback import restored
 
 
 def by_hand(text, known):
@@ -123,3 +124,16 @@ def test_entities_masked(spark):
     rows = spark.createDataFrame([("a", ["a", "password=hunter2x", "password=hunter3x", None, "b"]), (None, ["b", "b"]), ("c", None)], "name string, aliases array<string>")
     found = [tuple(r) for r in names.masked_entities(rows, mask).collect()]
     assert found == [("a", ["password=[masked:secret-assignment]", "b"]), (None, ["b"]), ("c", None)]
+
+
+def test_hidden_and_restored(spark):
+    texts = ["mail a@x.org, b@x.org and a@x.org", "b@x.org [Email-1] [=Name-2] token=hunter2x", "[Email-", "", None, "a@x.org"]
+    docs = spark.createDataFrame([(i, "q" if i == 5 else "p", t) for i, t in enumerate(texts)], "id int, batch string, text string")
+    hidden, mapping = redactor.hidden(redactor.with_claims(docs, Policy(("Email", "Credential"))), "batch", "id")
+    shown = {r.id: r.text for r in hidden.collect()}
+    assert shown[0] == "mail [Email-1], [Email-2] and [Email-1]"
+    assert shown[1] == "[Email-2] [=Email-1] [==Name-2] token=[masked:secret-assignment]"
+    assert (shown[2], shown[3], shown[4], shown[5]) == ("[Email-", "", None, "[Email-1]")
+    pairs = mapping.select(F.col("batch").alias("answer"), "placeholder", "value")
+    back = restored(hidden.select("id", F.col("batch").alias("answer"), F.col("text").alias("shown")), pairs)
+    assert {r.id: r.shown for r in back.collect()} == {i: t and t.replace("hunter2x", "[masked:secret-assignment]") for i, t in enumerate(texts)}
