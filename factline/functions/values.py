@@ -36,7 +36,12 @@ def kind_at(record: Column, path: str) -> Column:
 
 
 def _kind(parsed: Column, path: str) -> Column:
-    return F.regexp_extract(F.schema_of_variant(F.try_variant_get(parsed, json_path(path), "variant")), r"^(\w+)", 1)
+    return shape_name(F.try_variant_get(parsed, json_path(path), "variant"))
+
+
+def shape_name(value: Column) -> Column:
+    """The kind of a variant without what it holds: the schema up to its first bracket."""
+    return F.substring_index(F.substring_index(F.schema_of_variant(value), "<", 1), "(", 1)
 
 
 def scalar_at(record: Column, path: str) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from factline.functions.masking import clean_json, mask, masked_count
 from factline.functions.spans import let
 from factline.functions.text import aliases, identity, text_hash
-from factline.functions.values import KINDS, STRING, convert, render_strict, scalar_at, scalars_at, with_scalars
+from factline.functions.values import KINDS, STRING, convert, render_strict, scalar_at, scalars_at, shape_name, with_scalars
 
 
 @dataclass(frozen=True)
@@ -114,7 +114,7 @@ def linked(changes: DataFrame, links: DataFrame) -> DataFrame:
 
     entries = F.map_entries(bare)
     link = F.when(F.col("_links").isNotNull(), F.array(F.struct(F.lit(LINKS).alias("key"), F.to_json("_links").alias("value")))).otherwise(F.array().cast("array<struct<key:string,value:string>>"))
-    is_object = F.coalesce(F.regexp_extract(F.schema_of_variant(F.try_parse_json("text")), r"^(\w+)", 1) == "OBJECT", F.lit(False))
+    is_object = F.coalesce(shape_name(F.try_parse_json(F.col("text"))) == "OBJECT", F.lit(False))
     out = joined.withColumn("unlinked", F.when(is_object, written(entries))).withColumn("_with", F.when(is_object, written(F.concat(entries, link))))
     return out.withColumn("text", F.coalesce("_with", "text")).drop("_with", "_links")
 

@@ -25,7 +25,7 @@ p as (
   from w window w as (partition by walk order by i)),
 e as (
   select *, case when rows_ = 0 then 'empty page' when next is null then 'no next' when next = 'nowhere' then 'missing page'
-    when next <> lead(token) over (partition by walk order by i) then 'repeated token' when i >= 1500 then 'max pages' end as ended from p)
+    when next is distinct from lead(token) over (partition by walk order by i) then 'repeated token' when i >= 1500 then 'max pages' end as ended from p)
 """
 
 

@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factline.functions.values import shape_name
+
 #: Fields of each kind of item: name, path, whether it is a list of texts.
 FIELDS: dict[str, tuple[tuple[str, str, bool], ...]] = {
     "nodes": (("name", "$.canonical_name", False), ("type", "$.type_id", False), ("aliases", "$.aliases", True)),
@@ -43,7 +45,7 @@ def item_lines(lines: DataFrame, text: str = "text") -> DataFrame:
 
 def shape_of(value: Column) -> Column:
     """``STRING``, ``ARRAY``, ``OBJECT``, … of a variant; null where it is absent or null."""
-    return F.nullif(F.regexp_extract(F.schema_of_variant(value), r"^(\w+)", 1), F.lit("VOID"))
+    return F.nullif(shape_name(value), F.lit("VOID"))
 
 
 def _at(path: str) -> Column:
