@@ -46,6 +46,8 @@ SIMILARITY_SHINGLE = 5
 #: Sets of similarity s share one band at least with a probability of 1 - (1 - s ** BAND_ROWS) ** BANDS.
 BANDS = 32
 BAND_ROWS = 4
+#: Bits of the set by which texts are looked up for verification: 16 MB, broadcast.
+MARK_BITS = 1 << 27
 
 _XOR, _TIMES = np.random.default_rng(11).integers(1, 1 << 63, size=(2, BANDS * BAND_ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BIT = np.uint64(1) << np.arange(64, dtype=np.uint64)
@@ -232,18 +234,43 @@ def _features(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, same string, size int, bands array<long>")
 
 
-def _shingle_sets(docs: DataFrame) -> DataFrame:
-    """Per document: sorted distinct 64-bit hashes of its five-word shingles."""
+def marks(ids: DataFrame) -> np.ndarray:
+    """A bit set of fixed size with a bit for each id (column doc_id), by its hash: what isn't marked isn't among them.
+
+    It has ``MARK_BITS`` bits however many ids there are; when it fills up, it only spares less.
+    """
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(MARK_BITS)) + 1
+    dealt = ids.select(F.bitmap_bucket_number(bit).alias("bucket"), F.bitmap_bit_position(bit).alias("place")).repartition("bucket")
+    out = np.zeros(MARK_BITS // 8, np.uint8)
+    for r in dealt.groupBy("bucket").agg(F.bitmap_construct_agg("place").alias("bits")).toLocalIterator():
+        out[(r.bucket - 1) * len(r.bits) :][: len(r.bits)] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def _shingle_sets(docs: DataFrame, of: DataFrame) -> DataFrame:
+    """Per document of ``of`` (doc_id), and of few others: sorted distinct 64-bit hashes of its five-word shingles.
+
+    Texts aren't shuffled to find theirs: each is looked up by its id's bit where it is read.
+    """
+    marked = docs.sparkSession.sparkContext.broadcast(marks(of))
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(MARK_BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in batch_chunks(batches, "text"):
+        bits = marked.value
+
+        def those() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = batch.column("bit").to_numpy()
+                yield batch.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
+
+        for chunk in batch_chunks(those(), "text"):
             texts = text_bytes(chunk.column("text"))
             owner, _, _, hashes = hashed_words(texts)
             edges = np.searchsorted(owner, np.arange(len(texts) + 1))
             sets = [np.unique(shingle_hashes(hashes[edges[k] : edges[k + 1]]).view(np.int64)) for k in range(len(texts))]
             yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
 
-    return docs.mapInArrow(run, "doc_id long, shingles array<long>")
+    return docs.withColumn("bit", bit).mapInArrow(run, "doc_id long, shingles array<long>").dropDuplicates(["doc_id"])
 
 
 def shingle_hashes(words: np.ndarray, size: int = SIMILARITY_SHINGLE) -> np.ndarray:
@@ -307,7 +334,7 @@ def _key_rows(nodes: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Those of the pairs ``(a, b)`` whose shingle sets are similar."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = save(_shingle_sets(texts.join(ends, "doc_id").dropDuplicates(["doc_id"])), "shingles")
+    sets = save(_shingle_sets(texts, ends), "shingles")
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("of_a")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("of_b"))
     # Sets of too different sizes can't be similar; they aren't shipped.
     fits = F.least(F.size("of_a"), F.size("of_b")) >= similarity * F.greatest(F.size("of_a"), F.size("of_b"))
@@ -384,7 +411,7 @@ def group_links(rows: DataFrame, texts: DataFrame, similarity: float = SIMILARIT
     """Links between nodes of one key that are similar and not of one label yet; all pairs are looked at, linked ones apart."""
     blocks = save(_blocks(rows, size), "blocks")
     ends = blocks.select(F.col("id").alias("doc_id")).distinct()
-    sets = save(_shingle_sets(texts.join(ends, "doc_id").dropDuplicates(["doc_id"])), "shingles").withColumnRenamed("doc_id", "id")
+    sets = save(_shingle_sets(texts, ends), "shingles").withColumnRenamed("doc_id", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _by_key(batches, "group"):
