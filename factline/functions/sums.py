@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,3 +29,15 @@ def apportioned(tokens: Column, fixed: Column, everything: Column) -> Column:
 def micros(cost: Column) -> Column:
     """Dollars as whole micro-dollars; a negative cost is none."""
     return F.round(F.greatest(cost, F.lit(0.0)) * 1_000_000).cast("bigint")
+
+
+def token_count(value: Column) -> Column:
+    """A count of tokens as given: a whole number that isn't negative; null for anything else."""
+    text = value.cast("string")
+    return F.when(text.rlike("^[0-9]{1,19}$"), text.try_cast("bigint"))
+
+
+def answer_tokens(*counts: Column) -> Column:
+    """The sum of an answer's counts; null if one of them is missing, negative or no number, or if the sum passes 64 bits."""
+    total = reduce(Column.__add__, [token_count(c).cast("decimal(20,0)") for c in counts])
+    return total.try_cast("bigint")

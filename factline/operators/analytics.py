@@ -123,6 +123,13 @@ def daily_ceiling(answers: DataFrame, cap_micros: int) -> DataFrame:
     return spent.withColumn("remaining", F.lit(cap_micros) - F.col("_spent")).withColumn("allowed", F.col("remaining") > 0).drop("_spent", "_number", "_of")
 
 
+def left_out(rows: DataFrame) -> DataFrame:
+    """``(operation, reason, found, words)`` of records that a fetch left out (operation, reason), in words for a report."""
+    counted = rows.groupBy("operation", "reason").agg(F.count("*").alias("found"))
+    number = F.concat(F.col("found").cast("string"), F.when(F.col("found") == 1, " record ").otherwise(" records "))
+    return counted.withColumn("words", F.concat("operation", F.lit(": "), number, "reason"))
+
+
 def outcome_counts(runs: DataFrame, sources: DataFrame, outcomes: tuple[str, ...] = OUTCOMES) -> DataFrame:
     """Runs of every source by every outcome, also where there are none."""
     every = sources.select("source", F.explode(F.array(*[F.lit(o) for o in outcomes])).alias("outcome"))

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factline.functions.masking import mask_key
 from factline.functions.times import DAY_MS, OVERLAP_MS
 
 NEW, CHANGED, HELD, UNCHANGED = "new", "changed", "held", "unchanged"
@@ -128,6 +129,22 @@ def remembered(seen: DataFrame, applied: DataFrame) -> DataFrame:
     return every.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n", "_new")
 
 
+def loaded(seen: DataFrame) -> DataFrame:
+    """Seen state without keys that still hold a credential: such a document is listed under its masked key and read again."""
+    return seen.filter(mask_key(F.col("key")) == F.col("key"))
+
+
+def adopted(given: DataFrame, seen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Seen entries (key, hash, unlinked_hash, applied_at) to take over, and those refused, with ``reason``.
+
+    An entry needs a key and a time; its hash may be missing, or is 64 hexadecimal digits. What is seen already stays as it is.
+    """
+    bad = F.when(F.coalesce(F.trim("key"), F.lit("")) == "", "no key").when(F.col("applied_at").isNull() | (F.col("applied_at") < 0), "no time").when(F.col("hash").isNotNull() & ~F.col("hash").rlike("^[0-9a-f]{64}$"), "no hash")
+    marked = given.withColumn("reason", bad)
+    good = first_of_each(marked.filter("reason is null").drop("reason"), ["key"], ["applied_at", "hash"])
+    return good.join(seen.select("key"), "key", "left_anti"), marked.filter("reason is not null")
+
+
 def listing_fingerprint(rows: DataFrame, spec: str) -> DataFrame:
     """One row: a hash of the spec and of every (key, hash) in key order; equal for equal listings.
 

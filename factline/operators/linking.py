@@ -42,6 +42,17 @@ def alias_index(nodes: DataFrame) -> DataFrame:
     return named.select("id", "type", "name", "ord", F.explode(terms).alias("term"))
 
 
+def entity_names(entities: DataFrame, limit: int = KNOWN_NAMES) -> DataFrame:
+    """``(type, name, place)``: the first alias of each entity (type, aliases, ord), distinct by type, the first ``limit`` to come.
+
+    Only a name and its first place are sorted, ``limit`` of a type at most leave a task.
+    """
+    named = entities.select("type", F.try_element_at("aliases", F.lit(1)).alias("name"), "ord").filter("name is not null")
+    first = named.groupBy("type", "name").agg(F.min("ord").alias("ord"))
+    place = F.row_number().over(Window.partitionBy("type").orderBy("ord", "name"))
+    return first.withColumn("place", place).filter(F.col("place") <= limit).select("type", "name", "place")
+
+
 def alias_hits(terms: DataFrame, nodes: DataFrame) -> DataFrame:
     """Nodes that any of ``terms`` names, by name or alias without regard to case; each once."""
     asked = terms.select(F.lower("term").alias("term")).distinct()

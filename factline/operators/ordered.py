@@ -91,6 +91,12 @@ def halves(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     return numbered(rows, group, order).withColumn("half", F.when(F.col("_number") <= F.floor(F.col("_of") / 2), 0).otherwise(1)).drop("_number", "_of")
 
 
+def marked_last(rows: DataFrame, group: list[str], order: str) -> DataFrame:
+    """``place``: rows of a group in order, those to be asked alone (alone, failed_runs) behind the rest, fewest failures first."""
+    keyed = rows.withColumn("_last", F.col("alone").cast("int")).withColumn("_runs", F.when(F.col("alone"), F.col("failed_runs")).otherwise(0))
+    return numbered(keyed, group, ["_last", "_runs", order]).withColumnRenamed("_number", "place").drop("_last", "_runs", "_of")
+
+
 def thread_context(rows: DataFrame, budget: int, thread: str, order: str, text: str) -> DataFrame:
     """``context``: texts of earlier rows of a thread, nearest first, ``budget`` characters of them; the last is cut.
 

@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factline.functions.masking import PERSONAL, capitalised, found, mask
+from factline.functions.masking import PERSONAL, capitalised, found, mask, mask_key, masked_count
+from factline.functions.text import text_hash
+from factline.operators.changes import first_of_each
 from factline.operators.ordered import placeholders, rare_words
 
 _NAME = r"(?:Email|PaymentCard|IpAddress|Phone|Name)-[0-9]+"
@@ -17,6 +19,23 @@ def masked_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn(text, mask(F.col(text)))
 
 
+def masking_stage(docs: DataFrame, order: str, max_chars: int | None = None) -> DataFrame:
+    """Documents (key, title, description, text) as a run takes them: masked, one of each key, with ``hash``, ``masked`` and ``cut``.
+
+    Keys that differ in a secret alone are one, the first in order. The hash is of the whole masked text, so that a change behind the
+    cut is a change. ``masked`` counts the masks put in all four.
+    """
+    plain = [c for c in ("title", "description", "text") if c in docs.columns]
+    named = docs.select("*", *[mask(F.col(c)).alias(f"_{c}") for c in plain], mask_key(F.col("key")).alias("_key"))
+    count = reduce(Column.__add__, [F.coalesce(masked_count(F.col(c), F.col(f"_{c}")), F.lit(0)) for c in (*plain, "key")])
+    done = named.withColumn("masked", count).select(*[F.col(f"_{c}").alias(c) if c in (*plain, "key") else F.col(c) for c in docs.columns], "masked")
+    first = first_of_each(done, ["key"], [order]).withColumn("hash", text_hash(F.col("text")))
+    if max_chars is None:
+        return first.withColumn("cut", F.lit(False))
+    long = F.length("text") > max_chars
+    return first.withColumn("cut", F.coalesce(long, F.lit(False))).withColumn("text", F.when(long, F.left("text", F.lit(max_chars))).otherwise(F.col("text")))
+
+
 def class_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """How many values of each declared class all documents have; a class without any counts 0."""
     sums = [F.coalesce(F.sum(F.size(found(F.col(text), k))), F.lit(0)).alias(k) for k in PERSONAL]

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from factline.functions.text import one_line, split_context
 from factline.functions.times import window_placeholders
-from factline.operators import changes, lifecycle, redaction
+from factline.functions.sums import answer_tokens
+from factline.operators import analytics, changes, lifecycle, linking, ordered, redaction
+from factline.plans.lifecycle import _ASSIGNED
 from factline.plans.registry import Registry, table
 
 registry = Registry()
@@ -81,3 +83,80 @@ select o_orderkey, '{"since": "2024-03-01T10:20:30Z", "of": ' || o_orderkey || '
 def filled_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     template = F.concat(F.lit('{"since": "{since}", "of": '), "o_orderkey", F.lit(', "epoch": {until_epoch}, "ago": {since_minutes_ago}, "till": "{until}", "kept": "{other}"}'))
     return table(spark, sf_dir, "orders").select("o_orderkey", window_placeholders(template, 1709288430000, 1709288550000).alias("request"))
+
+
+# Documents whose keys differ in a secret and a page; of each masked key the first one stays.
+@query(rf"""
+with m as (select doc_id, 'https://h/d?token=[masked:secret-assignment]&page=' || (doc_id % 40) as key, regexp_replace(text, '{_ASSIGNED}', '\1[masked:secret-assignment]', 'g') as text, text as plain from documents),
+f as (select *, row_number() over (partition by key order by doc_id) as n from m)
+select key, doc_id, sha256(text) as hash, coalesce(length(text) > 500, false) as cut, sha256(left(text, 500)) as shown,
+  cast(1 + coalesce(len(regexp_extract_all(text, '\[masked:[a-z-]+\]')), 0) as integer) as masked from f where n = 1
+""")
+def masked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.concat(F.lit("https://h/d?token=Zr4p0p0p0"), F.col("doc_id") % 7, F.lit("&page="), F.col("doc_id") % 40)
+    docs = table(spark, sf_dir, "documents").select("doc_id", key.alias("key"), "text")
+    done = redaction.masking_stage(docs, "doc_id", 500)
+    return done.select("key", "doc_id", "hash", "cut", F.sha2("text", 256).alias("shown"), F.col("masked").cast("int").alias("masked"))
+
+
+@query("select 'https://h/' || p_partkey || case when p_partkey % 3 = 0 then '?page=' || p_size else '' end as key from part where p_partkey % 3 <> 1")
+def seen_keys_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    more = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("?page="), "p_size")).when(F.col("p_partkey") % 3 == 1, F.lit("?access_key=Zr4p0p0p0&x=1")).otherwise("")
+    return changes.loaded(table(spark, sf_dir, "part").select(F.concat(F.lit("https://h/"), "p_partkey", more).alias("key")))
+
+
+@query("""
+with g as (select case when p_partkey % 11 <> 0 then 'k' || (p_partkey // 2) end as key, case p_partkey % 4 when 0 then null when 1 then 'bad' else sha256(p_brand) end as hash, case when p_partkey % 7 <> 0 then p_partkey end as t from part),
+ok as (select *, row_number() over (partition by key order by t, hash nulls first) as n from g where key is not null and t is not null and (hash is null or hash <> 'bad')),
+no as (select key, case when key is null then 'no key' when t is null then 'no time' else 'no hash' end as reason from g where key is null or t is null or hash = 'bad')
+select key, hash, 'taken' as outcome from ok where n = 1 and not exists (select 1 from part where p_partkey % 13 = 0 and 'k' || p_partkey = ok.key) union all select key, null, reason from no
+""")
+def adopted_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    given = part.select(
+        F.when(k % 11 != 0, F.concat(F.lit("k"), F.floor(k / 2))).alias("key"), F.when(k % 4 == 0, None).when(k % 4 == 1, "bad").otherwise(F.sha2("p_brand", 256)).alias("hash"),
+        F.lit(None).cast("string").alias("unlinked_hash"), F.when(k % 7 != 0, k).cast("long").alias("applied_at"),
+    )
+    good, bad = changes.adopted(given, part.filter("p_partkey % 13 = 0").select(F.concat(F.lit("k"), "p_partkey").alias("key")))
+    return good.select("key", "hash", F.lit("taken").alias("outcome")).unionByName(bad.select("key", F.lit(None).cast("string").alias("hash"), F.col("reason").alias("outcome")))
+
+
+@query("""
+with n as (select p_type as type, p_brand || ' ' || p_size as name, min(p_partkey) as first from part where p_partkey % 9 <> 0 group by 1, 2),
+r as (select *, row_number() over (partition by type order by first, name) as place from n)
+select type, name, cast(place as integer) as place from r where place <= 5
+""")
+def entity_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aliases = F.when(F.col("p_partkey") % 9 != 0, F.array(F.concat_ws(" ", "p_brand", "p_size"), F.lit("other"))).otherwise(F.array().cast("array<string>"))
+    return linking.entity_names(table(spark, sf_dir, "part").select(F.col("p_type").alias("type"), aliases.alias("aliases"), F.col("p_partkey").alias("ord")), 5)
+
+
+@query("""
+select p_partkey as key, row_number() over (partition by p_brand order by p_partkey % 3 = 0, case when p_partkey % 3 = 0 then p_partkey % 5 else 0 end, p_partkey) as place from part
+""")
+def marked_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    rows = table(spark, sf_dir, "part").select("p_brand", k.alias("key"), (k % 3 == 0).alias("alone"), (k % 5).alias("failed_runs"))
+    return ordered.marked_last(rows, ["p_brand"], "key").select("key", "place")
+
+
+@query("""
+select event_id, case when event_id % 5 = 0 or event_id % 7 = 1 or event_id % 11 = 2 or event_id % 13 = 3 then null else event_id + user_id + 17 end as tokens from events
+""")
+def tokens_of_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    counts = (
+        F.when(e % 5 != 0, e.cast("string")), F.when(e % 7 == 1, "-1").otherwise(F.col("user_id").cast("string")), F.when(e % 11 == 2, "1.5").otherwise("17"), F.when(e % 13 == 3, "9223372036854775807").otherwise("0"),
+    )
+    return table(spark, sf_dir, "events").select("event_id", answer_tokens(*counts).alias("tokens"))
+
+
+@query("""
+with r as (select 'list ' || event_type as operation, case when user_id % 2 = 0 then 'without a key' else 'not followed' end as reason from events union all select 'one', 'without a key' from region where r_regionkey = 0),
+c as (select operation, reason, count(*) as found from r group by operation, reason)
+select *, operation || ': ' || found || case when found = 1 then ' record ' else ' records ' end || reason as words from c
+""")
+def left_out_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select(F.concat(F.lit("list "), "event_type").alias("operation"), F.when(F.col("user_id") % 2 == 0, "without a key").otherwise("not followed").alias("reason"))
+    one = table(spark, sf_dir, "region").filter("r_regionkey = 0").select(F.lit("one").alias("operation"), F.lit("without a key").alias("reason"))
+    return analytics.left_out(rows.unionByName(one))
