@@ -33,6 +33,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,18 +53,27 @@ MEMBERS = 512
 MARGIN = 1e-6
 
 
-def _units(rows: list) -> list[np.ndarray | None]:
+def _rows(column: pa.Array) -> list[np.ndarray | None]:
+    """Vectors in double precision; none where one takes no part."""
+    flat, sizes = column.flatten(), pc.fill_null(pc.list_value_length(column), -1).to_numpy()
+    if len(sizes) and sizes[0] > 0 and (sizes == sizes[0]).all() and not flat.null_count:
+        x = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(sizes), -1)
+        takes = np.isfinite(x).all(1) & x.any(1)
+        return [v if t else None for v, t in zip(x, takes.tolist(), strict=True)]
+    whole = [None if row is None or any(c is None for c in row) else np.array(row, np.float64) for row in column.to_pylist()]
+    return [x if x is not None and len(x) and np.isfinite(x).all() and x.any() else None for x in whole]
+
+
+def _unit(x: np.ndarray | None) -> np.ndarray | None:
+    if x is None:
+        return None
+    x = x / np.abs(x).max()
+    return x / math.sqrt(float(x @ x))
+
+
+def _units(column: pa.Array | list) -> list[np.ndarray | None]:
     """Unit vectors in double precision; none where a vector takes no part."""
-    out: list[np.ndarray | None] = []
-    for row in rows:
-        x = None if row is None or any(c is None for c in row) else np.array(row, np.float64)
-        if x is not None and (not len(x) or not np.isfinite(x).all() or not x.any()):
-            x = None
-        if x is not None:
-            x = x / np.abs(x).max()
-            x /= math.sqrt(float(x @ x))
-        out.append(x)
-    return out
+    return [_unit(x) for x in _rows(column if isinstance(column, pa.Array) else pa.array(column))]
 
 
 @lru_cache(maxsize=64)
@@ -89,17 +99,26 @@ def _scores(x: np.ndarray, rotation: np.ndarray, halves: list[np.ndarray]) -> li
     return [y[:, :cut] @ halves[0].T, second @ halves[1].T]
 
 
-def _decoded(first: np.ndarray, second: np.ndarray, threshold: float) -> np.ndarray:
-    """Filters (first x side + second) whose score exceeds the threshold, or the ``LISTED`` best if those are more."""
-    side = len(first)
-    best = [np.argpartition(-s, min(LISTED, side - 1))[:LISTED] if side > LISTED else np.arange(side) for s in (first, second)]
-    sums = (first[best[0]][:, None] + second[best[1]][None]).ravel()
-    level = min(threshold, float(np.sort(sums)[::-1][min(LISTED, len(sums)) - 1])) - MARGIN  # more than sums are rounded by
-    a = np.flatnonzero(first >= level - second.max())
-    b = np.flatnonzero(second >= level - first.max())
-    b = b[np.argsort(-second[b])]
-    counts = np.searchsorted(-second[b], first[a] - level, side="right")
-    return np.concatenate([i * side + b[:n] for i, n in zip(a.tolist(), counts.tolist(), strict=True)] or [np.zeros(0, np.int64)])
+def _decoded(first: np.ndarray, second: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of vectors by their scores with each half's directions: (vector, filter = first x side + second) where the sum exceeds the threshold.
+
+    Of a vector with fewer than ``LISTED`` of them, the level is lowered to that of its ``LISTED`` best. Only directions that can reach the level
+    with the other half's best are paired.
+    """
+    n, side = first.shape
+    few = min(LISTED, side)
+    best = [np.take_along_axis(s, np.argpartition(-s, few - 1, axis=1)[:, :few], 1) for s in (first, second)]
+    sums = np.sort((best[0][:, :, None] + best[1][:, None, :]).reshape(n, -1), axis=1)[:, ::-1]
+    level = np.minimum(threshold, sums[:, min(LISTED, sums.shape[1]) - 1]) - MARGIN  # more than sums are rounded by
+    ra, ca = np.nonzero(first >= (level - second.max(1))[:, None])
+    rb, cb = np.nonzero(second >= (level - first.max(1))[:, None])
+    of = np.bincount(rb, minlength=n)
+    many = of[ra]
+    a = np.repeat(np.arange(len(ra)), many)
+    b = np.arange(len(a)) + np.repeat((np.cumsum(of) - of)[ra] - (np.cumsum(many) - many), many)
+    keep = first[ra, ca][a] + second[rb, cb][b] >= level[ra][a]
+    a, b = a[keep], b[keep]
+    return ra[a], ca[a] * side + cb[b]
 
 
 def _filters(nodes: DataFrame, side: int) -> DataFrame:
@@ -107,7 +126,7 @@ def _filters(nodes: DataFrame, side: int) -> DataFrame:
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, units = np.array(batch.column("node").to_pylist(), np.int64), _units(batch.column("v").to_pylist())
+            ids, units = np.array(batch.column("node").to_pylist(), np.int64), _units(batch.column("v"))
             lengths = np.array([len(u) for u in units])
             for length in np.unique(lengths).tolist():
                 at = np.flatnonzero(lengths == length)
@@ -116,9 +135,8 @@ def _filters(nodes: DataFrame, side: int) -> DataFrame:
                     x = np.stack([units[i] for i in some])
                     for number in range(CODES):
                         rotation, halves, threshold = _code(length, side, number)
-                        found = [_decoded(p, q, threshold) for p, q in zip(*_scores(x, rotation, halves), strict=True)]
-                        name = (length * CODES + number) * side * side + np.concatenate(found)
-                        owner = np.repeat(ids[some], [len(f) for f in found])
+                        row, found = _decoded(*_scores(x, rotation, halves), threshold)
+                        name, owner = (length * CODES + number) * side * side + found, ids[some][row]
                         yield pa.RecordBatch.from_arrays([pa.array(name, pa.int64()), pa.array(owner, pa.int64())], names=["filter", "node"])
 
     return nodes.select("node", "v").mapInArrow(decode, "filter long, node long")
@@ -131,7 +149,7 @@ def _cosines(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cosine = [float(p @ q) for p, q in zip(_units(batch.column("va").to_pylist()), _units(batch.column("vb").to_pylist()), strict=True)]
+            cosine = [float(p @ q) for p, q in zip(_units(batch.column("va")), _units(batch.column("vb")), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b", *names)] + [pa.array(cosine, pa.float64())], names=["a", "b", *names, "cosine"])
 
     more = "".join(f", {c} {pairs.schema[c].dataType.simpleString()}" for c in names)
@@ -143,8 +161,8 @@ def _nodes(embeddings: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, ids = batch.column("v").to_pylist(), batch.column("vec_id").to_pylist()
-            keys = [hashlib.blake2b(np.array(r, np.float64).tobytes(), digest_size=16).digest() if u is not None and i is not None else None for r, u, i in zip(rows, _units(rows), ids, strict=True)]
+            ids = batch.column("vec_id").to_pylist()
+            keys = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if x is not None and i is not None else None for x, i in zip(_rows(batch.column("v")), ids, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(keys, pa.binary())], names=["vec_id", "v", "key"])
 
     kind = embeddings.schema["embedding"].dataType.simpleString()
