@@ -125,6 +125,21 @@ def links_of(text: Column) -> Column:
     return F.filter(F.coalesce(held, F.array().cast("array<struct<relation:string,tag:string>>")), lambda e: e["relation"].isNotNull() & e["tag"].isNotNull())
 
 
+def record_index(mapped: list[tuple[DataFrame, Mapping]], parents: DataFrame | None = None) -> DataFrame:
+    """``(identity, type, name, aliases, parent, tags)`` of every record of several mappings, and what a lookup may name each by.
+
+    ``parents`` has a record's parent (identity, parent); tags are those its text is linked to. ``names`` is the name first, then aliases
+    without it: what a thing is looked up by.
+    """
+    rows = [m.select("identity", F.lit(spec.node_type).alias("type"), "name", "aliases", F.transform(links_of(F.col("record")), lambda e: e["tag"]).alias("tags")) for m, spec in mapped]
+    every = reduce(DataFrame.unionByName, rows)
+    if parents is None:
+        every = every.withColumn("parent", F.lit(None).cast("string"))
+    else:
+        every = every.join(parents.groupBy("identity").agg(F.min("parent").alias("parent")), "identity", "left")
+    return every.withColumn("names", F.array_distinct(F.concat(F.array("name"), "aliases")))
+
+
 def kept(mapped: DataFrame) -> DataFrame:
     """Records all of whose properties convert; the others are left out and marked seen."""
     return mapped.filter(F.size("unconverted") == 0)

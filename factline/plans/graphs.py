@@ -117,3 +117,21 @@ def linked_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = lines.select(F.concat(F.lit("o"), "l_orderkey").alias("key"), relation.alias("relation"), F.concat(F.lit("s"), "l_suppkey").alias("tag"), F.col("l_linenumber").alias("ord"))
     done = mapping.linked(changes, links)
     return done.select("key", F.sha2("text", 256).alias("hash"), F.sha2("unlinked", 256).alias("unlinked_hash"), F.size(mapping.links_of(F.col("text"))).cast("long").alias("links"))
+
+
+@query("""
+select 'shop:suppliers:' || s_suppkey as identity, 'Supplier' as type, s_name || '|' || s_name || ' (shop:suppliers:' || s_suppkey || ')|shop:suppliers:' || s_suppkey || case when s_suppkey % 2 = 0 then '|h' || s_suppkey else '' end as names,
+  'n' || s_nationkey as parent, case when s_suppkey % 3 = 0 then 'v' || s_nationkey else '' end as tags from supplier
+union all select 'shop:nations:' || n_nationkey, 'Nation', n_name || '|' || n_name || ' (shop:nations:' || n_nationkey || ')|shop:nations:' || n_nationkey, null, '' from nation
+""")
+def record_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    suppliers = mapping.Mapping(adapter="shop", operation="suppliers", node_type="Supplier", id="id", name="name", aliases=("handle",))
+    nations = mapping.Mapping(adapter="shop", operation="nations", node_type="Nation", id="id", name="name")
+    s = table(spark, sf_dir, "supplier")
+    links = F.when(F.col("s_suppkey") % 3 == 0, F.array(F.struct(F.lit("IN").alias("relation"), F.concat(F.lit("v"), "s_nationkey").alias("tag"))))
+    handle = F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("h"), "s_suppkey"))
+    of_suppliers = s.select(F.to_json(F.struct(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), handle.alias("handle"), links.alias(mapping.LINKS))).alias("record"), F.col("s_suppkey").alias("ord"))
+    of_nations = table(spark, sf_dir, "nation").select(F.to_json(F.struct(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))).alias("record"), F.col("n_nationkey").alias("ord"))
+    parents = s.select(F.concat(F.lit("shop:suppliers:"), "s_suppkey").alias("identity"), F.concat(F.lit("n"), "s_nationkey").alias("parent"))
+    every = mapping.record_index([(mapping.mapped_records(of_suppliers, suppliers), suppliers), (mapping.mapped_records(of_nations, nations), nations)], parents)
+    return every.select("identity", "type", F.array_join("names", "|").alias("names"), "parent", F.array_join("tags", ",").alias("tags"))
