@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factline.operators.tables import dropped, saved
+
 KNOWN_NAMES = 50
 
 
@@ -112,18 +114,18 @@ def alias_closure(things: DataFrame) -> DataFrame:
         least = things.join(by_alias, ["type", "alias"]).groupBy("type", "thing").agg(F.min("component").alias("least"))
         moved = _saved(labels.join(least, ["type", "thing"]).select("type", "thing", "component", F.least("component", "least").alias("next")))
         if moved.filter("next <> component").isEmpty():
+            dropped(moved)
             return labels
         # What joined a component brings its old label's things along, and every label moves on to its own label.
         hooked = moved.groupBy("type", "component").agg(F.min("next").alias("_hooked"))
         pulled = _saved(moved.join(hooked, ["type", "component"]).select("type", "thing", F.least("next", "_hooked").alias("component")))
         onward = pulled.select("type", F.col("thing").alias("component"), F.col("component").alias("_onward"))
-        labels = _saved(pulled.join(onward, ["type", "component"]).select("type", "thing", F.least("component", "_onward").alias("component")))
+        before, labels = labels, _saved(pulled.join(onward, ["type", "component"]).select("type", "thing", F.least("component", "_onward").alias("component")))
+        dropped(before, moved, pulled)
 
 
 def _saved(df: DataFrame) -> DataFrame:
-    from factline.operators.tables import saved as save
-
-    return save(df, "labels")
+    return saved(df, "labels")
 
 
 def ancestors(edges: DataFrame) -> DataFrame:

@@ -26,4 +26,15 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written as a table and read back: lineage is cut, and a lost executor costs no earlier round."""
     path = f"{shared_folder(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Delete the tables behind frames that ``saved`` gave and that nothing reads any more; others are left."""
+    for frame in frames:
+        name = frame.__dict__.get("saved_at")
+        if name:
+            path = frame.sparkSession._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(frame.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factline.operators.tables import saved
+from factline.operators.tables import dropped, saved
 from factline.sources.pages import link_parameter, percent_decoded
 
 
@@ -43,13 +43,16 @@ def placed(pages: DataFrame, starts: DataFrame) -> DataFrame:
     step, count = 1, places.count()
     while True:
         ahead = places.join(jumps, ["w", "t"]).select("w", F.col("n").alias("t"), (F.col("page") + step).alias("page"))
-        places = saved(places.unionByName(ahead).groupBy("w", "t").agg(F.min("page").alias("page")), "walk-places")
+        before, places = places, saved(places.unionByName(ahead).groupBy("w", "t").agg(F.min("page").alias("page")), "walk-places")
+        dropped(before)
         new = places.count()
         if new == count:
             break
         count, step = new, 2 * step
         onward = jumps.select("w", F.col("t").alias("n"), F.col("n").alias("m"))
-        jumps = saved(jumps.join(onward, ["w", "n"]).select("w", "t", F.col("m").alias("n")), "walk-jumps")
+        before, jumps = jumps, saved(jumps.join(onward, ["w", "n"]).select("w", "t", F.col("m").alias("n")), "walk-jumps")
+        dropped(before)
+    dropped(links, jumps)
     return places.select(_bare("w").alias("walk"), _bare("t").alias("token"), "page")
 
 
