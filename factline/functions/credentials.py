@@ -167,19 +167,22 @@ def hint() -> str:
     return "(?i)" + "|".join([*openings, *names, "PRIVATE KEY", "/api/webhooks/", ":AA", r"\bSG\.", "eyJ", "accountkey=", "bearer", "://", "_PASS"])
 
 
-def found_in(text: Column) -> list[Found]:
-    """Spans of each shape, in the order in which they claim text."""
-    return [found_at(text, s.pattern, s.group, s.name, s.counts) for s in shapes()]
+def found_in(text: Column, without: tuple[str, ...] = ()) -> list[Found]:
+    """Spans of each shape but those named, in the order in which they claim text."""
+    return [found_at(text, s.pattern, s.group, s.name, s.counts) for s in shapes() if s.name not in without]
 
 
-def credentials(text: Column) -> Column:
-    """All secrets of a text as an array of ``label``, ``start``, ``end`` and ``value``, in their order, none overlapping."""
-    return F.when(text.rlike(hint()), settled(found_in(text))).otherwise(F.array().cast(SPAN))
+def credentials(text: Column, without: tuple[str, ...] = ()) -> Column:
+    """All secrets of a text as an array of ``label``, ``start``, ``end`` and ``value``, in their order, none overlapping.
+
+    A reader who asks for tokens alone names the shapes to leave out.
+    """
+    return F.when(text.rlike(hint()), settled(found_in(text, without))).otherwise(F.array().cast(SPAN))
 
 
-def scrub(text: Column) -> Column:
-    """Every secret as ``[masked:<shape>]``; nothing else of the text changes."""
-    return F.when(text.rlike(hint()), replaced_at(text, settled(found_in(text)), lambda c: F.concat(F.lit("[masked:"), c["label"], F.lit("]")))).otherwise(text)
+def scrub(text: Column, without: tuple[str, ...] = ()) -> Column:
+    """Every secret, but of the shapes left out, as ``[masked:<shape>]``; nothing else of the text changes."""
+    return F.when(text.rlike(hint()), replaced_at(text, settled(found_in(text, without)), lambda c: F.concat(F.lit("[masked:"), c["label"], F.lit("]")))).otherwise(text)
 
 
 def scrub_key(key: Column) -> Column:

@@ -111,3 +111,12 @@ def test_time_grows_with_the_text(spark):
     seconds(1000)
     small, large = seconds(16_000), seconds(64_000)
     assert large < 8 * max(small, 0.5)
+
+
+def test_a_reader_can_leave_assignments_out(spark):
+    text = f'les token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" and {SECRETS["npm-token"]}'
+    (whole,) = found(spark, [text])
+    assert [label for label, _ in whole[0]] == ["secret-assignment", "npm-token"]
+    alone = spark.createDataFrame([(text,)], "t string").select(credentials.credentials(F.col("t"), ("secret-assignment",)).alias("c"), credentials.scrub(F.col("t"), ("secret-assignment",)).alias("s")).first()
+    assert [c.label for c in alone.c] == ["npm-token"]
+    assert alone.s == text.replace(SECRETS["npm-token"], "[masked:npm-token]")
