@@ -188,4 +188,4 @@ def scrub(text: Column, without: tuple[str, ...] = ()) -> Column:
 def scrub_key(key: Column) -> Column:
     """A document key scrubbed as a text is, except that a value ends at ``&``, ``#`` and their escapes, so that what follows in a link stays."""
     parts = F.split(key, r"(?=[&#]|%(?:25){0,3}2[36])")
-    return F.array_join(F.transform(parts, scrub), "")
+    return F.array_join(F.transform(parts, lambda part: scrub(part)), "")
