@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from factline.operators import redactor
 from factline.operators.redactor import Policy, Rule
+from factline.operators.running import numbered
 from factline.plans.registry import Registry, table
 
 registry = Registry()
@@ -42,9 +43,10 @@ union all select doc_id, 15 + length(k), 20 + 2 * length(k), 'Zoe' || chr(769) |
 def known_name_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("k"))
     names = customers.select(F.concat(F.lit("Zoé "), "k").alias("name")).unionByName(customers.select(F.concat(F.lit("Zoé "), "k", F.lit(" Ltd.")).alias("name")))
-    every = table(spark, sf_dir, "customer").agg(F.array_sort(F.collect_list("c_custkey")).alias("keys"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("\n")).alias("head")).crossJoin(F.broadcast(every))  # one row
-    key = F.element_at("keys", (F.col("doc_id") % F.size("keys") + 1).cast("int")).cast("string")
+    keys = numbered(table(spark, sf_dir, "customer").select("c_custkey"), [], ["c_custkey"]).select((F.col("_number") - 1).alias("_n"), F.col("c_custkey").cast("string").alias("_key"))
+    every = keys.count()
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("\n")).alias("head"), (F.col("doc_id") % max(1, every)).alias("_n")).join(keys, "_n")
+    key = F.col("_key")
     turn = F.col("doc_id") % 3
     said = F.when(turn == 0, F.concat(F.lit("ZOÉ  "), key)).when(turn == 1, F.concat(F.lit("zoé  "), key)).otherwise(F.concat(F.lit("Zoé\n "), key, F.lit(" Ltd.")))
     again = F.when(turn == 2, F.lit(" or ")).otherwise(F.lit(", "))

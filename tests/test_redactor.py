@@ -137,3 +137,18 @@ def test_hidden_and_restored(spark):
     pairs = mapping.select(F.col("batch").alias("answer"), "placeholder", "value")
     back = restored(hidden.select("id", F.col("batch").alias("answer"), F.col("text").alias("shown")), pairs)
     assert {r.id: r.shown for r in back.collect()} == {i: t and t.replace("hunter2x", "[masked:secret-assignment]") for i, t in enumerate(texts)}
+
+
+def test_many_names_meet_texts_by_equality(spark, monkeypatch):
+    r = random.Random(9)
+    known = ["Zoé", "zoé müller", "Müller", "An", "An Na", "O'Neil", "-x-", "é", "Å b", "é́", "́a", "#1", "Zoé 12 Ltd.", "x.", "²a"]
+    parts = ["Zoé", "ZOÉ", "Müller", "müller", "MÜLLER", " ", "  ", "\n", "An", "NA", "na", "o'neil", "-x-", ".", "é", "e", "́", "Å", "Å", "b", "_", "x", "#1", "12", "Ltd", "²", "a", "1"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(14))) for _ in range(3000)] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(3)
+    some = spark.createDataFrame([(n,) for n in known], "name string")
+    whole = {x.id: [tuple(p) for p in x.name_places] for x in names.with_places(docs, some).collect()}
+    seen = []
+    monkeypatch.setattr(names, "BLOCK_CHARS", 20)
+    monkeypatch.setattr(names, "_marked", lambda docs, block, *rest, real=names._marked: (seen.extend(block.value), real(docs, block, *rest))[1])
+    assert {x.id: [tuple(p) for p in x.name_places] for x in names.with_places(docs, some).collect()} == whole
+    assert sorted(seen) == sorted(map(names.formed_name, ["é́", "́a"]))  # only what can begin or end inside a word is looked for by automata
