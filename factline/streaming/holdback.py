@@ -41,17 +41,18 @@ def tail_of(text: Column) -> Column:
 def held_back(pieces: DataFrame) -> DataFrame:
     """``(answer, seq, shown, held, last)`` of whole answers' pieces (answer, seq, piece, last).
 
-    A tail has at most as many characters as bytes, and each piece that isn't empty a character, so as many pieces before each are all
-    that can matter.
+    No tail reaches back beyond the last piece that has a bracket or white space, and it has at most as many characters as bytes, each
+    piece that isn't empty having one: so the pieces since that one, and so many at most, are all that can matter. That is one piece for most.
     """
     text = F.coalesce("piece", F.lit(""))
     rows = pieces.select("answer", F.col("seq").cast("long").alias("seq"), text.alias("piece"), F.coalesce("last", F.lit(False)).alias("last"))
-    some = rows.filter("piece <> ''")
     w = Window.partitionBy("answer").orderBy("seq")
-    recent = F.array_join(F.collect_list("piece").over(w.rowsBetween(-HELD_BYTES, 0)), "")
-    marked = some.withColumn("tail", tail_of(recent)).unionByName(rows.filter("piece = ''").withColumn("tail", F.lit(None).cast("string")))
-    # An empty piece shows nothing and holds what was held.
-    kept = marked.withColumn("tail", F.coalesce(F.last("tail", ignorenulls=True).over(w), F.lit("")))
+    decides = F.col("piece").rlike(r"[\[\]\p{IsWhite_Space}]")
+    # An empty piece is of its predecessor's number, and so holds what was held.
+    numbered = rows.withColumn("_since", F.count_if(decides).over(w)).withColumn("_nth", F.count_if(F.col("piece") != "").over(w))
+    since = Window.partitionBy("answer", "_since").orderBy("_nth").rangeBetween(-HELD_BYTES, 0)
+    recent = F.array_join(F.collect_list(F.when(F.col("piece") != "", F.col("piece"))).over(since), "")
+    kept = numbered.withColumn("tail", tail_of(recent))
     held = F.when(F.col("last"), "").otherwise(F.col("tail"))
     before = F.coalesce(F.lag("tail").over(w), F.lit(""))
     all_ = F.concat(before, "piece")

@@ -160,3 +160,27 @@ def test_next_token(spark, style, given, current, wanted):
 def test_child_walks_name_their_parent(spark):
     row = spark.createDataFrame([("x/y",), (None,)], "p string").select(walks.child_walk("a/b", F.col("p")).alias("w"))
     assert [tuple(x) for x in row.select("w", walks.parent_of(F.col("w")).alias("p")).collect()] == [("a%2Fb/x/y", "x/y"), (None, None)]
+
+
+def test_what_is_held_reads_only_the_pieces_since_the_last_bracket_or_blank(spark):
+    held = holdback.held_back(spark.createDataFrame([], PIECES))
+    plan = held._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert f"RowFrame, -{holdback.HELD_BYTES}" not in plan and f"RangeFrame, -{holdback.HELD_BYTES}" in plan
+    rows = [("a", i, p, False) for i, p in enumerate(["x [Na", "", *["m"] * 100, "", *["é"] * 11, "n", "]", "["])]
+    got = {r.seq: r.held for r in holdback.held_back(spark.createDataFrame(rows, PIECES)).collect()}
+    assert got[0] == got[1] == "[Na"
+    assert got[102] == "[Na" + "m" * 100 and got[113] == "[Na" + "m" * 100 + "é" * 11
+    assert [got[i] for i in (114, 115, 116)] == ["[Na" + "m" * 100 + "é" * 11 + "n", "", "["]
+
+
+def test_pages_beyond_the_most_of_a_walk_are_not_placed(spark, monkeypatch):
+    n = 300
+    pages = spark.range(n).select(F.lit("w").alias("walk"), F.concat(F.lit("t"), "id").alias("token"), F.lit(1).alias("rows"), F.concat(F.lit("t"), F.col("id") + 1).alias("next"))
+    starts = spark.createDataFrame([("w", "t0")], "walk string, token string")
+    rounds = []
+    monkeypatch.setattr(walks, "saved", lambda df, tag, real=walks.saved: (rounds.append(tag), real(df, tag))[1])
+    for most, ended in ((1, "max pages"), (5, "max pages"), (n, "missing page")):
+        rounds.clear()
+        read = sorted(walks.walked(pages, starts, most).collect(), key=lambda x: x.page)
+        assert [x.page for x in read] == list(range(1, most + 1)) and read[-1].ended == ended
+        assert rounds.count("walk-places") == 1 + max(1, most.bit_length())
