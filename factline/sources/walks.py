@@ -2,7 +2,7 @@
 
 Pages are found by token, in no order. Their places are worked out by doubling: a table of jumps of 1, 2, 4, ... pages, each joined
 with itself for the next, carries the pages placed so far as far ahead again, so a walk of n pages takes log2(n) rounds of equi-joins,
-for all walks, those of parents and of their children, at once. A cycle shows as a round that places no page that wasn't.
+for all walks, those of parents and of their children, at once; pages beyond the most that a walk reads are not placed. A cycle shows as a round that places no page that wasn't.
 
 Defined cases: a null token is the first page's where a walk starts without one; of pages stored twice under one token the least counts;
 a walk whose first page isn't stored reads none; a next token without a page ends it as ``missing page``; tokens are compared as they
@@ -32,8 +32,8 @@ def next_token(style: str, given: Column, current: Column, param: str = "cursor"
     return named
 
 
-def placed(pages: DataFrame, starts: DataFrame) -> DataFrame:
-    """``(walk, token, page)`` of every page that a walk gets to, from 1; pages (walk, token, next), starts (walk, token)."""
+def placed(pages: DataFrame, starts: DataFrame, most: int | None = None) -> DataFrame:
+    """``(walk, token, page)`` of every page that a walk gets to, from 1, up to page ``most``; pages (walk, token, next), starts (walk, token)."""
     links = saved(pages.select(_named("walk").alias("w"), _named("token").alias("t"), F.col("next").alias("n")).groupBy("w", "t").agg(F.min(F.struct("n"))["n"].alias("n")), "walk-links")
     have = links.select("w", F.col("t"))
     first = starts.select(_named("walk").alias("w"), _named("token").alias("t")).distinct().join(have, ["w", "t"], "left_semi")
@@ -46,13 +46,15 @@ def placed(pages: DataFrame, starts: DataFrame) -> DataFrame:
         before, places = places, saved(places.unionByName(ahead).groupBy("w", "t").agg(F.min("page").alias("page")), "walk-places")
         dropped(before)
         new = places.count()
-        if new == count:
+        if new == count or most is not None and 2 * step >= most:  # pages 1 to 2 * step are placed
             break
         count, step = new, 2 * step
         onward = jumps.select("w", F.col("t").alias("n"), F.col("n").alias("m"))
         before, jumps = jumps, saved(jumps.join(onward, ["w", "n"]).select("w", "t", F.col("m").alias("n")), "walk-jumps")
         dropped(before)
     dropped(links, jumps)
+    if most is not None:
+        places = places.filter(F.col("page") <= most)
     return places.select(_bare("w").alias("walk"), _bare("t").alias("token"), "page")
 
 
@@ -72,7 +74,8 @@ def walked(pages: DataFrame, starts: DataFrame, max_pages: int) -> DataFrame:
     where that leaves pages unread: at ``max pages``, and at an empty page that still names a next one.
     """
     keyed = pages.select(_named("walk").alias("w"), _named("token").alias("t"), "rows", "next").groupBy("w", "t").agg(F.min(F.struct("next", "rows")).alias("p"))
-    order = placed(pages, starts).select(_named("walk").alias("w"), _named("token").alias("t"), "page")
+    # The page after the last one tells whether there is one.
+    order = placed(pages, starts, max_pages + 1).select(_named("walk").alias("w"), _named("token").alias("t"), "page")
     read = order.join(keyed, ["w", "t"]).select("w", "t", "page", F.col("p.rows").alias("rows"), F.concat(F.lit("="), "p.next").alias("next"))
     target = order.select("w", F.col("t").alias("next"), F.col("page").alias("to"))
     # Only the first page's token is asked for without having been named by a page.
