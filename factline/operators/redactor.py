@@ -26,6 +26,8 @@ from factline.functions.spans import SPAN, Found, found_at, replaced_at
 from factline.operators.names import with_places
 from factline.operators.ordered import placeholders
 
+#: Rows whose spans are Python objects at a time.
+FEW = 64
 CLAIM = "array<struct<step:int,label:string,start:int,end:int,value:string,replacement:string>>"
 
 
@@ -264,6 +266,13 @@ def _claimed(text: str, found: list[list[dict]], named: list[dict], steps: list[
     return sorted(out, key=lambda c: c["start"])
 
 
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of at most ``FEW``: a text's spans as Python objects take many times its length."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, FEW):
+            yield batch.slice(a, FEW)
+
+
 def with_claims(docs: DataFrame, policy: Policy, names: DataFrame | None = None, text: str = "text") -> DataFrame:
     """``docs`` with ``claims``: what the policy hides of each text, in order, none overlapping; null where the text is."""
     steps = policy.steps()
@@ -277,7 +286,7 @@ def with_claims(docs: DataFrame, policy: Policy, names: DataFrame | None = None,
     plain = [s._replace(found=s.found and True) for s in steps]  # columns don't go to the workers
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few(batches):
             rows = zip(batch.column(text).to_pylist(), batch.column("_found").to_pylist(), batch.column("_named").to_pylist(), strict=True)
             claims = [None if t is None else _claimed(t, f, n, plain) for t, f, n in rows]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(claims, arrow)], names=[*kept, "claims"])
@@ -339,7 +348,7 @@ def with_words(claimed: DataFrame, text: str = "text") -> DataFrame:
     number = worded.columns.index("words")
 
     def subtract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few(batches):
             kept = [outside(w, c) for w, c in zip(batch.column("words").to_pylist(), batch.column("claims").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:number], pa.array(kept, batch.schema.field(number).type), *batch.columns[number + 1 :]], names=batch.schema.names)
 

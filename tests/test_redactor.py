@@ -152,3 +152,8 @@ def test_many_names_meet_texts_by_equality(spark, monkeypatch):
     monkeypatch.setattr(names, "_marked", lambda docs, block, *rest, real=names._marked: (seen.extend(block.value), real(docs, block, *rest))[1])
     assert {x.id: [tuple(p) for p in x.name_places] for x in names.with_places(docs, some).collect()} == whole
     assert sorted(seen) == sorted(map(names.formed_name, ["é́", "́a"]))  # only what can begin or end inside a word is looked for by automata
+
+
+def test_spans_are_python_objects_for_a_few_rows_at_a_time():
+    batch = redactor.pa.RecordBatch.from_arrays([redactor.pa.array(range(130))], names=["a"])
+    assert [b.num_rows for b in redactor._few(iter([batch, batch.slice(0, 0)]))] == [64, 64, 2]
