@@ -100,8 +100,10 @@ def edge_problems(nodes: DataFrame, edges: DataFrame, ends: DataFrame | None = N
     twice = unlike.filter("n > 1").select("id", F.lit("node").alias("at"), F.lit("repeated id").alias("problem"))
     again = edges.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id", F.lit("edge").alias("at"), F.lit("repeated id").alias("problem"))
     both = edges.select("id", "type", F.explode(F.array(*[F.struct(F.lit(e).alias("at"), F.col(e).alias("node")) for e in ("source", "target")])).alias("e")).select("id", "type", "e.*")
-    met = both.join(unlike.select(F.col("id").alias("node"), "types"), "node", "left")
-    problem = F.when(F.col("node").isNull(), "absent").when(F.col("types").isNull(), "missing node")
+    # Ends that are absent would meet in one task.
+    met = both.filter("node is not null").join(unlike.select(F.col("id").alias("node"), "types"), "node", "left")
+    absent = both.filter("node is null").select("id", "at", F.lit("absent").alias("problem"))
+    problem = F.when(F.col("types").isNull(), "missing node")
     untyped = edges.filter("type is null").select("id", F.lit("type").alias("at"), F.lit("absent").alias("problem"))
     if ends is not None:
         allowed = ends.groupBy("type").agg(F.collect_set("source_type").alias("source"), F.collect_set("target_type").alias("target"))
@@ -111,4 +113,4 @@ def edge_problems(nodes: DataFrame, edges: DataFrame, ends: DataFrame | None = N
         unknown = edges.filter("type is not null").join(ends.select("type").distinct(), "type", "left_anti").select("id", F.lit("type").alias("at"), F.lit("unknown type").alias("problem"))
         untyped = untyped.unionByName(unknown)
     bad = met.withColumn("problem", problem).filter("problem is not null").select("id", "at", "problem")
-    return twice.unionByName(again).unionByName(untyped).unionByName(bad)
+    return twice.unionByName(again).unionByName(untyped).unionByName(absent).unionByName(bad)
