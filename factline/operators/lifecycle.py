@@ -48,7 +48,10 @@ def with_kept(mine: DataFrame, claims: DataFrame, unsettled: DataFrame, held: Da
         relation_names = one.sparkSession.createDataFrame([], "object string, name string")
     relation = F.col("predicate_kind") == "Relation"
     names = relation_names.select(F.lit("Relation").alias("predicate_kind"), "object", "name").distinct()
-    named = one.join(names, ["predicate_kind", "object"], "left").withColumn("value", F.when(relation, F.col("name")).otherwise(F.col("object")))
+    # Values of properties have no names, and a common one would bring all its rows to one task.
+    related = one.filter(relation).join(names, ["predicate_kind", "object"], "left").select(*one.columns, "name")
+    stated = one.filter(~F.coalesce(relation, F.lit(False))).withColumn("name", F.lit(None).cast("string"))
+    named = related.unionByName(stated).withColumn("value", F.when(relation, F.col("name")).otherwise(F.col("object")))
     claimed = claims.select("record", "predicate", "value").distinct().withColumn("_claimed", F.lit(True))
     reasons = named.join(claimed, ["record", "predicate", "value"], "left").join(unsettled.select("record").distinct().withColumn("_unsettled", F.lit(True)), "record", "left")
     other = (relation & F.col("name").isNull()) | ~F.col("predicate_kind").isin("Property", "Relation")
@@ -56,7 +59,10 @@ def with_kept(mine: DataFrame, claims: DataFrame, unsettled: DataFrame, held: Da
     flags = reasons.select("id", kept.alias("kept"))
     if held is not None:
         scope = held.select(F.regexp_replace("prefix", ":$", "").alias("prefix"), "relation").distinct()
-        under = one.select("id", relation.alias("_relation"), "predicate", F.explode(prefixes(F.col("record"))).alias("prefix"))
+        # A prefix of few parts is that of very many records, so only as many parts are looked at as some held one has.
+        depths = F.lit([r.n for r in scope.select(F.size(F.split("prefix", ":")).alias("n")).distinct().collect()]).cast("array<int>")
+        some = F.filter(prefixes(F.col("record")), lambda p: F.array_contains(depths, F.size(F.split(p, ":"))))
+        under = one.select("id", relation.alias("_relation"), "predicate", F.explode(some).alias("prefix"))
         reached = under.join(scope, "prefix").filter(F.col("relation").isNull() | (F.col("_relation") & (F.col("relation") == F.col("predicate"))))
         flags = flags.unionByName(reached.select("id", F.lit(True).alias("kept")))
     settled = flags.groupBy("id").agg(F.bool_or("kept").alias("kept"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factline.operators import changes, lifecycle, linking, mapping, ordered, redaction
 from factline.plans.engine import Engine
-from factline.sources import files, markdown
+from factline.sources import files, markdown, snapshot
 from factline.streaming import ingest
 
 PEOPLE = mapping.Mapping(
@@ -231,3 +231,30 @@ def test_plans_read_each_table_a_few_times(spark, sf):
     _, operations = plans._operations(spark, sf)
     assert scans(operations) < 10
     assert scans(plans.retracted_edges(spark, sf)) < 20
+
+
+def physical(df):
+    return df._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+
+
+def test_common_values_and_prefixes_stay_out_of_joins(spark):
+    rows = [("a", "Property", "status", "O", ["s:orders:1"]), ("b", "Relation", "BY", "c1", ["s:orders:1", "s:orders:2:n"]), ("c", None, "x", "O", ["s:orders:2"]), ("d", "Property", "status", "O", ["s:orders:2"])]
+    mine = spark.createDataFrame(rows, "id string, predicate_kind string, predicate string, object string, records array<string>")
+    claims = spark.createDataFrame([("s:orders:1", "status", "O")], "record string, predicate string, value string")
+    names = spark.createDataFrame([("c1", "One")], "object string, name string")
+    held = spark.createDataFrame([("s:orders:2:", None)], "prefix string, relation string")
+    marked = lifecycle.with_kept(mine, claims, claims.limit(0).select("record"), held, names)
+    # A record is under itself only where it has a further part.
+    assert {r.id: r.kept for r in marked.collect()} == {"a": True, "b": True, "c": False, "d": False}
+    assert "array_contains" in physical(marked) or "IN (3" in physical(marked) or "= 3" in physical(marked)
+    assert physical(marked).count("Union") > physical(lifecycle.with_kept(mine, claims, claims.limit(0).select("record"), None, names)).count("Union") > 0
+
+
+def test_absent_ends_do_not_meet_in_one_task(spark):
+    nodes = spark.createDataFrame([("n1", "A"), ("n2", None), ("n2", "B")], "id string, type string")
+    edges = spark.createDataFrame([("e1", None, "T", "n1"), ("e2", "n1", None, None), ("e3", "n1", "T", "n9"), ("e4", "n2", "T", "n2")], "id string, source string, type string, target string")
+    ends = spark.createDataFrame([("T", "A", "B")], "type string, source_type string, target_type string")
+    found = snapshot.edge_problems(nodes, edges, ends)
+    want = {("n2", "node", "repeated id"), ("e1", "source", "absent"), ("e1", "target", "wrong type"), ("e2", "target", "absent"), ("e2", "type", "absent"), ("e3", "target", "missing node"), ("e4", "source", "wrong type")}
+    assert {tuple(r) for r in found.collect()} == want
+    assert "isnotnull" in physical(found)
