@@ -295,7 +295,7 @@ def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
     return both >= similarity * (len(x) + len(y) - both)
 
 
-def _by_key(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+def by_key(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
     """Batches sorted by ``key``, cut anew so that none of its values is in two of them."""
     held: list[pa.RecordBatch] = []  # of the last key, which the next batch may continue
     for batch in batches:
@@ -320,7 +320,7 @@ def _key_rows(nodes: DataFrame) -> DataFrame:
     """``(key, id, size, first)``: nodes under every band hash that another has too, and the least id of those."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _by_key(batches, "key"):
+        for batch in by_key(batches, "key"):
             keys, ids, sizes_of = (batch.column(c).to_numpy() for c in ("key", "id", "size"))
             starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
             sizes = np.diff(np.append(starts, len(keys)))
@@ -351,7 +351,7 @@ def _blocks(rows: DataFrame, size: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _by_key(batches, "key"):
+        for batch in by_key(batches, "key"):
             keys, ids, labels, words = (batch.column(c).to_numpy() for c in ("key", "id", "label", "size"))
             edges = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
             held: list[tuple[int, np.ndarray, np.ndarray]] = []
@@ -414,7 +414,7 @@ def group_links(rows: DataFrame, texts: DataFrame, similarity: float = SIMILARIT
     sets = save(_shingle_sets(texts, ends), "shingles").withColumnRenamed("doc_id", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _by_key(batches, "group"):
+        for batch in by_key(batches, "group"):
             groups = batch.column("group").to_numpy()
             edges = [0, *(np.flatnonzero(np.diff(groups)) + 1).tolist(), len(groups)]
             found = []

@@ -12,10 +12,13 @@ Candidates are verified before they are linked:
 * *Equal passages.* Inside the windows of the first function, every run of ``PASSAGE`` words is hashed whole. Documents with
   an equal run are linked to the first of it, so whatever else shares the window's hash can't come between two of them.
 * *Edited passages.* The other functions' windows are keyed by the node's words and six more on one side. Of one key, windows
-  are compared with the first; those that don't hold a near-duplicate passage of it (``PASSAGE`` words and more whose shingles
-  have a Jaccard similarity of ``SIMILARITY``, insertions and deletions included) are compared with the first among
-  themselves, and so on for up to ``ANCHORS`` such firsts. An edited passage whose keys all belong to phrases that more than
-  that many documents hold in unlike surroundings may be missed; an equal one never is.
+  are compared with the first, then those still open with the second, and so on, whether that one was linked itself or not.
+  A window is open until it holds a near-duplicate passage of another (``PASSAGE`` words and more whose shingles have a Jaccard
+  similarity of ``SIMILARITY``, insertions, deletions and moved parts included). One with an equal passage of another stands
+  for nothing that the other doesn't and is compared no further. Up to ``ANCHORS`` windows of a key are compared with all
+  others as they stream by. The rest of a larger key meet by their other shingles, however many documents hold the phrase: of
+  two windows with such a passage each has a shared one among all but ``LEAST_SHARED`` - 1 of its own, in any order that
+  is the same for both. The order puts last what the key's first windows have in common, so that few meet under each.
 
 * *Equal texts.* A text that a document of smaller id has too is one passage, and isn't looked into any further.
 
@@ -41,29 +44,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factline.llm.common import batch_chunks, byte_chunks, cut, give_back, hashed_words, mix, save, spans_of, text_bytes
-from factline.llm.simhash import SIMILARITY, SIMILARITY_SHINGLE
+from factline.llm.simhash import SIMILARITY, SIMILARITY_SHINGLE, by_key
 
 PASSAGE = 50
 #: The first finds equal passages, the others edited ones: of those at similarity 0.8 each finds about two thirds.
 HASHES = 4
 #: Words of the node and beside it that key a window of an edited passage: after it for one function, before it for the next.
 CONTEXT = 11
-#: Windows of one key that have no passage of one another and that further ones are compared with.
+#: Windows of one key that further ones are compared with where they are read; the rest of a larger key is dealt in blocks.
 ANCHORS = 16
-#: Words by which parts of two edited passages are looked for beside each other.
-MOVED = 4
-#: Equal words around the node from which on such parts are looked for.
-LEAST_RUN = 13
+#: Windows of a block, of which a task compares two at a time where very many share a shingle.
+BLOCK = 2000
 
 #: Elements of a window on either side of its node that a passage of ``PASSAGE`` words around the node can reach.
 REACH = PASSAGE - SIMILARITY_SHINGLE
 _SIDE = 2 * REACH + SIMILARITY_SHINGLE
-_BLOCK = 6  # words that tell a place
+_PACKED = 2 + _SIDE
+_BITS = -(-(2 * REACH + 1) // 8)
+#: Different shingles that two windows of edited passages share at least, if none repeats inside the later one.
+LEAST_SHARED = -int(-SIMILARITY * (REACH + 1) // 1)
+#: Of so many of a key's first windows a shingle is in, to come last in the order by which the rest meet.
+_COMMON = 3
+_APART = 100
+_BUCKETS = 1 << 11  # of hashes of shingles
+_TIMES = np.random.default_rng(13).integers(1, 1 << 31, size=SIMILARITY_SHINGLE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _SEEDS = np.random.default_rng(7).integers(1, 1 << 63, size=16, dtype=np.uint64)
 WINDOWS = "value long, doc_id long, at int, shape int, known boolean, dealt boolean"
-#: ``key`` is the other document's id in a link, and the number of words in a size.
+#: ``key`` is the other document's id in a link, and the number of words in a size; ``length`` of an edited passage's window says
+#: whether it is open.
 ROWS = "kind int, length int, key long, doc_id long, place long, words binary"
-EQUAL, EDITED, LINK, SIZE = range(4)
+EQUAL, EDITED, LINK, SIZE, REST = range(5)
 
 
 def slide(values: np.ndarray, width: int, least: bool) -> np.ndarray:
@@ -266,7 +276,8 @@ def _chunk_places(chunk: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         starts = starts[np.argsort(order[starts])]  # as they stand in the texts
         yield _rows(EQUAL, key=key[starts], doc_id=doc_id[starts], place=place[starts])
 
-    mine = np.flatnonzero(inside & (function > 0))
+    # Of equal hashes side by side, as in a run of one word, the first has the whole window; those too short for a passage lie in it.
+    mine = np.flatnonzero(inside & (function > 0) & (back + ahead >= REACH))
     if len(mine):
         mine = mine[np.lexsort((at[mine], ids[text[mine]], value[mine]))]
         begin, size = first[text[mine]] + at[mine] - back[mine], back[mine] + SIMILARITY_SHINGLE + ahead[mine]
@@ -276,10 +287,10 @@ def _chunk_places(chunk: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             columns = np.arange(_SIDE) - REACH + back[mine[c : c + 4096], None]
             taken = (columns >= 0) & (columns < size[c : c + 4096, None])
             words[c : c + 4096] = np.where(taken, short[np.where(taken, begin[c : c + 4096, None] + columns, 0)], 0)
-        sides = Sides(value[mine], ids[text[mine]], marks[text[mine]] | at[mine], back[mine], ahead[mine], words)
-        links, leaders = sides.linked()
+        sides = Sides(value[mine], ids[text[mine]], marks[text[mine]] | at[mine], back[mine], ahead[mine], words, np.ones(len(mine), bool)).once()
+        links, others = sides.linked(ANCHORS)
         yield links
-        yield sides.rows(leaders)
+        yield sides.rows(EDITED, others)
 
 
 def _rows(kind: int, **given: np.ndarray | pa.Array) -> pa.RecordBatch:
@@ -306,92 +317,170 @@ class Sides:
     """Windows of edited passages, sorted by key, document and place, with the words around their nodes.
 
     ``words`` has a row of word codes of a byte for each window, the node beginning in column ``REACH``; ``back`` and
-    ``ahead`` elements beside it belong to the window, the rest is zero.
+    ``ahead`` elements beside it belong to the window, the rest is zero. ``more`` has the further places of one text with the
+    same words, as bytes: lines that a text repeats are one window.
     """
 
-    def __init__(self, key: np.ndarray, doc_id: np.ndarray, place: np.ndarray, back: np.ndarray, ahead: np.ndarray, words: np.ndarray) -> None:
-        self.key, self.doc_id, self.place, self.back, self.ahead, self.words = key, doc_id, place, back, ahead, words
+    def __init__(self, key: np.ndarray, doc_id: np.ndarray, place: np.ndarray, back: np.ndarray, ahead: np.ndarray, words: np.ndarray, open: np.ndarray, more: np.ndarray | None = None) -> None:
+        self.key, self.doc_id, self.place, self.back, self.ahead, self.words, self.open = key, doc_id, place, back, ahead, words, open
+        self.more = np.full(len(key), b"", object) if more is None else more
 
     @classmethod
     def of(cls, batch: pa.RecordBatch) -> Sides:
-        width = _SIDE + 2
-        table = np.frombuffer(b"".join(batch.column("words").to_pylist()), np.uint8).reshape(-1, width)
+        words = batch.column("words").to_pylist()
+        table = np.frombuffer(b"".join(w[:_PACKED] for w in words), np.uint8).reshape(-1, _PACKED)
         columns = (batch.column(c).to_numpy() for c in ("key", "doc_id", "place"))
-        return cls(*columns, table[:, 0].astype(np.int64), table[:, 1].astype(np.int64), table[:, 2:])
+        begin = np.where(batch.column("kind").to_numpy() == REST, _PACKED + _BITS, _PACKED).tolist()
+        more = np.fromiter((w[k:] for w, k in zip(words, begin, strict=True)), object, len(words))
+        return cls(*columns, table[:, 0].astype(np.int64), table[:, 1].astype(np.int64), table[:, 2:], batch.column("length").to_numpy() > 0, more)
+
+    def once(self) -> Sides:
+        """The first of equal windows of one key and text, with the places of the others."""
+        total = mix(self.key.view(np.uint64) ^ mix(self.doc_id.view(np.uint64) ^ mix((self.place >> 32).view(np.uint64))))
+        for k in range(_SIDE):
+            total = total * np.uint64(0x9E3779B97F4A7C15) + self.words[:, k]
+        _, first, which = np.unique(mix(total), return_index=True, return_inverse=True)
+        again = np.flatnonzero(first[which] != np.arange(len(which)))
+        again = again[np.argsort(first[which[again]], kind="stable")]
+        begin = np.flatnonzero(np.diff(first[which[again]], prepend=-1))
+        for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(again)], strict=True) if len(again) else ():
+            self.more[first[which[again[a]]]] = self.place[again[a:b]].tobytes()
+        return self.take(np.sort(first))
 
     def take(self, rows: np.ndarray) -> Sides:
-        return Sides(*(c[rows] for c in (self.key, self.doc_id, self.place, self.back, self.ahead, self.words)))
+        return Sides(*(c[rows] for c in vars(self).values()))
 
     def after(self, other: Sides | None) -> Sides:
         mine, theirs = vars(self), vars(other) if other is not None else None
         return self if theirs is None else Sides(**{c: np.concatenate([theirs[c], mine[c]]) for c in mine})
 
-    def rows(self, chosen: np.ndarray) -> pa.RecordBatch:
+    def rows(self, kind: int, chosen: np.ndarray) -> pa.RecordBatch:
         some = self.take(chosen)
         packed = np.concatenate([some.back[:, None], some.ahead[:, None], some.words], axis=1).astype(np.uint8)
-        return _rows(EDITED, key=some.key, doc_id=some.doc_id, place=some.place, words=pa.array([r.tobytes() for r in packed], pa.binary()))
-
-    def linked(self) -> tuple[pa.RecordBatch, np.ndarray]:
-        """Links to the first windows of each key that hold a passage, and which windows are such firsts."""
-        todo, leaders, found = np.arange(len(self.key)), [], []
-        for _ in range(ANCHORS):
-            if not len(todo):
-                break
-            key = self.key[todo]
+        return _rows(kind, key=some.key, doc_id=some.doc_id, place=some.place, length=some.open.astype(np.int32), words=pa.array([r.tobytes() + m for r, m in zip(packed, some.more, strict=True)], pa.binary()))
+
+    def rest(self) -> pa.RecordBatch:
+        """Those beyond the first ``ANCHORS`` of their key, with bits of the shingles that many of these first have; ``length`` of open ones is how many
+        different shingles they share at least with a window that holds such a passage, and ``_APART`` more if one of them isn't common."""
+        rank = self.rank()
+        chosen = np.flatnonzero(rank >= ANCHORS)
+        some, first = self.take(chosen), self.take(np.flatnonzero((rank < ANCHORS) & np.isin(self.key, self.key[chosen])))
+        codes, theirs = (keyed_shingles(x.words, x.key) for x in (some, first))
+        values, counts = np.unique(theirs[theirs > 0], return_counts=True)
+        common = np.isin(codes, values[counts >= _COMMON])
+        first, last = _runs(common, SIMILARITY / (1 + SIMILARITY))  # as in ``may_align``
+        common, enough = np.packbits(common, axis=1), last > first
+        codes.sort(axis=1)
+        repeats = ((codes[:, 1:] == codes[:, :-1]) & (codes[:, 1:] > 0)).sum(axis=1)
+        # Of a run that stands at most so many places are not told by different shingles.
+        least = np.maximum(1, np.ceil(SIMILARITY * (REACH + 1) - (1 + SIMILARITY) * repeats - 1e-6)).astype(np.int32)
+        packed = np.concatenate([some.back[:, None], some.ahead[:, None], some.words, common], axis=1).astype(np.uint8)
+        return _rows(REST, key=some.key, doc_id=some.doc_id, place=some.place, length=np.where(some.open, least + np.where(enough, 0, _APART), 0), words=pa.array([r.tobytes() + m for r, m in zip(packed, some.more, strict=True)], pa.binary()))
+
+    def rank(self) -> np.ndarray:
+        """Of each window how many of its key stand before it."""
+        begin = np.flatnonzero(np.concatenate(([True], self.key[1:] != self.key[:-1])))
+        return np.arange(len(self.key)) - np.repeat(begin, np.diff(np.append(begin, len(self.key))))
+
+    def linked(self, rounds: int | None = None) -> tuple[pa.RecordBatch, np.ndarray]:
+        """Links of open windows to earlier ones, and which windows have no equal passage of an earlier one.
+
+        Every round compares the open windows with the next of these others of their key, until none is open; linked ones are no longer open.
+        """
+        part, found, copied = np.arange(len(self.key)), [], np.zeros(len(self.key), bool)
+
+        def note(i: np.ndarray, offset: np.ndarray, j: np.ndarray, length: np.ndarray) -> None:
+            self.open[i] = False
+            found.append((self.doc_id[i], self.place[i] + offset, self.doc_id[j], length))
+            for k in np.flatnonzero(self.more[i] != b"").tolist():
+                places = np.frombuffer(self.more[i[k]], np.int64)
+                found.append(tuple(np.broadcast_to(c, len(places)) for c in (self.doc_id[i[k]], places + offset[k], self.doc_id[j[k]], length[k])))
+
+        while len(part) and rounds != 0:
+            rounds = None if rounds is None else rounds - 1
+            key = self.key[part]
             begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            leader = np.repeat(todo[begin], np.diff(np.append(begin, len(todo))))
-            leaders.append(todo[begin])
-            todo, leader = todo[todo != leader], leader[todo != leader]
-            settled = np.zeros(len(todo), bool)
-            for c in range(0, len(todo), 4096):
-                part = slice(c, c + 4096)
-                apart = self.doc_id[todo[part]] != self.doc_id[leader[part]]
-                settled[part], begin, end, moved = self.compared(todo[part], leader[part])
-                settled[part] &= apart
-                k = np.flatnonzero(apart & (end > begin))
-                i, j = todo[c + k], leader[c + k]
-                found.append((self.doc_id[i], self.place[i] - REACH + begin[k], self.doc_id[j], end[k] - begin[k]))
-                for k in np.flatnonzero(moved & apart).tolist():
-                    i, j = int(todo[c + k]), int(leader[c + k])
+            sizes = np.diff(np.append(begin, len(part)))
+            leaders = np.repeat(part[begin], sizes)
+            asked = np.flatnonzero(self.open[part] & (self.doc_id[part] != self.doc_id[leaders]))
+            for c in range(0, len(asked), 4096):
+                todo, leader = part[asked[c : c + 4096]], leaders[asked[c : c + 4096]]
+                copy, begins, ends, moved = self.compared(todo, leader)
+                copied[todo[copy]], self.open[todo[copy]] = True, False
+                k = np.flatnonzero(ends > begins)
+                note(todo[k], begins[k] - REACH, leader[k], ends[k] - begins[k])
+                for k in np.flatnonzero(moved).tolist():
+                    i, j = int(todo[k]), int(leader[k])
                     spans = np.array(alike(self.own(i), self.own(j)), np.int64).reshape(-1, 2)
-                    settled[c + k] = len(spans) > 0
-                    found.append((np.full(len(spans), self.doc_id[i]), self.place[i] - self.back[i] + spans[:, 0], np.full(len(spans), self.doc_id[j]), spans[:, 1] - spans[:, 0]))
-            todo = todo[~settled]
+                    note(np.full(len(spans), i), spans[:, 0] - self.back[i], np.full(len(spans), j), spans[:, 1] - spans[:, 0])
+            still = self.open[part]
+            still[begin] = False
+            going = np.repeat(np.logical_or.reduceat(still, begin), sizes) & ~copied[part]
+            going[begin] = False
+            part = part[going]
         columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 4
-        return _links(*columns), np.sort(np.concatenate(leaders)) if leaders else todo
+        return _links(*columns), np.flatnonzero(~copied)
 
     def own(self, i: int) -> np.ndarray:
         return self.words[i, REACH - self.back[i] : REACH + SIMILARITY_SHINGLE + self.ahead[i]]
 
     def compared(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Whether windows hold a passage of another, the columns of one that is edited in place, and which are to be aligned.
+        """Which windows hold a passage of another as it is, the columns of one that is edited in place, and which are to be aligned.
 
         Equal words for a passage's length hold one, which is linked by its own hash. Without insertions and deletions both
         sides of a run have as many shingles, so that many of the run's must be equal in place. Of the others, those are
-        left to ``alike`` where, shortly after the words cease to be equal to one side, they are equal a few words away.
+        left to ``alike`` that have enough shingles of the other window at all.
         """
         x, y = self.words[i], self.words[j]
         equal = (x == y) & (x > 0)
-        left, right = _leading(equal[:, REACH - 1 :: -1]), _leading(equal[:, REACH + SIMILARITY_SHINGLE :])
-        run = left + right + SIMILARITY_SHINGLE
-        settled = run >= PASSAGE
+        copy = _leading(equal[:, REACH - 1 :: -1]) + _leading(equal[:, REACH + SIMILARITY_SHINGLE :]) + SIMILARITY_SHINGLE >= PASSAGE
         begin, end, moved = np.zeros(len(i), np.int64), np.zeros(len(i), np.int64), np.zeros(len(i), bool)
-        rest = np.flatnonzero(~settled & (equal.sum(axis=1) >= SIMILARITY * PASSAGE))
+        rest = np.flatnonzero(~copy & (equal.sum(axis=1) >= SIMILARITY * PASSAGE))
         first, last = _runs(_shingles_equal(equal[rest]), 2 * SIMILARITY / (1 + SIMILARITY))
-        settled[rest], begin[rest], end[rest] = last > first, first, np.where(last > first, last + SIMILARITY_SHINGLE - 1, 0)
-        rest = np.flatnonzero(~settled & (run >= LEAST_RUN))
-        if not len(rest):
-            return settled, begin, end, moved
-        edges = [np.stack([REACH - self.back[k[rest]], REACH + SIMILARITY_SHINGLE + self.ahead[k[rest]]]) for k in (i, j)]
-        block = np.arange(_BLOCK)
-        for start in (REACH + SIMILARITY_SHINGLE + right[rest] + MOVED, REACH - 1 - left[rest] - MOVED - _BLOCK):
-            mine = x[rest[:, None], np.clip(start[:, None] + block, 0, _SIDE - 1)]
-            fits = (start >= edges[0][0]) & (start + _BLOCK <= edges[0][1])
-            for shift in [s for s in range(-MOVED, MOVED + 1) if s]:
-                theirs = y[rest[:, None], np.clip(start[:, None] + shift + block, 0, _SIDE - 1)]
-                there = fits & (start + shift >= edges[1][0]) & (start + shift + _BLOCK <= edges[1][1])
-                moved[rest] |= there & (mine == theirs).all(axis=1)
-        return settled, begin, end, moved
+        begin[rest], end[rest] = first, np.where(last > first, last + SIMILARITY_SHINGLE - 1, 0)
+        rest = np.flatnonzero(~copy & (end == 0))
+        moved[rest] = may_align(x[rest], y[rest])
+        return copy, begin, end, moved
+
+
+def keyed_shingles(words: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Of each row of words the hashes of its shingles under its key; zero outside of the window."""
+    n = words.shape[1] - SIMILARITY_SHINGLE + 1
+    codes = sum(words[:, k : k + n].astype(np.uint64) << np.uint64(8 * k) for k in range(SIMILARITY_SHINGLE))
+    inside = (words[:, :n] > 0) & (words[:, SIMILARITY_SHINGLE - 1 :] > 0)
+    return np.where(inside, np.maximum(mix(codes ^ key.view(np.uint64)[:, None]), np.uint64(1)), np.uint64(0))
+
+
+def may_align(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which rows of words have a run that ``alike`` may find to stand in the other's row; all that it finds are among them.
+
+    Of a run that stands, the places whose shingles the other side holds are ``SIMILARITY`` of its own and the other's
+    together; the other side has as many places as the run has different shingles of it, and one at least.
+    """
+
+    def shingles(words: np.ndarray) -> np.ndarray:
+        n = words.shape[1] - SIMILARITY_SHINGLE + 1
+        total = np.zeros((len(words), n), np.uint32)
+        for k in range(SIMILARITY_SHINGLE):
+            total += words[:, k : k + n] * _TIMES[k]
+        bucket = np.maximum(total >> np.uint32(21), 1).astype(np.intp)
+        return np.where((words[:, :n] > 0) & (words[:, SIMILARITY_SHINGLE - 1 :] > 0), bucket, 0)
+
+    out = np.zeros(len(x), bool)
+    mine = shingles(x)
+    held = np.zeros((len(x), _BUCKETS), bool)
+    np.put_along_axis(held, shingles(y), True, axis=1)
+    held[:, 0] = False
+    hits = np.take_along_axis(held, mine, axis=1)
+    first, last = _runs(hits, SIMILARITY / (1 + SIMILARITY))
+    some = np.flatnonzero(last > first)
+    first, last = _runs(hits[some], SIMILARITY)
+    out[some] = last > first
+    fewer = some[last <= first]  # which is enough where shingles repeat
+    codes = np.where(mine[fewer] > 0, sum(x[fewer, k : k + mine.shape[1]].astype(np.int64) << 8 * k for k in range(SIMILARITY_SHINGLE)), -1 - np.arange(mine.shape[1]))
+    codes.sort(axis=1)
+    out[fewer] = (codes[:, 1:] == codes[:, :-1]).any(axis=1)
+    return out
 
 
 def _leading(equal: np.ndarray) -> np.ndarray:
@@ -490,13 +579,72 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = batch.filter(pa.array(kind == EDITED))
         if rest.num_rows:
             sides = Sides.of(rest).after(open_sides)
-            links, leaders = sides.linked()
+            links, others = sides.linked(ANCHORS)
             if links.num_rows:
                 yield links
-            open_sides = sides.take(leaders[sides.key[leaders] == sides.key[-1]])
+            sides, end = sides.take(others), sides.key[-1]
+            rank = sides.rank()
+            if (rank >= ANCHORS).any():
+                yield sides.rest()
+            open_sides = sides.take(np.flatnonzero((sides.key == end) & (rank < ANCHORS)))
     give_back()
 
 
+def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each window as many of its shingles, uncommon ones first, as must hold a shared one if ``least`` are shared at all; of a key that is
+    ``apart`` only the uncommon ones, one of which is always shared."""
+    top = np.uint64(0xFFFFFFFFFFFFFFFF)
+    for whole in batches:
+        for a in range(0, whole.num_rows, 4096):
+            batch = whole.slice(a, 4096)
+            table = np.frombuffer(b"".join(w[: _PACKED + _BITS] for w in batch.column("words").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            codes = keyed_shingles(table[:, 2:_PACKED], batch.column("key").to_numpy())
+            common = np.unpackbits(table[:, _PACKED:], axis=1)[:, : codes.shape[1]].astype(np.uint64)
+            order = np.where(codes > 0, codes >> np.uint64(1) | common << np.uint64(63), top)
+            order.sort(axis=1)
+            order[:, 1:][order[:, 1:] == order[:, :-1]] = top
+            order.sort(axis=1)
+            number = (order < top).sum(axis=1) - batch.column("least").to_numpy() + 1
+            apart = batch.column("apart").to_numpy(zero_copy_only=False)
+            number = np.where(apart, np.minimum(number, (order < np.uint64(1 << 63)).sum(axis=1)), number)
+            i, j = np.nonzero(np.arange(order.shape[1]) < number[:, None])
+            arrays = [order[i, j].view(np.int64), batch.column("id").to_numpy()[i], batch.column("open").to_numpy(zero_copy_only=False)[i]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in arrays], names=["key", "id", "open"])
+    give_back()
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows under the shingles that they share with another, where one of them is open."""
+    for batch in by_key(batches, "key"):
+        key, ids, opened = batch.column("key").to_numpy(), batch.column("id").to_numpy(), batch.column("open").to_numpy(zero_copy_only=False)
+        begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        sizes = np.diff(np.append(begin, len(key)))
+        keep = np.repeat((sizes > 1) & np.logical_or.reduceat(opened, begin), sizes)
+        blocks = np.repeat(-(-sizes // BLOCK), sizes)
+        yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (key, ids, blocks)], names=["shingle", "id", "blocks"])
+
+
+def _rest_links(rest: DataFrame) -> DataFrame:
+    """Links of the open windows of larger keys: those that share a shingle of their signatures are compared, in pairs of blocks if they are many."""
+    least = rest.filter("length > 0").groupBy("key").agg(F.min(F.col("length") % _APART).alias("least"), (F.min("length") > _APART).alias("apart"))
+    rest = rest.withColumn("id", F.xxhash64("key", "doc_id", "place"))
+    signatures = rest.join(least, "key").select("key", "id", (F.col("length") > 0).alias("open"), "least", "apart", "words").mapInArrow(_signatures, "key long, id long, open boolean")
+    shared = signatures.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "shingle long, id long, blocks long")
+    own, other = F.pmod("id", F.col("blocks")), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    placed = shared.join(rest.drop("key"), "id").withColumn("own", own).withColumn("other", other)
+    group = F.xxhash64("shingle", F.least("own", "other"), F.greatest("own", "other"))
+    dealt = placed.select("kind", "length", group.alias("key"), "doc_id", "place", "words").repartition("key").sortWithinPartitions("key", "doc_id", "place")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_key(batches, "key"):
+            links, _ = Sides.of(batch).linked()
+            if links.num_rows:
+                yield links
+        give_back()
+
+    return dealt.mapInArrow(run, ROWS)
+
+
 FOUND = "doc_id long, texts array<struct<mark:long,n_words:long,n_repeated:long,passages:array<struct<first:int,end:int>>,other_ids:array<long>>>"
 
 
@@ -559,7 +707,8 @@ def found_passages(texts: DataFrame) -> DataFrame:
     sides = by_doc.join(codes, "doc_id").join(_copies(texts), "doc_id", "left").select("doc_id", "same", "codes", "windows", "copies")
     rows = sides.mapInArrow(_places, ROWS)
     keyed = rows.repartition(F.when(F.col("kind") < LINK, F.col("key")).otherwise(F.xxhash64("doc_id"))).sortWithinPartitions("kind", "key", "doc_id", "place")
-    links = keyed.mapInArrow(_settled, ROWS).drop("words")
+    settled = save(keyed.mapInArrow(_settled, ROWS), "links")
+    links = settled.filter(F.col("kind") != REST).unionByName(_rest_links(settled.filter(F.col("kind") == REST))).drop("words")
     # A text's size sorts before its links.
     return links.repartition("doc_id").sortWithinPartitions("doc_id", F.col("kind") != SIZE, "place").mapInArrow(_merged, FOUND)
 

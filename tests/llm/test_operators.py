@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -400,6 +401,67 @@ def test_edited_passages_are_found_beside_looser_ones(spark):
     assert sum(t in found for t, _ in twins) >= 0.9 * len(twins)
 
 
+@pytest.mark.parametrize("kind", ["inserted", "moved"])
+def test_passages_edited_by_more_than_a_few_words_are_found(spark, kind):
+    texts = []
+    for s in range(60):
+        passage = words_text(52 if kind == "moved" else 70, 10_000 + s, 10**6).split()
+        block = words_text(5, 10_100 + s, 10**6).split()
+        edited = passage[26:] + passage[:26] if kind == "moved" else [*passage[:35], *block, *passage[35:]]
+        assert jaccard(" ".join(passage), " ".join(edited)) >= 0.8
+        texts += [f"{words_text(20, 11_000 + 2 * s + k, 10**6)} {' '.join(x)} {words_text(20, 12_000 + 2 * s + k, 10**6)}" for k, x in enumerate((passage, edited))]
+    found = found_words(substrings.repeated_passages(docs_of(spark, texts)))
+    assert all(doc % 2 for doc in found)
+    assert len(found) >= 0.65 * 60
+
+
+def edited_windows(n, seed):
+    """Texts of one eleven-word phrase in unlike surroundings, each sixth beside an edited one of a larger id, which comes last."""
+    phrase = words_text(11, seed, 10**6)
+    sides = [(words_text(30, seed + 10 * k + 1, 10**6).split(), words_text(30, seed + 10 * k + 2, 10**6).split()) for k in range(n)]
+    late = [(left[:25] + ["edited"] + left[26:], right) for left, right in sides[::6]]
+    return [" ".join([*left, phrase, *right]) for left, right in [*sides, *late]]
+
+
+@pytest.mark.parametrize(("anchors", "block"), [(16, 2000), (2, 7)])
+def test_edited_passages_of_a_phrase_of_very_many_documents_are_found(spark, monkeypatch, anchors, block):
+    monkeypatch.setattr(substrings, "ANCHORS", anchors)
+    monkeypatch.setattr(substrings, "BLOCK", block)
+    texts = edited_windows(120, 20_000)
+    words = np.zeros((len(texts), substrings._SIDE), np.uint8)
+    codes, _, _ = substrings.word_lists([t.encode() for t in texts])
+    for k, code in enumerate(codes):  # 71 words, the phrase's first in column REACH
+        words[k, substrings.REACH - 30 :][: len(code)] = np.maximum(code & 255, 1)
+    reach = np.full(len(texts), 30)
+    sides = substrings.Sides(np.full(len(texts), 5), np.arange(len(texts)), np.full(len(texts), 30), reach, reach + 6, words, np.ones(len(texts), bool))
+    batch = sides.rows(substrings.EDITED, np.arange(len(texts)))
+    settled = pa.Table.from_batches(list(substrings._settled(iter([batch.slice(k, 50) for k in range(0, len(texts), 50)])))).to_pandas()
+    frame = spark.createDataFrame([tuple(None if c is None or c != c else c for c in r) for r in settled.itertuples(index=False)], substrings.ROWS)
+    links = {(r.doc_id, r.key) for r in frame.filter(F.col("kind") == substrings.LINK).unionByName(substrings._rest_links(frame.filter(F.col("kind") == substrings.REST))).collect()}
+    assert links == {(120 + k, 6 * k) for k in range(20)}
+
+
+def test_windows_kept_apart_from_alignment_hold_no_passage():
+    r = random.Random(5)
+    rows = []
+    for _ in range(60):
+        row = [r.randrange(1, r.choice((4, 256))) for _ in range(substrings._SIDE)]
+        for _ in range(10):
+            other = list(row)
+            for _ in range(r.randrange(4)):
+                a, b, n = r.randrange(80), r.randrange(80), r.randrange(1, 12)
+                taken = other[a : a + n]
+                del other[a : a + n]
+                other[b:b] = r.choice((taken, taken[::-1], taken * 2))
+            other = (other + [0] * substrings._SIDE)[: substrings._SIDE]
+            rows.append((row, other))
+    x, y = (np.array([p[k] for p in rows], np.uint8) for k in (0, 1))
+    passed = substrings.may_align(x, y)
+    stands = np.array([bool(substrings.alike(a, b[b > 0])) for a, b in zip(x, y, strict=True)])
+    assert 100 < stands.sum() < 600
+    assert not (stands & ~passed).any()
+
+
 def test_cleaned_keeps_other_columns_and_tells_texts_of_one_id_apart(spark):
     passage = words_text(60, 70)
     rows = [(1, passage), (2, words_text(20, 71) + " " + passage), (2, words_text(90, 72)), (None, passage), (3, "short"), (4, "x " * 30000 + passage)]
