@@ -3,9 +3,9 @@
 Texts are split into the sentences of their blocks, which blank lines part and in which lines run on, since licences come
 wrapped and in comments; lines that are no such sentence, as headings, are read beside them. A multinomial logistic regression over hashed word
 unigrams and bigrams names the licence family of each, or ``unknown``. It is trained on the families' templates, each also
-with every single word left out, against paragraphs of a bounded sample of documents that have no word of such
-statements. Unknown is calibrated on the held-out half of that sample: a family needs a probability that at most
-``FALSE_RATE`` of the unknown paragraphs reach. A prediction is confirmed if the paragraph has ``CONFIRM`` of the word pairs
+with every single word left out, against all paragraphs of all documents that might be scored but have no word of such
+statements. Half of them, by their words' hash, are trained on, equal ones as one row with their number as its weight. Unknown is
+calibrated on the other half: a family needs a probability that at most ``FALSE_RATE`` of those paragraphs reach. A prediction is confirmed if the paragraph has ``CONFIRM`` of the word pairs
 of one of the family's templates. What can't be confirmed, having none of the words without which no template reaches
 that share, isn't scored.
 
@@ -34,10 +34,11 @@ from factline.llm.common import save
 UNKNOWN = "unknown"
 FEATURES = 1 << 12
 LEAST_WORDS = 2
-#: Bound of the labelled sample: documents drawn by a hash of the id, and paragraphs kept of them.
-SAMPLE_DOCS = 400
-SAMPLE_PARAGRAPHS = 6000
 FALSE_RATE = 0.001
+#: Steps of probability in which the paragraphs that reach it are counted.
+STEPS = 10_000
+#: Weight of all unknown paragraphs together in training, however many there are.
+UNKNOWN_WEIGHT = 3000.0
 CONFIRM = 0.6
 ITERATIONS = 20
 
@@ -211,21 +212,30 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Sc
     # What one family's template becomes without a word may be another's: it isn't taken for the first.
     left_out = left_out.join(templates.select("words"), "words", "left_anti")
     stated = templates.select("family", "words").unionByName(left_out.select("family", "words"))
-    share = SAMPLE_DOCS / max(1, docs.count())
-    drawn = docs.filter(F.pmod(F.xxhash64(id_col, F.lit("paragraphs")), F.lit(1 << 20)) < F.lit(share * (1 << 20)))
-    sample = paragraphs(drawn, id_col, text_col).filter(~F.col("wording").rlike(STATING))
-    sample = sample.orderBy(F.xxhash64("doc_id", "paragraph"), "doc_id", "paragraph").limit(SAMPLE_PARAGRAPHS).select("words", (F.xxhash64("doc_id", "paragraph") % 2 == 0).alias("fit"))
-    prose = spark.createDataFrame([(t,) for t in PROSE], "wording string").select(words(F.col("wording")).alias("words"), F.lit(True).alias("fit"))
-    negatives = save(sample.unionByName(prose).coalesce(1), "negatives")
+    every = paragraphs(docs, id_col, text_col, may_state).filter(~F.col("wording").rlike(STATING))
+    counted = every.groupBy("words").agg(F.count("*").alias("n")).withColumn("fit", F.xxhash64("words") % 2 == 0)
+    prose = spark.createDataFrame([(t,) for t in PROSE], "wording string").select(words(F.col("wording")).alias("words"), F.lit(1).cast("long").alias("n"), F.lit(True).alias("fit"))
+    negatives = save(counted.unionByName(prose), "negatives")
+    number_fit = negatives.filter("fit").agg(F.sum("n")).first()[0]
     classes = [UNKNOWN, *TEMPLATES]
     number = F.coalesce(*[F.when(F.col("family") == c, F.lit(float(i))) for i, c in enumerate(classes)])
-    rows = stated.withColumn("weight", F.lit(4.0)).unionByName(negatives.filter("fit").select(F.lit(UNKNOWN).alias("family"), "words", F.lit(1.0).alias("weight")))
+    rows = stated.withColumn("weight", F.lit(4.0)).unionByName(negatives.filter("fit").select(F.lit(UNKNOWN).alias("family"), "words", (F.col("n") * min(1.0, UNKNOWN_WEIGHT / number_fit)).alias("weight")))
     regression = LogisticRegression(family="multinomial", maxIter=ITERATIONS, regParam=0.0005, weightCol="weight")
-    fitted = regression.fit(_hashed(rows.withColumn("label", number)).select("features", "label", "weight").coalesce(2))
+    fitted = regression.fit(_hashed(rows.withColumn("label", number)).select("features", "label", "weight"))
     fitted = fitted.setRawPredictionCol("").setPredictionCol("")  # else Spark works the same sums out for each column
-    reached = _probabilities(fitted, negatives.filter("not fit")).select(F.array_max(F.slice("probabilities", 2, len(classes))).alias("p"))
-    at = reached.agg(F.percentile("p", 1 - FALSE_RATE)).first()[0]
-    return Scanner(fitted, classes, max(0.5, at or 0.0))
+    reached = _probabilities(fitted, negatives.filter("not fit")).select("n", F.ceil(F.array_max(F.slice("probabilities", 2, len(classes))) * STEPS).alias("p"))
+    return Scanner(fitted, classes, max(0.5, least_reached({r.p: r.n for r in reached.groupBy("p").agg(F.sum("n").alias("n")).collect()})))
+
+
+def least_reached(counts: dict[int, int]) -> float:
+    """The least probability that at most ``FALSE_RATE`` of the paragraphs exceed; ``counts`` has how many there are at each of ``STEPS``."""
+    above, needed = FALSE_RATE * sum(counts.values()), 0
+    for step in sorted(counts, reverse=True):
+        above -= counts[step]
+        needed = step
+        if above < 0:
+            break
+    return needed / STEPS
 
 
 def scan(docs: DataFrame, scanner: Scanner, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

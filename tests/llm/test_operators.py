@@ -633,6 +633,24 @@ def test_license_scan(spark):
         assert np.allclose(e / e.sum(), r.probabilities)
 
 
+def test_license_model_learns_from_every_paragraph_that_might_be_scored(spark, monkeypatch):
+    held, save = [], licenses.save
+    monkeypatch.setattr(licenses, "save", lambda df, tag: held.append(save(df, tag)) or held[-1])
+    texts = [f"The software was sold in town {k % 900}. Nothing else was said there." for k in range(3000)]
+    scanner = licenses.train(docs_of(spark, [*texts, "This software is under the MIT license."]))
+    assert held[0].agg(F.sum("n")).first()[0] == 3000 + len(licenses.PROSE)
+    assert 0.5 <= scanner.needed <= 1
+
+
+def test_a_threshold_is_exceeded_by_no_more_than_its_share(monkeypatch):
+    monkeypatch.setattr(licenses, "FALSE_RATE", 0.1)
+    r = random.Random(3)
+    values = [r.randrange(licenses.STEPS) for _ in range(500)]
+    needed = licenses.least_reached({v: values.count(v) for v in values}) * licenses.STEPS
+    assert sum(v > needed + 1e-6 for v in values) <= 50 < sum(v >= needed - 1e-6 for v in values)
+    assert licenses.least_reached({}) == 0
+
+
 # --- 9
 
 
