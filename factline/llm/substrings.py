@@ -16,9 +16,11 @@ Candidates are verified before they are linked:
   A window is open until it holds a near-duplicate passage of another (``PASSAGE`` words and more whose shingles have a Jaccard
   similarity of ``SIMILARITY``, insertions, deletions and moved parts included). One with an equal passage of another stands
   for nothing that the other doesn't and is compared no further. Up to ``ANCHORS`` windows of a key are compared with all
-  others as they stream by. The rest of a larger key meet by their other shingles, however many documents hold the phrase: of
-  two windows with such a passage each has a shared one among all but ``LEAST_SHARED`` - 1 of its own, in any order that
-  is the same for both. The order puts last what the key's first windows have in common, so that few meet under each.
+  others as they stream by. The rest of a larger key are all compared, however many documents hold the phrase: those of up to
+  ``BLOCK`` windows whole, others where they share a shingle. Of two windows with such a passage each has a shared one among the
+  first of its own, in any order that is the same for both; how many that are follows from ``shingle_weights``. The order puts
+  last what the key's first windows have in common, so that few meet under each. Before any words are compared, one matrix product
+  of weights and shingles leaves out the pairs that can't hold a passage.
 
 * *Equal texts.* A text that a document of smaller id has too is one passage, and isn't looked into any further.
 
@@ -53,7 +55,7 @@ HASHES = 4
 CONTEXT = 11
 #: Windows of one key that further ones are compared with where they are read; the rest of a larger key is dealt in blocks.
 ANCHORS = 16
-#: Windows of a block, of which a task compares two at a time where very many share a shingle.
+#: Windows of a key that are compared as one group, and of a block, of which a task compares two at a time where very many share a shingle.
 BLOCK = 2000
 
 #: Elements of a window on either side of its node that a passage of ``PASSAGE`` words around the node can reach.
@@ -63,6 +65,10 @@ _PACKED = 2 + _SIDE
 _BITS = -(-(2 * REACH + 1) // 8)
 #: Different shingles that two windows of edited passages share at least, if none repeats inside the later one.
 LEAST_SHARED = -int(-SIMILARITY * (REACH + 1) // 1)
+#: Least sum of the weights of shared shingles, see ``shingle_weights``.
+_LEAST_WEIGHT = SIMILARITY * (REACH + 1) - 0.01
+#: Columns of the matrices of weights and shingles; more of them leave fewer pairs to no purpose.
+_COLUMNS = 512
 #: Of so many of a key's first windows a shingle is in, to come last in the order by which the rest meet.
 _COMMON = 3
 _APART = 100
@@ -382,44 +388,105 @@ class Sides:
         begin = np.flatnonzero(np.concatenate(([True], self.key[1:] != self.key[:-1])))
         return np.arange(len(self.key)) - np.repeat(begin, np.diff(np.append(begin, len(self.key))))
 
-    def linked(self, rounds: int | None = None) -> tuple[pa.RecordBatch, np.ndarray]:
+    def linked(self, rounds: int) -> tuple[pa.RecordBatch, np.ndarray]:
         """Links of open windows to earlier ones, and which windows have no equal passage of an earlier one.
 
         Every round compares the open windows with the next of these others of their key, until none is open; linked ones are no longer open.
         """
         part, found, copied = np.arange(len(self.key)), [], np.zeros(len(self.key), bool)
-
-        def note(i: np.ndarray, offset: np.ndarray, j: np.ndarray, length: np.ndarray) -> None:
-            self.open[i] = False
-            found.append((self.doc_id[i], self.place[i] + offset, self.doc_id[j], length))
-            for k in np.flatnonzero(self.more[i] != b"").tolist():
-                places = np.frombuffer(self.more[i[k]], np.int64)
-                found.append(tuple(np.broadcast_to(c, len(places)) for c in (self.doc_id[i[k]], places + offset[k], self.doc_id[j[k]], length[k])))
-
-        while len(part) and rounds != 0:
-            rounds = None if rounds is None else rounds - 1
+        while len(part) and rounds:
+            rounds -= 1
             key = self.key[part]
             begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             sizes = np.diff(np.append(begin, len(part)))
             leaders = np.repeat(part[begin], sizes)
             asked = np.flatnonzero(self.open[part] & (self.doc_id[part] != self.doc_id[leaders]))
-            for c in range(0, len(asked), 4096):
-                todo, leader = part[asked[c : c + 4096]], leaders[asked[c : c + 4096]]
-                copy, begins, ends, moved = self.compared(todo, leader)
-                copied[todo[copy]], self.open[todo[copy]] = True, False
-                k = np.flatnonzero(ends > begins)
-                note(todo[k], begins[k] - REACH, leader[k], ends[k] - begins[k])
-                for k in np.flatnonzero(moved).tolist():
-                    i, j = int(todo[k]), int(leader[k])
-                    spans = np.array(alike(self.own(i), self.own(j)), np.int64).reshape(-1, 2)
-                    note(np.full(len(spans), i), spans[:, 0] - self.back[i], np.full(len(spans), j), spans[:, 1] - spans[:, 0])
+            copied[self.settle(part[asked], leaders[asked], found)] = True
             still = self.open[part]
             still[begin] = False
             going = np.repeat(np.logical_or.reduceat(still, begin), sizes) & ~copied[part]
             going[begin] = False
             part = part[going]
-        columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 4
-        return _links(*columns), np.flatnonzero(~copied)
+        return _joined(found), np.flatnonzero(~copied)
+
+    def all_linked(self) -> pa.RecordBatch:
+        """Links of open windows to the first earlier one of their key that holds such a passage, of all that may."""
+        found: list[tuple] = []
+        own, other = self.partners()
+        begin = np.flatnonzero(np.diff(own, prepend=-1))
+        end = np.append(begin[1:], len(own))
+        width = 1  # others that a window is compared with at a time, more and more
+        while len(begin):
+            number = np.minimum(end - begin, width)
+            k = np.repeat(begin - np.cumsum(number) + number, number) + np.arange(number.sum())
+            self.settle(own[k], other[k], found)
+            begin, width = begin + number, width * 2
+            going = begin < end
+            going[going] = self.open[own[begin[going]]]
+            begin, end = begin[going], end[going]
+        return _joined(found)
+
+    def partners(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each open window the earlier ones of its key and of other documents that share enough of its shingles."""
+        n, codes = len(self.key), keyed_shingles(self.words, self.key)
+        column = (codes >> np.uint64(64 - _COLUMNS.bit_length() + 1)).astype(np.int64) + np.arange(n)[:, None] * _COLUMNS
+        row, code, often = distinct(codes)
+        cell = row * _COLUMNS + (code >> np.uint64(64 - _COLUMNS.bit_length() + 1)).astype(np.int64)
+        weights = np.bincount(cell, shingle_weights(often), n * _COLUMNS).astype(np.float32).reshape(n, _COLUMNS)
+        held, begins, ends = np.zeros((3, n, _COLUMNS), np.float32)
+        held.ravel()[cell] = 1
+        for matrix, mask in zip((begins, ends), run_ends(codes), strict=True):
+            matrix.ravel()[column[mask]] = 1
+        first = np.searchsorted(self.key, self.key)  # of the key
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        asked = np.flatnonzero(self.open)
+        for c in range(0, len(asked), 512):
+            some = asked[c : c + 512]
+            a, b = int(first[some[0]]), int(some[-1])
+            theirs = held[a:b].T
+            enough = weights[some] @ theirs >= _LEAST_WEIGHT
+            for matrix in (begins, ends):
+                enough &= matrix[some] @ theirs > 0
+            i, j = np.nonzero(enough)
+            i, j = some[i], j + a
+            fits = (j < i) & (j >= first[i]) & (self.doc_id[i] != self.doc_id[j])
+            found.append((i[fits], j[fits]))
+        return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+    def settle(self, own: np.ndarray, other: np.ndarray, found: list[tuple]) -> np.ndarray:
+        """Links of windows to the first of their others that they hold a passage of go to ``found``.
+
+        They are no longer open, nor are windows with an equal passage of another before that; these are returned.
+        """
+        copies = [np.zeros(0, np.int64)]
+
+        def note(i: np.ndarray, offset: np.ndarray, j: np.ndarray, length: np.ndarray) -> None:
+            self.open[i] = False
+            found.append((self.doc_id[i], self.place[i] + offset, self.doc_id[j], length))
+            for k in np.flatnonzero(self.more[i] != b"").tolist():
+                places = np.frombuffer(self.more[i[k]], np.int64)
+                found.append(tuple(np.broadcast_to(c, len(places)) for c in (self.doc_id[i[k]], places + offset[k], self.doc_id[j[k]], length[k])))
+
+        for c in range(0, len(own), 4096):
+            todo, leader = own[c : c + 4096], other[c : c + 4096]
+            todo, leader = todo[self.open[todo]], leader[self.open[todo]]
+            copy, begins, ends, moved = self.compared(todo, leader)
+            sure = np.flatnonzero(copy | (ends > begins))
+            sure = sure[np.unique(todo[sure], return_index=True)[1]]
+            limit = np.full(len(self.key), len(todo))
+            limit[todo[sure]] = sure
+            for k in np.flatnonzero(moved & (np.arange(len(todo)) < limit[todo])).tolist():
+                i, j = int(todo[k]), int(leader[k])
+                if self.open[i]:
+                    spans = np.array(alike(self.own(i), self.own(j)), np.int64).reshape(-1, 2)
+                    note(np.full(len(spans), i), spans[:, 0] - self.back[i], np.full(len(spans), j), spans[:, 1] - spans[:, 0])
+            sure = sure[self.open[todo[sure]]]
+            k = sure[copy[sure]]
+            copies.append(todo[k])
+            self.open[todo[k]] = False
+            k = sure[~copy[sure]]
+            note(todo[k], begins[k] - REACH, leader[k], ends[k] - begins[k])
+        return np.concatenate(copies)
 
     def own(self, i: int) -> np.ndarray:
         return self.words[i, REACH - self.back[i] : REACH + SIMILARITY_SHINGLE + self.ahead[i]]
@@ -443,6 +510,37 @@ class Sides:
         return copy, begin, end, moved
 
 
+def _joined(found: list[tuple]) -> pa.RecordBatch:
+    return _links(*([np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 4))
+
+
+def distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row by row the different values above zero, in order: their rows, the values, and how often the row has each."""
+    values = np.sort(codes, axis=1)
+    first = values > 0
+    first[:, 1:] &= values[:, 1:] != values[:, :-1]
+    at = np.flatnonzero(first)
+    row = at // codes.shape[1]
+    end = np.append(at[1:], codes.size)
+    return row, values.ravel()[at], np.minimum(end, (row + 1) * codes.shape[1]) - at
+
+
+def shingle_weights(often: np.ndarray) -> np.ndarray:
+    """Of shingles that a window has so often, weights whose sum over all that another has too is ``_LEAST_WEIGHT`` at least, if it holds such a passage.
+
+    Of a run that stands, the shared places are ``SIMILARITY`` at least of its own and the other's span without them, and that span
+    has as many places as different shingles are shared; copies and runs edited in place share more.
+    """
+    return (1 + SIMILARITY) * often - SIMILARITY
+
+
+def run_ends(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of each row's shingles where a run of a passage's length may begin, and where one may end: it does both with a shared shingle."""
+    inside, n = codes > 0, codes.shape[1]
+    first, last = np.argmax(inside, axis=1)[:, None], n - 1 - np.argmax(inside[:, ::-1], axis=1)[:, None]
+    return inside & (np.arange(n) <= last - REACH), inside & (np.arange(n) >= first + REACH)
+
+
 def keyed_shingles(words: np.ndarray, key: np.ndarray) -> np.ndarray:
     """Of each row of words the hashes of its shingles under its key; zero outside of the window."""
     n = words.shape[1] - SIMILARITY_SHINGLE + 1
@@ -591,60 +689,94 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each window as many of its shingles, uncommon ones first, as must hold a shared one if ``least`` are shared at all; of a key that is
-    ``apart`` only the uncommon ones, one of which is always shared."""
-    top = np.uint64(0xFFFFFFFFFFFFFFFF)
+    """Of each window the shingles by which it may meet another, uncommon ones first, and which of them an open one asks by.
+
+    The first one that two share is followed by all others that they share. So it is followed by enough weight of the one that asks, and
+    in the other by ``least`` - 1 more. What is ``apart`` shares an uncommon one. Where the other has all of its uncommon ones here,
+    it is enough to ask by those where a run may begin, or end, if all of these are uncommon.
+    """
     for whole in batches:
         for a in range(0, whole.num_rows, 4096):
             batch = whole.slice(a, 4096)
             table = np.frombuffer(b"".join(w[: _PACKED + _BITS] for w in batch.column("words").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
             codes = keyed_shingles(table[:, 2:_PACKED], batch.column("key").to_numpy())
             common = np.unpackbits(table[:, _PACKED:], axis=1)[:, : codes.shape[1]].astype(np.uint64)
-            order = np.where(codes > 0, codes >> np.uint64(1) | common << np.uint64(63), top)
-            order.sort(axis=1)
-            order[:, 1:][order[:, 1:] == order[:, :-1]] = top
-            order.sort(axis=1)
-            number = (order < top).sum(axis=1) - batch.column("least").to_numpy() + 1
-            apart = batch.column("apart").to_numpy(zero_copy_only=False)
-            number = np.where(apart, np.minimum(number, (order < np.uint64(1 << 63)).sum(axis=1)), number)
-            i, j = np.nonzero(np.arange(order.shape[1]) < number[:, None])
-            arrays = [order[i, j].view(np.int64), batch.column("id").to_numpy()[i], batch.column("open").to_numpy(zero_copy_only=False)[i]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in arrays], names=["key", "id", "open"])
+            order = np.where(codes > 0, np.maximum(codes >> np.uint64(1), np.uint64(1)) | common << np.uint64(63), np.uint64(0))
+            row, value, often = distinct(order)
+            first = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            after = first[row + 1] - np.arange(len(row))  # this one and those that follow
+            total = np.append(0, np.cumsum(shingle_weights(often)))
+            rare = value < np.uint64(1 << 63)
+            length, apart = batch.column("length").to_numpy(), batch.column("apart").to_numpy(zero_copy_only=False)
+            asks = (length[row] > 0) & (total[first[row + 1]] - total[:-1] >= _LEAST_WEIGHT) & (rare | (length[row] <= _APART))
+            least = batch.column("least").to_numpy()
+            for mask in run_ends(codes):
+                those = np.where(mask, order, np.uint64(0))
+                by_these = (least == 1) & ~((those >= np.uint64(1 << 63)).any(axis=1))
+                mine, own, _ = distinct(those)
+                fewer = by_these & (np.bincount(mine, minlength=len(least)) < np.bincount(row[asks], minlength=len(least)))
+                fewer &= length > 0
+                among = np.isin(mix(value ^ mix(row.astype(np.uint64))), mix(own ^ mix(mine.astype(np.uint64))))
+                asks = np.where(fewer[row], among, asks)
+            held = (after >= least[row]) & (rare | ~apart[row])
+            some = np.flatnonzero(asks | held)
+            arrays = [value[some].view(np.int64), batch.column("id").to_numpy()[row[some]], asks[some]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in arrays], names=["key", "id", "asks"])
     give_back()
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows under the shingles that they share with another, where one of them is open."""
+    """Windows under the shingles that they share with another, where one of them asks."""
     for batch in by_key(batches, "key"):
-        key, ids, opened = batch.column("key").to_numpy(), batch.column("id").to_numpy(), batch.column("open").to_numpy(zero_copy_only=False)
+        key, ids, asks = batch.column("key").to_numpy(), batch.column("id").to_numpy(), batch.column("asks").to_numpy(zero_copy_only=False)
         begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         sizes = np.diff(np.append(begin, len(key)))
-        keep = np.repeat((sizes > 1) & np.logical_or.reduceat(opened, begin), sizes)
+        keep = np.repeat((sizes > 1) & np.logical_or.reduceat(asks, begin), sizes)
         blocks = np.repeat(-(-sizes // BLOCK), sizes)
-        yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (key, ids, blocks)], names=["shingle", "id", "blocks"])
+        yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (key, ids, asks, blocks)], names=["shingle", "id", "asks", "blocks"])
 
 
 def _rest_links(rest: DataFrame) -> DataFrame:
-    """Links of the open windows of larger keys: those that share a shingle of their signatures are compared, in pairs of blocks if they are many."""
-    least = rest.filter("length > 0").groupBy("key").agg(F.min(F.col("length") % _APART).alias("least"), (F.min("length") > _APART).alias("apart"))
-    rest = rest.withColumn("id", F.xxhash64("key", "doc_id", "place"))
-    signatures = rest.join(least, "key").select("key", "id", (F.col("length") > 0).alias("open"), "least", "apart", "words").mapInArrow(_signatures, "key long, id long, open boolean")
-    shared = signatures.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "shingle long, id long, blocks long")
+    """Links of the open windows of larger keys: those of one key are compared, of very large keys those that share a shingle, in pairs of blocks if they are many."""
+    least = rest.groupBy("key").agg(
+        F.count("*").alias("n"), F.min(F.when(F.col("length") > 0, F.col("length") % _APART)).alias("least"), (F.min(F.when(F.col("length") > 0, F.col("length"))) > _APART).alias("apart")
+    ).filter("least is not null")
+    placed = rest.join(least, "key")
+    columns = ["kind", "length", "key", "doc_id", "place", "words"]
+    whole = placed.filter(F.col("n") <= BLOCK).select(columns)
+    large = placed.filter(F.col("n") > BLOCK).withColumn("id", F.xxhash64("key", "doc_id", "place"))
+    signatures = large.select("key", "id", "length", "least", "apart", "words").mapInArrow(_signatures, "key long, id long, asks boolean")
+    shared = signatures.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "shingle long, id long, asks boolean, blocks long")
     own, other = F.pmod("id", F.col("blocks")), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    placed = shared.join(rest.drop("key"), "id").withColumn("own", own).withColumn("other", other)
+    met = shared.join(large.select("id", "kind", "doc_id", "place", "words"), "id").withColumn("own", own).withColumn("other", other)
     group = F.xxhash64("shingle", F.least("own", "other"), F.greatest("own", "other"))
-    dealt = placed.select("kind", "length", group.alias("key"), "doc_id", "place", "words").repartition("key").sortWithinPartitions("key", "doc_id", "place")
+    parts = met.select("kind", F.col("asks").cast("int").alias("length"), group.alias("key"), "doc_id", "place", "words")
+    # By number, since work grows with pairs: few bytes are no reason to take tasks together.
+    tasks = int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = whole.unionByName(parts).repartition(tasks, "key").sortWithinPartitions("key", "doc_id", "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_key(batches, "key"):
-            links, _ = Sides.of(batch).linked()
-            if links.num_rows:
-                yield links
+            for part in key_parts(batch, 256):
+                links = Sides.of(part).all_linked()
+                if links.num_rows:
+                    yield links
         give_back()
 
     return dealt.mapInArrow(run, ROWS)
 
 
+def key_parts(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
+    """A batch sorted by key in parts of about so many rows; those of one key stay together."""
+    key = batch.column("key").to_numpy()
+    begin = np.append(np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))), len(key)).tolist()
+    a = 0
+    for b, after in zip(begin[1:], [*begin[2:], len(key) + rows], strict=True):
+        if after - a > rows:
+            yield batch.slice(a, b - a)
+            a = b
+
+
 FOUND = "doc_id long, texts array<struct<mark:long,n_words:long,n_repeated:long,passages:array<struct<first:int,end:int>>,other_ids:array<long>>>"
 
 

@@ -423,7 +423,7 @@ def edited_windows(n, seed):
     return [" ".join([*left, phrase, *right]) for left, right in [*sides, *late]]
 
 
-@pytest.mark.parametrize(("anchors", "block"), [(16, 2000), (2, 7)])
+@pytest.mark.parametrize(("anchors", "block"), [(16, 2000), (2, 7), (2, 60)])
 def test_edited_passages_of_a_phrase_of_very_many_documents_are_found(spark, monkeypatch, anchors, block):
     monkeypatch.setattr(substrings, "ANCHORS", anchors)
     monkeypatch.setattr(substrings, "BLOCK", block)
@@ -462,6 +462,52 @@ def test_windows_kept_apart_from_alignment_hold_no_passage():
     assert not (stands & ~passed).any()
 
 
+def one_word_runs(n, seed):
+    """Windows under one key that begin with eleven and more of one word, and go on with runs of others."""
+    r = random.Random(seed)
+    words = np.zeros((n, substrings._SIDE), np.uint8)
+    for k in range(n):
+        at = substrings.REACH
+        size = r.randrange(11, 25)
+        while at < substrings._SIDE:
+            words[k, at : at + size] = 53 if at == substrings.REACH else r.randrange(1, 200)
+            at, size = at + size, r.randrange(8, 30)
+    back = np.zeros(n, np.int64)
+    return substrings.Sides(np.full(n, 5), np.arange(n), np.full(n, 30), back, back + substrings.REACH, words, np.ones(n, bool))
+
+
+def test_windows_of_one_word_runs_are_compared_with_few_others(monkeypatch):
+    sides, plain, compared, seen = one_word_runs(400, 3), one_word_runs(400, 3), substrings.Sides.compared, []
+    monkeypatch.setattr(substrings.Sides, "compared", lambda self, i, j: seen.append(len(i)) or compared(self, i, j))
+    links = sides.all_linked()
+    few = sum(seen)
+    expected, _ = plain.linked(400)
+    assert {(a, b) for a, b in zip(links.column("doc_id").to_pylist(), links.column("key").to_pylist(), strict=True)} == {(a, b) for a, b in zip(expected.column("doc_id").to_pylist(), expected.column("key").to_pylist(), strict=True)}
+    assert links.num_rows > 10
+    assert few < (sum(seen) - few) / 10
+
+
+def test_no_pair_that_holds_a_passage_is_left_out():
+    r = random.Random(8)
+    sides = one_word_runs(60, 4)
+    for k in range(0, 60, 2):  # others differ in a few words
+        sides.words[k + 1] = sides.words[k]
+        for _ in range(r.randrange(1, 9)):
+            sides.words[k + 1, substrings.REACH + 11 + r.randrange(39)] = r.randrange(1, 200)
+        if k % 4:
+            sides.words[k : k + 2, substrings.REACH + 11 :] = np.array([r.randrange(1, 255) for _ in range(39)])
+            sides.words[k + 1, substrings.REACH + 11 + r.randrange(39)] = 255
+    sides.words[:, substrings.REACH + substrings.PASSAGE :] = 0
+    own, other = sides.partners()
+    kept = set(zip(own.tolist(), other.tolist(), strict=True))
+    i, j = (c.ravel() for c in np.meshgrid(np.arange(60), np.arange(60), indexing="ij"))
+    i, j = i[j < i], j[j < i]
+    copy, begin, end, moved = sides.compared(i, j)
+    stands = copy | (end > begin) | np.array([bool(m and substrings.alike(sides.own(a), sides.own(b))) for a, b, m in zip(i.tolist(), j.tolist(), moved.tolist(), strict=True)])
+    assert stands.sum() > 10
+    assert {(int(a), int(b)) for a, b in zip(i[stands], j[stands], strict=True)} <= kept
+
+
 def test_cleaned_keeps_other_columns_and_tells_texts_of_one_id_apart(spark):
     passage = words_text(60, 70)
     rows = [(1, passage), (2, words_text(20, 71) + " " + passage), (2, words_text(90, 72)), (None, passage), (3, "short"), (4, "x " * 30000 + passage)]
