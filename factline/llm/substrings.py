@@ -17,7 +17,7 @@ Candidates are verified before they are linked:
   similarity of ``SIMILARITY``, insertions, deletions and moved parts included). One with an equal passage of another stands
   for nothing that the other doesn't and is compared no further. Up to ``ANCHORS`` windows of a key are compared with all
   others as they stream by. The rest of a larger key are all compared, however many documents hold the phrase: those of up to
-  ``BLOCK`` windows whole, others where they share a shingle. Of two windows with such a passage each has a shared one among the
+  ``WHOLE`` windows whole, others where they share a shingle. Of two windows with such a passage each has a shared one among the
   first of its own, in any order that is the same for both; how many that are follows from ``shingle_weights``. The order puts
   last what the key's first windows have in common, so that few meet under each. Before any words are compared, one matrix product
   of weights and shingles leaves out the pairs that can't hold a passage.
@@ -55,7 +55,9 @@ HASHES = 4
 CONTEXT = 11
 #: Windows of one key that further ones are compared with where they are read; the rest of a larger key is dealt in blocks.
 ANCHORS = 16
-#: Windows of a key that are compared as one group, and of a block, of which a task compares two at a time where very many share a shingle.
+#: Windows of a key up to which they are compared as one group.
+WHOLE = 64
+#: Windows of a block, of which a task compares two at a time where very many share a shingle.
 BLOCK = 2000
 
 #: Elements of a window on either side of its node that a passage of ``PASSAGE`` words around the node can reach.
@@ -743,8 +745,8 @@ def _rest_links(rest: DataFrame) -> DataFrame:
     ).filter("least is not null")
     placed = rest.join(least, "key")
     columns = ["kind", "length", "key", "doc_id", "place", "words"]
-    whole = placed.filter(F.col("n") <= BLOCK).select(columns)
-    large = placed.filter(F.col("n") > BLOCK).withColumn("id", F.xxhash64("key", "doc_id", "place"))
+    whole = placed.filter(F.col("n") <= WHOLE).select(columns)
+    large = placed.filter(F.col("n") > WHOLE).withColumn("id", F.xxhash64("key", "doc_id", "place"))
     signatures = large.select("key", "id", "length", "least", "apart", "words").mapInArrow(_signatures, "key long, id long, asks boolean")
     shared = signatures.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "shingle long, id long, asks boolean, blocks long")
     own, other = F.pmod("id", F.col("blocks")), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))

@@ -427,6 +427,7 @@ def edited_windows(n, seed):
 def test_edited_passages_of_a_phrase_of_very_many_documents_are_found(spark, monkeypatch, anchors, block):
     monkeypatch.setattr(substrings, "ANCHORS", anchors)
     monkeypatch.setattr(substrings, "BLOCK", block)
+    monkeypatch.setattr(substrings, "WHOLE", block)
     texts = edited_windows(120, 20_000)
     words = np.zeros((len(texts), substrings._SIDE), np.uint8)
     codes, _, _ = substrings.word_lists([t.encode() for t in texts])
