@@ -50,16 +50,18 @@ def scalar_at(record: Column, path: str) -> Column:
     return F.when(~kind.isin("OBJECT", "ARRAY", "VOID"), blank_to_null(at(record, path)))
 
 
+def worked_out(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``rows`` beside columns that are worked out once for each row: a filter over them is not moved below, where it would work them out again."""
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()])))) if columns else rows
+
+
 def with_scalars(records: DataFrame, record: str, paths: dict[str, str]) -> DataFrame:
     """``records`` beside a column for each path, given by the column's name: the scalar there, as ``scalar_at`` gives it.
 
     A record is parsed once for all kinds, and read once for each path; expressions over the columns read nothing again.
     """
     parsed = records.withColumn("_parsed", F.try_parse_json(F.col(record)))
-    read = parsed.select(
-        *records.columns,
-        *[F.struct(_kind(F.col("_parsed"), path).alias("kind"), at(F.col(record), path).alias("text")).alias(name) for name, path in paths.items()],
-    )
+    read = worked_out(parsed, {name: F.struct(_kind(F.col("_parsed"), path).alias("kind"), at(F.col(record), path).alias("text")) for name, path in paths.items()})
     return read.select(*records.columns, *[F.when(~F.col(name)["kind"].isin("OBJECT", "ARRAY", "VOID"), blank_to_null(F.col(name)["text"])).alias(name) for name in paths])
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from factline.functions.masking import clean_json, mask, masked_count
 from factline.functions.spans import let
 from factline.functions.text import aliases, identity, text_hash
-from factline.functions.values import KINDS, STRING, convert, render_strict, scalar_at, scalars_at, shape_name, with_scalars
+from factline.functions.values import KINDS, STRING, convert, render_strict, scalar_at, scalars_at, shape_name, with_scalars, worked_out
 
 
 @dataclass(frozen=True)
@@ -67,11 +67,12 @@ def mapped_records(records: DataFrame, mapping: Mapping, record: str = "record",
     held = {path: f"_at{k}" for k, path in enumerate(paths)}
     mapped = [F.col(held[p]) for p in mapping.aliases]
     rendered = [render_strict(t, {f: F.col(held[f]) for f in mapping.fields}) for t in mapping.alias_templates]
-    converted = {p: convert(p.kind, F.col(held[p.path])) for p in mapping.properties}
+    converted = {p: f"_converted{k}" for k, p in enumerate(mapping.properties)}
     key, name = held[mapping.id], held[mapping.name]
-    values = F.array(*[F.struct(F.lit(p.name).alias("name"), F.lit(p.kind).alias("kind"), c["value"].alias("value"), c["ok"].alias("ok")) for p, c in converted.items()]) if converted else F.array().cast("array<struct<name:string,kind:string,value:string,ok:boolean>>")
+    values = F.array(*[F.struct(F.lit(p.name).alias("name"), F.lit(p.kind).alias("kind"), F.col(c)["value"].alias("value"), F.col(c)["ok"].alias("ok")) for p, c in converted.items()]) if converted else F.array().cast("array<struct<name:string,kind:string,value:string,ok:boolean>>")
     rows = with_scalars(records.select(record, order), record, {column: path for path, column in held.items()}).filter(F.col(key).isNotNull() & F.col(name).isNotNull())
     first = rows.groupBy(F.col(key).alias("_key")).agg(F.min_by(F.struct(*rows.columns), F.col(order)).alias("r")).select("r.*")
+    first = worked_out(first, {c: convert(p.kind, F.col(held[p.path])) for p, c in converted.items()})
     own = identity(F.lit(mapping.prefix), F.col(key))
     out = first.select(
         own.alias("identity"), F.col(name).alias("name"), aliases(F.col(name), own, F.array(*mapped, *rendered) if mapped or rendered else F.array().cast("array<string>")).alias("aliases"),

@@ -257,3 +257,12 @@ def test_edges_with_absent_ends_and_types(spark):
     found = snapshot.edge_problems(nodes, edges, ends)
     want = {("n2", "node", "repeated id"), ("e1", "source", "absent"), ("e1", "target", "wrong type"), ("e2", "target", "absent"), ("e2", "type", "absent"), ("e3", "target", "missing node"), ("e4", "source", "wrong type")}
     assert {tuple(r) for r in found.collect()} == want
+
+
+def test_filters_of_facts_convert_nothing_again(spark, sf):
+    from factline.plans.mapping import map_order_facts
+
+    plan = map_order_facts(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson(") == 1
+    assert plan.count("StructsToJsonEvaluator") == 1
+    assert plan.count(r"[Tt ](\d{2})") == 1
