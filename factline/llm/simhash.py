@@ -8,10 +8,11 @@ all close pairs. A key with very many nodes is split by the same rule again on t
 anything is gathered.
 
 ``fingerprints`` takes word shingles with repeats, as `op3` asks. ``near_groups`` serves deduplication by similarity of
-five-word shingle sets. Fingerprints can't serve it: a replaced or added block that leaves a similarity of ``SIMILARITY``
-changes more bits than any choice of blocks allows. Its candidates are the documents that share one of ``BANDS`` bands of
-``BAND_ROWS`` min-hashes of the shingle sets, whatever the place of the edits: two sets at exactly 0.8 share none with a
-probability of 5e-8. Under a band each node is first verified by its shingle set against the least node; where that leaves
+five-word shingle sets. Its candidates are the components of close fingerprints, found by the same blocks. Alone these would
+miss some: a replaced or added block that leaves a similarity of ``SIMILARITY`` changes more bits than any choice of blocks
+allows. So documents that share one of ``BANDS`` bands of ``BAND_ROWS`` min-hashes of the shingle sets are candidates too,
+whatever the place of the edits: two sets at exactly 0.8 share none with a probability of 5e-8. Under a band, or in a component
+of fingerprints, each node is first verified by its shingle set against the least node; where that leaves
 several components, every pair of nodes of different ones is verified, so no link is lost by a node between them.
 
 Defined cases: null and empty texts, and texts of white space only, have no words and fingerprint zero; fewer words than
@@ -215,23 +216,32 @@ def band_hashes(shingles: np.ndarray) -> np.ndarray:
 
 
 def _features(docs: DataFrame) -> DataFrame:
-    """Per document: a hash of its words in order, and the band hashes of its five-word shingles."""
+    """Per document: a hash of its words in order, the fingerprint of its shingles, and the band hashes of its five-word shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in batch_chunks(batches, "text"):
             texts = text_bytes(chunk.column("text"))
             owner, _, _, hashes = hashed_words(texts)
             edges = np.searchsorted(owner, np.arange(len(texts) + 1))
-            same, bands, sizes = [], [], []
+            same, bands, sizes, prints = [], [], [], []
             for k in range(len(texts)):
                 words = hashes[edges[k] : edges[k + 1]]
                 same.append(xxhash.xxh3_128_hexdigest(words.tobytes()))
                 sizes.append(len(words))
+                prints.append(signed(majority(shingle_hashes(words, SHINGLE))))
                 bands.append(band_hashes(shingle_hashes(words)).view(np.int64) if len(words) else None)
-            arrays = [chunk.column("doc_id"), pa.array(same, pa.string()), pa.array(sizes, pa.int32()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "same", "size", "bands"])
+            arrays = [chunk.column("doc_id"), pa.array(same, pa.string()), pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "same", "size", "fp", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, same string, size int, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, same string, size int, fp long, bands array<long>")
+
+
+def with_fingerprint_keys(nodes: DataFrame) -> DataFrame:
+    """``nodes`` (id, size, fp, bands) with one more key among the bands: that of the component of close fingerprints."""
+    prints = save(nodes.groupBy("fp").agg(F.min("id").alias("id")), "prints")
+    roots = components(close_links(prints))
+    component = prints.join(roots, prints.id == roots.node, "left").select("fp", F.coalesce("component", "id").alias("component"))
+    return nodes.join(component, "fp").withColumn("bands", F.array_append("bands", F.xxhash64(F.lit("fp"), "component"))).drop("component")
 
 
 def marks(ids: DataFrame) -> np.ndarray:
@@ -317,7 +327,7 @@ def _whole(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _key_rows(nodes: DataFrame) -> DataFrame:
-    """``(key, id, size, first)``: nodes under every band hash that another has too, and the least id of those."""
+    """``(key, id, size, first)``: nodes under every band hash and component of fingerprints that another has too, and the least id of those."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_key(batches, "key"):
@@ -436,9 +446,9 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "
         raise ValueError(f"the bands are cut for similarities of {SIMILARITY} and more")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
     features = save(_features(texts), "features")
-    nodes = save(features.groupBy("same").agg(F.min("doc_id").alias("id"), F.first("size").alias("size"), F.first("bands").alias("bands")), "nodes")
+    nodes = save(features.groupBy("same").agg(F.min("doc_id").alias("id"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "nodes")
     copies = features.select("same", "doc_id").join(nodes.select("same", "id"), "same").filter("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
-    rows = save(_key_rows(nodes.filter("bands is not null")), "keys")
+    rows = save(_key_rows(with_fingerprint_keys(nodes.filter("bands is not null"))), "keys")
     pairs = save(rows.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     found = _verified(pairs, texts, similarity)
     labels = save(components(found), "labels")

@@ -216,6 +216,17 @@ def jaccard(a, b, n=5):
     return len(a & b) / len(a | b)
 
 
+def test_close_fingerprints_are_candidates_without_a_band(spark):
+    nodes = spark.createDataFrame([(1, 9, 0b1111, [11]), (2, 9, 0, [12]), (3, 9, 0b1111000, [13]), (4, 9, -1, [14]), (5, 9, 0, [15])], "id long, size int, fp long, bands array<long>")
+    rows = simhash._key_rows(simhash.with_fingerprint_keys(nodes)).collect()
+    assert sorted((r.id, r.first) for r in rows) == [(1, 1), (2, 1), (3, 1), (5, 1)]
+    assert len({r.key for r in rows}) == 1
+    texts = [f"a{i} " * 3 + " ".join(f"w{i}x{k}" for k in range(90)) for i in range(3)]
+    prints = {r.doc_id: r.fp for r in simhash._features(docs_of(spark, [*texts, *texts]).select("doc_id", "text")).collect()}
+    assert [prints[i] for i in range(3)] == [prints[i + 3] for i in range(3)]
+    assert len(set(prints.values())) == 3
+
+
 def test_one_of_each_near_copy(spark):
     texts = [words_text(200, s) for s in range(30)]
     copies = [near_copy(texts[s], 3, s) for s in range(20)] + [texts[3], texts[3].upper()]
