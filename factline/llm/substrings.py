@@ -20,7 +20,8 @@ Candidates are verified before they are linked:
   ``WHOLE`` windows whole, others where they share a shingle. Of two windows with such a passage each has a shared one among the
   first of its own, in any order that is the same for both; how many that are follows from ``shingle_weights``. The order puts
   last what the key's first windows have in common, so that few meet under each. Before any words are compared, one matrix product
-  of weights and shingles leaves out the pairs that can't hold a passage.
+  of weights and shingles leaves out the pairs that can't hold a passage, and where the shared shingles stand leaves out nearly all
+  others that don't. Windows of a key with the same words in several documents are an equal passage and go on once.
 
 * *Equal texts.* A text that a document of smaller id has too is one passage, and isn't looked into any further.
 
@@ -63,7 +64,7 @@ BLOCK = 2000
 #: Elements of a window on either side of its node that a passage of ``PASSAGE`` words around the node can reach.
 REACH = PASSAGE - SIMILARITY_SHINGLE
 _SIDE = 2 * REACH + SIMILARITY_SHINGLE
-_PACKED = 2 + _SIDE
+_PACKED = 2 + _SIDE + 4
 _BITS = -(-(2 * REACH + 1) // 8)
 #: Different shingles that two windows of edited passages share at least, if none repeats inside the later one.
 LEAST_SHARED = -int(-SIMILARITY * (REACH + 1) // 1)
@@ -75,7 +76,12 @@ _COLUMNS = 512
 _COMMON = 3
 _APART = 100
 _BUCKETS = 1 << 11  # of hashes of shingles
+_CELLS = 1 << 25  # of a table of windows and shingles
 _TIMES = np.random.default_rng(13).integers(1, 1 << 31, size=SIMILARITY_SHINGLE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+#: Own shingles of runs that begin so many places before column ``REACH`` and end so many after it; how many of so many must be shared.
+_OWN = (np.arange(REACH + 1, dtype=np.int16)[:, None] + np.arange(1, REACH + 2, dtype=np.int16)[None, :])[None]
+_ENOUGH = np.ceil(SIMILARITY * np.arange(4 * _SIDE)).astype(np.int16)
+_CHECK = np.random.default_rng(17).integers(1, 1 << 63, size=_SIDE, dtype=np.uint64)
 _SEEDS = np.random.default_rng(7).integers(1, 1 << 63, size=16, dtype=np.uint64)
 WINDOWS = "value long, doc_id long, at int, shape int, known boolean, dealt boolean"
 #: ``key`` is the other document's id in a link, and the number of words in a size; ``length`` of an edited passage's window says
@@ -290,12 +296,14 @@ def _chunk_places(chunk: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         mine = mine[np.lexsort((at[mine], ids[text[mine]], value[mine]))]
         begin, size = first[text[mine]] + at[mine] - back[mine], back[mine] + SIMILARITY_SHINGLE + ahead[mine]
         short = np.maximum(codes & np.uint64(255), np.uint64(1)).astype(np.uint8)
-        words = np.zeros((len(mine), _SIDE), np.uint8)
+        words, check = np.zeros((len(mine), _SIDE), np.uint8), np.zeros(len(mine), np.uint32)
         for c in range(0, len(mine), 4096):
             columns = np.arange(_SIDE) - REACH + back[mine[c : c + 4096], None]
             taken = (columns >= 0) & (columns < size[c : c + 4096, None])
-            words[c : c + 4096] = np.where(taken, short[np.where(taken, begin[c : c + 4096, None] + columns, 0)], 0)
-        sides = Sides(value[mine], ids[text[mine]], marks[text[mine]] | at[mine], back[mine], ahead[mine], words, np.ones(len(mine), bool)).once()
+            where = np.where(taken, begin[c : c + 4096, None] + columns, 0)
+            words[c : c + 4096] = np.where(taken, short[where], 0)
+            check[c : c + 4096] = mix((np.where(taken, codes[where], np.uint64(0)) * _CHECK).sum(axis=1)) >> np.uint64(32)
+        sides = Sides(value[mine], ids[text[mine]], marks[text[mine]] | at[mine], back[mine], ahead[mine], words, np.ones(len(mine), bool), check=check).once()
         links, others = sides.linked(ANCHORS)
         yield links
         yield sides.rows(EDITED, others)
@@ -326,12 +334,14 @@ class Sides:
 
     ``words`` has a row of word codes of a byte for each window, the node beginning in column ``REACH``; ``back`` and
     ``ahead`` elements beside it belong to the window, the rest is zero. ``more`` has the further places of one text with the
-    same words, as bytes: lines that a text repeats are one window.
+    same words, as bytes: lines that a text repeats are one window. ``check`` is a hash of the words' whole codes, by which runs of
+    two words are told apart that have a byte in common.
     """
 
-    def __init__(self, key: np.ndarray, doc_id: np.ndarray, place: np.ndarray, back: np.ndarray, ahead: np.ndarray, words: np.ndarray, open: np.ndarray, more: np.ndarray | None = None) -> None:
+    def __init__(self, key: np.ndarray, doc_id: np.ndarray, place: np.ndarray, back: np.ndarray, ahead: np.ndarray, words: np.ndarray, open: np.ndarray, more: np.ndarray | None = None, check: np.ndarray | None = None) -> None:
         self.key, self.doc_id, self.place, self.back, self.ahead, self.words, self.open = key, doc_id, place, back, ahead, words, open
         self.more = np.full(len(key), b"", object) if more is None else more
+        self.check = np.zeros(len(key), np.uint32) if check is None else check
 
     @classmethod
     def of(cls, batch: pa.RecordBatch) -> Sides:
@@ -340,14 +350,19 @@ class Sides:
         columns = (batch.column(c).to_numpy() for c in ("key", "doc_id", "place"))
         begin = np.where(batch.column("kind").to_numpy() == REST, _PACKED + _BITS, _PACKED).tolist()
         more = np.fromiter((w[k:] for w, k in zip(words, begin, strict=True)), object, len(words))
-        return cls(*columns, table[:, 0].astype(np.int64), table[:, 1].astype(np.int64), table[:, 2:], batch.column("length").to_numpy() > 0, more)
+        check = np.ascontiguousarray(table[:, 2 + _SIDE :]).view(np.uint32).ravel()
+        return cls(*columns, table[:, 0].astype(np.int64), table[:, 1].astype(np.int64), table[:, 2 : 2 + _SIDE], batch.column("length").to_numpy() > 0, more, check)
 
-    def once(self) -> Sides:
-        """The first of equal windows of one key and text, with the places of the others."""
-        total = mix(self.key.view(np.uint64) ^ mix(self.doc_id.view(np.uint64) ^ mix((self.place >> 32).view(np.uint64))))
+    def hashed(self, beside: np.ndarray | np.uint64 = np.uint64(0)) -> np.ndarray:
+        """Of each window a hash of its key and words, and of what is ``beside`` them."""
+        total = mix(self.key.view(np.uint64) ^ mix(beside)) + self.check
         for k in range(_SIDE):
             total = total * np.uint64(0x9E3779B97F4A7C15) + self.words[:, k]
-        _, first, which = np.unique(mix(total), return_index=True, return_inverse=True)
+        return mix(total)
+
+    def once(self) -> Sides:
+        """The first of equal windows of one key and text, with the places of the others."""
+        _, first, which = np.unique(self.hashed(self.doc_id.view(np.uint64) ^ mix((self.place >> 32).view(np.uint64))), return_index=True, return_inverse=True)
         again = np.flatnonzero(first[which] != np.arange(len(which)))
         again = again[np.argsort(first[which[again]], kind="stable")]
         begin = np.flatnonzero(np.diff(first[which[again]], prepend=-1))
@@ -364,14 +379,15 @@ class Sides:
 
     def rows(self, kind: int, chosen: np.ndarray) -> pa.RecordBatch:
         some = self.take(chosen)
-        packed = np.concatenate([some.back[:, None], some.ahead[:, None], some.words], axis=1).astype(np.uint8)
+        packed = np.concatenate([some.back[:, None], some.ahead[:, None], some.words, some.checked()], axis=1).astype(np.uint8)
         return _rows(kind, key=some.key, doc_id=some.doc_id, place=some.place, length=some.open.astype(np.int32), words=pa.array([r.tobytes() + m for r, m in zip(packed, some.more, strict=True)], pa.binary()))
 
-    def rest(self) -> pa.RecordBatch:
-        """Those beyond the first ``ANCHORS`` of their key, with bits of the shingles that many of these first have; ``length`` of open ones is how many
+    def rest(self, seen: Seen) -> pa.RecordBatch:
+        """Those beyond the first ``ANCHORS`` of their key, once for all documents where key and words are equal, with bits of the shingles that many of these first have; ``length`` of open ones is how many
         different shingles they share at least with a window that holds such a passage, and ``_APART`` more if one of them isn't common."""
         rank = self.rank()
         chosen = np.flatnonzero(rank >= ANCHORS)
+        chosen = chosen[seen.first(self.take(chosen))]
         some, first = self.take(chosen), self.take(np.flatnonzero((rank < ANCHORS) & np.isin(self.key, self.key[chosen])))
         codes, theirs = (keyed_shingles(x.words, x.key) for x in (some, first))
         values, counts = np.unique(theirs[theirs > 0], return_counts=True)
@@ -382,9 +398,12 @@ class Sides:
         repeats = ((codes[:, 1:] == codes[:, :-1]) & (codes[:, 1:] > 0)).sum(axis=1)
         # Of a run that stands at most so many places are not told by different shingles.
         least = np.maximum(1, np.ceil(SIMILARITY * (REACH + 1) - (1 + SIMILARITY) * repeats - 1e-6)).astype(np.int32)
-        packed = np.concatenate([some.back[:, None], some.ahead[:, None], some.words, common], axis=1).astype(np.uint8)
+        packed = np.concatenate([some.back[:, None], some.ahead[:, None], some.words, some.checked(), common], axis=1).astype(np.uint8)
         return _rows(REST, key=some.key, doc_id=some.doc_id, place=some.place, length=np.where(some.open, least + np.where(enough, 0, _APART), 0), words=pa.array([r.tobytes() + m for r, m in zip(packed, some.more, strict=True)], pa.binary()))
 
+    def checked(self) -> np.ndarray:
+        return np.ascontiguousarray(self.check)[:, None].view(np.uint8)
+
     def rank(self) -> np.ndarray:
         """Of each window how many of its key stand before it."""
         begin = np.flatnonzero(np.concatenate(([True], self.key[1:] != self.key[:-1])))
@@ -414,23 +433,29 @@ class Sides:
     def all_linked(self) -> pa.RecordBatch:
         """Links of open windows to the first earlier one of their key that holds such a passage, of all that may."""
         found: list[tuple] = []
-        own, other = self.partners()
+        codes = keyed_shingles(self.words, self.key)
+        own, other = self.partners(codes)
+        numbers, first, last = numbered_shingles(codes)
         begin = np.flatnonzero(np.diff(own, prepend=-1))
         end = np.append(begin[1:], len(own))
         width = 1  # others that a window is compared with at a time, more and more
         while len(begin):
             number = np.minimum(end - begin, width)
             k = np.repeat(begin - np.cumsum(number) + number, number) + np.arange(number.sum())
-            self.settle(own[k], other[k], found)
+            for c in range(0, len(k), 4096):
+                i, j = own[k[c : c + 4096]], other[k[c : c + 4096]]
+                cells = j[:, None] * first.shape[1] + numbers[i]
+                near = _in_order(first.take(cells), last.take(cells))
+                self.settle(i[near], j[near], found)
             begin, width = begin + number, width * 2
             going = begin < end
             going[going] = self.open[own[begin[going]]]
             begin, end = begin[going], end[going]
         return _joined(found)
 
-    def partners(self) -> tuple[np.ndarray, np.ndarray]:
-        """Of each open window the earlier ones of its key and of other documents that share enough of its shingles."""
-        n, codes = len(self.key), keyed_shingles(self.words, self.key)
+    def partners(self, codes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Of each open window the earlier ones of its key and of other documents that share enough of its shingles (``codes``)."""
+        n, codes = len(self.key), keyed_shingles(self.words, self.key) if codes is None else codes
         column = (codes >> np.uint64(64 - _COLUMNS.bit_length() + 1)).astype(np.int64) + np.arange(n)[:, None] * _COLUMNS
         row, code, often = distinct(codes)
         cell = row * _COLUMNS + (code >> np.uint64(64 - _COLUMNS.bit_length() + 1)).astype(np.int64)
@@ -442,8 +467,8 @@ class Sides:
         first = np.searchsorted(self.key, self.key)  # of the key
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         asked = np.flatnonzero(self.open)
-        for c in range(0, len(asked), 512):
-            some = asked[c : c + 512]
+        for c in range(0, len(asked), 128):
+            some = asked[c : c + 128]
             a, b = int(first[some[0]]), int(some[-1])
             theirs = held[a:b].T
             enough = weights[some] @ theirs >= _LEAST_WEIGHT
@@ -473,21 +498,20 @@ class Sides:
             todo, leader = own[c : c + 4096], other[c : c + 4096]
             todo, leader = todo[self.open[todo]], leader[self.open[todo]]
             copy, begins, ends, moved = self.compared(todo, leader)
-            sure = np.flatnonzero(copy | (ends > begins))
+            asked = np.flatnonzero(moved)
+            pair, first, end = standing(self.words[todo[asked]], self.words[leader[asked]])
+            moved[:] = False
+            moved[asked[pair]] = True
+            sure = np.flatnonzero(copy | (ends > begins) | moved)
             sure = sure[np.unique(todo[sure], return_index=True)[1]]
-            limit = np.full(len(self.key), len(todo))
-            limit[todo[sure]] = sure
-            for k in np.flatnonzero(moved & (np.arange(len(todo)) < limit[todo])).tolist():
-                i, j = int(todo[k]), int(leader[k])
-                if self.open[i]:
-                    spans = np.array(alike(self.own(i), self.own(j)), np.int64).reshape(-1, 2)
-                    note(np.full(len(spans), i), spans[:, 0] - self.back[i], np.full(len(spans), j), spans[:, 1] - spans[:, 0])
-            sure = sure[self.open[todo[sure]]]
             k = sure[copy[sure]]
             copies.append(todo[k])
             self.open[todo[k]] = False
-            k = sure[~copy[sure]]
+            k = sure[~copy[sure] & ~moved[sure]]
             note(todo[k], begins[k] - REACH, leader[k], ends[k] - begins[k])
+            those = np.isin(asked[pair], sure)
+            k = asked[pair[those]]
+            note(todo[k], first[those] - REACH, leader[k], end[those] - first[those])
         return np.concatenate(copies)
 
     def own(self, i: int) -> np.ndarray:
@@ -498,7 +522,7 @@ class Sides:
 
         Equal words for a passage's length hold one, which is linked by its own hash. Without insertions and deletions both
         sides of a run have as many shingles, so that many of the run's must be equal in place. Of the others, those are
-        left to ``alike`` that have enough shingles of the other window at all.
+        left to ``standing`` that have enough shingles of the other window at all.
         """
         x, y = self.words[i], self.words[j]
         equal = (x == y) & (x > 0)
@@ -512,6 +536,23 @@ class Sides:
         return copy, begin, end, moved
 
 
+class Seen:
+    """Windows of the last key so far, by a hash of their words: a window that an earlier document has as it is stands for nothing else."""
+
+    def __init__(self) -> None:
+        self.key, self.hashes, self.doc_id = (np.zeros(0, t) for t in (np.int64, np.uint64, np.int64))
+
+    def first(self, sides: Sides) -> np.ndarray:
+        """Which of further windows, sorted by key and document, no earlier document has."""
+        columns = (self.key, sides.key), (self.hashes, sides.hashed()), (self.doc_id, sides.doc_id)
+        key, hashes, doc_id = (np.concatenate(c) for c in columns)
+        _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        new = (doc_id == doc_id[first[which]])[len(self.key) :]
+        last = first[key[first] == key[-1]] if len(key) else first
+        self.key, self.hashes, self.doc_id = key[last], hashes[last], doc_id[last]
+        return new
+
+
 def _joined(found: list[tuple]) -> pa.RecordBatch:
     return _links(*([np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 4))
 
@@ -551,6 +592,16 @@ def keyed_shingles(words: np.ndarray, key: np.ndarray) -> np.ndarray:
     return np.where(inside, np.maximum(mix(codes ^ key.view(np.uint64)[:, None]), np.uint64(1)), np.uint64(0))
 
 
+def numbered_shingles(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row of shingles' hashes their numbers, zero for those of no other row, and of each number the first and last column where it is, from 1 on."""
+    values, counts = np.unique(distinct(codes)[1], return_counts=True)
+    shared = np.append(values[counts > 1], np.uint64(0))
+    at = np.searchsorted(shared[:-1], codes)
+    width = min(len(shared), max(_BUCKETS, _CELLS // max(1, len(codes))))  # beyond that some share a number, which lets more pairs through
+    numbers = np.where((codes > 0) & (shared[at] == codes), 1 + at % max(1, width - 1), 0)
+    return numbers, *_columns(numbers, *np.zeros((2, len(codes), max(2, width)), np.uint8))
+
+
 def may_align(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Which rows of words have a run that ``alike`` may find to stand in the other's row; all that it finds are among them.
 
@@ -563,26 +614,97 @@ def may_align(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         total = np.zeros((len(words), n), np.uint32)
         for k in range(SIMILARITY_SHINGLE):
             total += words[:, k : k + n] * _TIMES[k]
-        bucket = np.maximum(total >> np.uint32(21), 1).astype(np.intp)
+        bucket = np.maximum(total >> np.uint32(33 - _BUCKETS.bit_length()), 1).astype(np.intp)
         return np.where((words[:, :n] > 0) & (words[:, SIMILARITY_SHINGLE - 1 :] > 0), bucket, 0)
 
     out = np.zeros(len(x), bool)
-    mine = shingles(x)
-    held = np.zeros((len(x), _BUCKETS), bool)
-    np.put_along_axis(held, shingles(y), True, axis=1)
-    held[:, 0] = False
-    hits = np.take_along_axis(held, mine, axis=1)
+    for c in range(0, len(x), 1024):
+        mine, theirs = shingles(x[c : c + 1024]), shingles(y[c : c + 1024])
+        first, last = _columns(theirs, *np.zeros((2, len(mine), _BUCKETS), np.uint8))
+        first, last = np.take_along_axis(first, mine, axis=1), np.take_along_axis(last, mine, axis=1)
+        some = np.flatnonzero(_in_order(first, last))
+        if len(some):
+            out[c + some[_often_enough(mine[some], first[some] > 0)]] = True
+    return out
+
+
+def _columns(buckets: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tables of rows and buckets, filled with the first and last column of each bucket, from 1 on."""
+    rows, n = np.arange(len(buckets)), buckets.shape[1]
+    for k in range(n):  # column by column, so that the order of writing is known
+        last[rows, buckets[:, k]] = k + 1
+        first[rows, buckets[:, n - 1 - k]] = n - k
+    first[:, 0] = last[:, 0] = 0
+    return first, last
+
+
+def _in_order(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Of rows of places with the least and greatest place there of each, zero for none: which have a run that may stand.
+
+    The other side's span is no less than from the first place there of the run's first shingle to that of its last one. Copies and
+    runs edited in place pass too.
+    """
+    n, hit = first.shape[1], first > 0
+    total = np.cumsum(hit, axis=1, dtype=np.float32) * np.float32(1 + SIMILARITY) - np.float32(SIMILARITY) * np.arange(n, dtype=np.float32)
+    ends = np.where(hit, total - np.float32(SIMILARITY) * first, np.float32(-np.inf))[:, REACH:]
+    begins = np.where(hit, total - np.float32(SIMILARITY) * last, np.float32(np.inf))[:, : n - REACH]
+    return (ends >= np.minimum.accumulate(begins, axis=1) + np.float32(SIMILARITY - 1 - 1e-3)).any(axis=1)
+
+
+def _often_enough(mine: np.ndarray, hits: np.ndarray) -> np.ndarray:
+    """Which rows of buckets have a run that may stand by how many places of it are hit, and how many different ones."""
     first, last = _runs(hits, SIMILARITY / (1 + SIMILARITY))
-    some = np.flatnonzero(last > first)
-    first, last = _runs(hits[some], SIMILARITY)
+    out = last > first
+    some = np.flatnonzero(out)
+    if not len(some):
+        return out
+    # Of a run that stands, the other side has a place for each different shingle: places of the first of a shingle count for less.
+    mine = mine[some]
+    earliest, _ = _columns(mine, *np.zeros((2, len(some), _BUCKETS), np.uint8))
+    once = np.take_along_axis(earliest, mine, axis=1) == np.arange(1, mine.shape[1] + 1)
+    first, last = _runs(hits[some], SIMILARITY, np.where(once, np.float32(1), np.float32(1 + SIMILARITY)))
     out[some] = last > first
-    fewer = some[last <= first]  # which is enough where shingles repeat
-    codes = np.where(mine[fewer] > 0, sum(x[fewer, k : k + mine.shape[1]].astype(np.int64) << 8 * k for k in range(SIMILARITY_SHINGLE)), -1 - np.arange(mine.shape[1]))
-    codes.sort(axis=1)
-    out[fewer] = (codes[:, 1:] == codes[:, :-1]).any(axis=1)
     return out
 
 
+def standing(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What ``alike`` finds for each pair of rows of words: the pair's number, and first and end column of each run of words in ``x``.
+
+    Every run of a passage's length holds the column ``REACH`` and so is two parts, before it and from it on.
+    """
+    found = [(np.zeros(0, np.int64),) * 3]
+    for c in range(0, len(x), 256):
+        a, b = (plain_shingles(w[c : c + 256]) for w in (x, y))
+        same = (a[:, :, None] == b[:, None, :]) & (a > 0)[:, :, None]
+        hit = same.any(axis=2)
+        there = same.argmax(axis=2).astype(np.int16)
+        low, high = np.where(hit, there, np.int16(_SIDE)), np.where(hit, there, np.int16(-1))
+        left, right = slice(REACH, None, -1), slice(REACH, None)
+        span = np.maximum(np.maximum.accumulate(high[:, left], axis=1)[:, :, None], np.maximum.accumulate(high[:, right], axis=1)[:, None, :])
+        span -= np.minimum(np.minimum.accumulate(low[:, left], axis=1)[:, :, None], np.minimum.accumulate(low[:, right], axis=1)[:, None, :])
+        both = np.cumsum(hit[:, left], axis=1, dtype=np.int16)[:, :, None] + np.cumsum(hit[:, right], axis=1, dtype=np.int16)[:, None, :]
+        both -= hit[:, REACH, None, None]
+        stands = hit[:, left, None] & hit[:, None, right] & (_OWN >= REACH + 1)
+        stands &= both >= _ENOUGH[np.clip(_OWN + span + 1 - both, 0, len(_ENOUGH) - 1)]
+        pair, begin = np.nonzero(stands.any(axis=2)[:, ::-1])
+        last = stands.shape[2] - 1 - np.argmax(stands[pair, REACH - begin, ::-1], axis=1)
+        edges = np.zeros((len(hit), _SIDE + 1), np.int64)
+        np.add.at(edges, (pair, begin), 1)
+        np.add.at(edges, (pair, REACH + last + SIMILARITY_SHINGLE), -1)
+        inside = np.cumsum(edges, axis=1) > 0
+        change = np.diff(inside.astype(np.int8), axis=1, prepend=0)
+        (pair, first), (_, end) = np.nonzero(change > 0), np.nonzero(change < 0)
+        found.append((pair + c, first, end))
+    return tuple(np.concatenate(k) for k in zip(*found, strict=True))
+
+
+def plain_shingles(words: np.ndarray) -> np.ndarray:
+    """Of each row of words its five-word shingles, in their columns; zero outside of the window."""
+    n = words.shape[1] - SIMILARITY_SHINGLE + 1
+    inside = (words[:, :n] > 0) & (words[:, SIMILARITY_SHINGLE - 1 :] > 0)
+    return np.where(inside, sum(words[:, k : k + n].astype(np.uint64) << np.uint64(8 * k) for k in range(SIMILARITY_SHINGLE)), np.uint64(0))
+
+
 def _leading(equal: np.ndarray) -> np.ndarray:
     """How many values each row begins with that are true."""
     apart = ~equal
@@ -599,16 +721,20 @@ def _shingles_equal(words: np.ndarray) -> np.ndarray:
     return out
 
 
-def _runs(equal: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
-    """Of each row the reach of runs of a passage's length and more of which that ``share`` is equal, both ends included; empty if none."""
+def _runs(equal: np.ndarray, share: float, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row the reach of runs of a passage's length and more of which that ``share`` is equal, both ends included; empty if none.
+
+    With ``weights``, equal places count by these instead of once.
+    """
     n = equal.shape[1]
     first, last = np.zeros(len(equal), np.int64), np.zeros(len(equal), np.int64)
-    some = np.flatnonzero(equal.sum(axis=1) >= share * (REACH + 1))
+    weights = equal if weights is None else equal * weights
+    some = np.flatnonzero(weights.sum(axis=1) >= share * (REACH + 1) - 1e-4)
     if not len(some):
         return first, last
-    equal = equal[some]
-    total = np.cumsum(equal - np.float32(share), axis=1, dtype=np.float32)
-    before = np.where(equal, total - np.float32(1 - share) - np.float32(1e-4), np.float32(np.inf))  # of runs that begin here
+    equal, weights = equal[some], weights[some]
+    total = np.cumsum(weights - np.float32(share), axis=1, dtype=np.float32)
+    before = np.where(equal, total - (weights - np.float32(share)) - np.float32(1e-4), np.float32(np.inf))  # of runs that begin here
     after = np.where(equal, total, np.float32(-np.inf))  # of runs that end here
     ends = after[:, REACH:] >= np.minimum.accumulate(before[:, : n - REACH], axis=1)
     begins = before[:, : n - REACH] <= np.maximum.accumulate(after[:, : REACH - 1 : -1], axis=1)[:, ::-1]
@@ -659,6 +785,7 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by kind, key, document and place: links to the first of each key, which may have come batches before."""
     last, leader = None, 0
     open_sides: Sides | None = None
+    seen = Seen()
     for batch in batches:
         kind = batch.column("kind").to_numpy()
         done = batch.filter(pa.array(kind >= LINK))
@@ -685,7 +812,7 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sides, end = sides.take(others), sides.key[-1]
             rank = sides.rank()
             if (rank >= ANCHORS).any():
-                yield sides.rest()
+                yield sides.rest(seen)
             open_sides = sides.take(np.flatnonzero((sides.key == end) & (rank < ANCHORS)))
     give_back()
 
@@ -701,7 +828,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a in range(0, whole.num_rows, 4096):
             batch = whole.slice(a, 4096)
             table = np.frombuffer(b"".join(w[: _PACKED + _BITS] for w in batch.column("words").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-            codes = keyed_shingles(table[:, 2:_PACKED], batch.column("key").to_numpy())
+            codes = keyed_shingles(table[:, 2 : 2 + _SIDE], batch.column("key").to_numpy())
             common = np.unpackbits(table[:, _PACKED:], axis=1)[:, : codes.shape[1]].astype(np.uint64)
             order = np.where(codes > 0, np.maximum(codes >> np.uint64(1), np.uint64(1)) | common << np.uint64(63), np.uint64(0))
             row, value, often = distinct(order)
@@ -759,7 +886,7 @@ def _rest_links(rest: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_key(batches, "key"):
-            for part in key_parts(batch, 256):
+            for part in key_parts(batch, 1024):
                 links = Sides.of(part).all_linked()
                 if links.num_rows:
                     yield links

@@ -520,6 +520,64 @@ def test_no_pair_that_holds_a_passage_is_left_out():
     assert {(int(a), int(b)) for a, b in zip(i[stands], j[stands], strict=True)} <= kept
 
 
+def edited_rows(n, seed):
+    """Windows of one key with a few words replaced in each, or cut out, put in or moved; some are of runs of one word."""
+    r = random.Random(seed)
+    base = [r.randrange(1, 255) for _ in range(substrings._SIDE)]
+    words = np.zeros((n, substrings._SIDE), np.uint8)
+    for k in range(n):
+        row = list(base)
+        for _ in range(r.randrange(1, 14)):
+            a, b, size = r.randrange(95), r.randrange(95), r.randrange(1, 4)
+            taken = row[a : a + size]
+            row[a : a + size] = r.choice(([r.randrange(1, 255) for _ in taken],) * 6 + ([], [taken[0]] * 12, taken * 2) if taken else ([],))
+            if r.random() < 0.1:
+                row[b:b] = taken
+        row[45:56] = base[45:56]
+        words[k] = (row + [7] * substrings._SIDE)[: substrings._SIDE]
+    reach = np.full(n, substrings.REACH)
+    words[n // 2 :, : substrings.REACH - 10] = 0
+    return substrings.Sides(np.full(n, 5), np.arange(n), np.full(n, 60), np.where(np.arange(n) < n // 2, reach, 10), reach, words, np.ones(n, bool))
+
+
+def test_runs_that_stand_are_those_of_plain_alignment():
+    sides = edited_rows(60, 11)
+    i, j = (c.ravel() for c in np.meshgrid(np.arange(60), np.arange(60), indexing="ij"))
+    pair, first, end = substrings.standing(sides.words[i], sides.words[j])
+    found = {k: [] for k in range(len(i))}
+    for k, a, b in zip(pair.tolist(), first.tolist(), end.tolist(), strict=True):
+        found[k].append((a - substrings.REACH + int(sides.back[i[k]]), b - substrings.REACH + int(sides.back[i[k]])))
+    expected = {k: substrings.alike(sides.own(a), sides.own(b)) for k, (a, b) in enumerate(zip(i.tolist(), j.tolist(), strict=True))}
+    assert found == expected
+    assert 100 < sum(map(bool, expected.values())) < 3000
+
+
+def test_words_are_compared_only_where_shingles_stand_in_order(monkeypatch):
+    sides, plain, compared, seen = edited_rows(300, 12), edited_rows(300, 12), substrings.Sides.compared, []
+    monkeypatch.setattr(substrings.Sides, "compared", lambda self, i, j: seen.append(len(i)) or compared(self, i, j))
+    links = sides.all_linked()
+    few = sum(seen)
+    expected, _ = plain.linked(300)
+    assert links.num_rows > 50
+    assert set(links.column("doc_id").to_pylist()) >= set(expected.column("doc_id").to_pylist())
+    assert few < (sum(seen) - few) / 10
+
+
+@pytest.mark.parametrize("size", [7, 1000])
+def test_equal_windows_of_many_documents_are_dealt_once(size):
+    words = np.random.default_rng(4).integers(1, 255, (20, substrings._SIDE)).astype(np.uint8)
+    words[:, substrings.REACH : substrings.REACH + 11] = 9
+    which = np.concatenate([np.arange(20), np.tile([16, 17, 18, 19, 3], 8)])
+    n, reach = len(which), np.full(len(which), substrings.REACH)
+    check = np.where(np.arange(n) == 30, 1, 0).astype(np.uint32)  # the same bytes, and other words
+    sides = substrings.Sides(np.full(n, 5), np.arange(n), np.full(n, 60), reach, reach, words[which], np.ones(n, bool), check=check)
+    batch = sides.rows(substrings.EDITED, np.arange(n))
+    settled = pa.Table.from_batches(list(substrings._settled(iter([batch.slice(k, size) for k in range(0, n, size)]))))
+    rest = settled.filter(pa.array(settled.column("kind").to_numpy() == substrings.REST))
+    assert which[30] == 16
+    assert sorted(rest.column("doc_id").to_pylist()) == [16, 17, 18, 19, 30]
+
+
 def test_cleaned_keeps_other_columns_and_tells_texts_of_one_id_apart(spark):
     passage = words_text(60, 70)
     rows = [(1, passage), (2, words_text(20, 71) + " " + passage), (2, words_text(90, 72)), (None, passage), (3, "short"), (4, "x " * 30000 + passage)]
